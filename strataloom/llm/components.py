@@ -1,0 +1,42 @@
+"""Connected components of an edge table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def _star(edges: DataFrame, small: bool) -> DataFrame:
+    """Connect each node's larger neighbours (large star), or its smaller ones and itself (small star), to its least neighbour."""
+    if small:
+        near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    else:
+        near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "c")
+    joined = near.join(least, near["u"] == least["c"])
+    out = joined.filter("v <> m" if small else "v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if small:
+        out = out.unionByName(least.filter("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v")))
+    return out.filter("u <> v").distinct()
+
+
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """Columns node, root: the least node of each node's component, for every node of an edge (u, v).
+
+    Each round is written to the shared folder, so a lost executor costs one round at most.
+    """
+    now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    mark = _mark(now)
+    for _ in range(rounds):
+        now = written(_star(_star(now, small=False), small=True), "edges")
+        mark, last = _mark(now), mark
+        if mark == last:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    raise RuntimeError(f"no fixed point after {rounds} rounds")
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """One row that changes when the edges do."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(u as decimal(38)) + v)")).first())

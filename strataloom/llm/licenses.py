@@ -11,6 +11,8 @@ label and score 0; repeated rows give repeated results; other columns don't matt
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,8 +169,8 @@ STARTS = sorted({h for _, r, _, _ in rules() for h in first_words(r)} | set(BASE
 
 def rule_table() -> Column:
     """The rules as one constant array, a rule for each head that its regex can begin with."""
-    rows = [(h, f"^(?:{r}) ", p, n, label, confidence) for n, (label, r, p, confidence) in enumerate(rules()) for h in sorted(set(first_words(r)))]
-    return F.array(*[F.struct(F.lit(h).alias("head"), F.lit(r).alias("regex"), F.lit(p).alias("priority"), F.lit(n).alias("n"), F.lit(label).alias("label"), F.lit(c).alias("confidence")) for h, r, p, n, label, c in rows])
+    rows = [{"head": h, "regex": f"^(?:{r}) ", "priority": p, "n": n, "label": label, "confidence": c} for n, (label, r, p, c) in enumerate(rules()) for h in sorted(set(first_words(r)))]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<head:string,regex:string,priority:int,n:int,label:string,confidence:double>>")
 
 
 def word_count(spaced: Column) -> Column:
