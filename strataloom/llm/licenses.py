@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import documents, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words before lower-casing.
+GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: No rule spans as many words as this; a rule sees so many parts of the text from its start.
 REACH = 64
@@ -192,10 +192,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gate = F.contains(lower, F.lit("cc")) & lower.rlike(CC_BY)
     for k in KEYWORDS:
         gate = gate | F.contains(lower, F.lit(k))
-    # The words of a text that passes, each followed by a space, cut before each place where a rule may begin.
-    spaced = F.concat(F.regexp_replace(F.regexp_replace(F.translate("text", UPPER, LOWER), SEPARATORS, " "), "^ | $", ""), F.lit(" "))
-    parts = F.split(spaced, "(?:^|(?<= ))(?=" + "|".join(STARTS) + ")")
-    df = df.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, parts).otherwise(F.array().cast("array<string>")).alias("parts"))
+    # The words of a text, each followed by a space. Those that pass are cut before each place where a rule may begin.
+    df = df.select("doc_id", gate.alias("gate"), F.ltrim(F.concat(F.regexp_replace("text", GAPS, " "), F.lit(" "))).alias("words"))
+    df = df.withColumn("words", F.concat(F.rtrim("words"), F.when(F.trim("words") == "", "").otherwise(" ")))
+    parts = F.split(F.translate("words", UPPER, LOWER), "(?:^|(?<= ))(?=" + "|".join(STARTS) + ")")
+    df = df.select("doc_id", word_count(F.col("words")).alias("n_words"), F.when(F.col("gate"), parts).otherwise(F.array().cast("array<string>")).alias("parts"))
     # Word number at which each part begins, and what a rule sees from there.
     begins = F.aggregate("parts", F.array(F.lit(0).cast("long")), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + word_count(p))))
     df = df.withColumn("begins", begins)
