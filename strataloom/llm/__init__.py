@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["media", "licenses", "exact_dedup", "near_dedup", "quality", "sentencepieces", "sharding", "mixing", "token_counts"]
+MODULES = ["media", "licenses", "exact_dedup", "near_dedup", "quality", "sentencepieces", "sharding", "suffixes", "mixing", "token_counts"]
 
 
 def queries() -> dict:

@@ -30,6 +30,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 IS_WORD, BYTE = _tables()
+#: Of bytes as they are.
+RAW = mix(np.arange(256, dtype=np.uint64) + _U(1)) | _U(1)
 
 
 def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
