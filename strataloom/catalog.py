@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a QUERIES table and an SQL table.
-MODULES: list[str] = []
+MODULES: list[str] = ["store"]
 
 
 def queries() -> dict:
