@@ -80,7 +80,7 @@ def first_fit(ranked: DataFrame, key: str, size: str, budget: int, order: Sequen
 
     The fold is sequential by definition. It runs over each group's array in the JVM.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("size"), F.col("item"))))
+    items = F.array_sort(F.collect_list(F.struct(*[c.alias(f"by{i}") for i, c in enumerate(order)], F.col(size).alias("size"), F.col("item"))))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
     step = lambda a, x: F.when(a["used"] + x["size"] <= budget, F.struct((a["used"] + x["size"]).alias("used"), F.concat(a["taken"], F.array(x["item"])).alias("taken"))).otherwise(a)
     return ranked.groupBy(key).agg(F.aggregate(items, start, step).alias("fit")).select(key, "fit.used", F.explode("fit.taken").alias("item"))
