@@ -41,10 +41,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, passe
     ranked = sizes.withColumn("place", F.row_number().over(byte_order)).withColumn("weight", cycle.cast("long")).withColumn("cap", F.col("source_size") * passes)
     fill = Window.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
     level = (F.lit(float(share)) * F.sum("source_size").over(everyone) - F.coalesce(F.sum("cap").over(fill), F.lit(0))) / (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(fill), F.lit(0)))
-    # A source is capped if the level that is left for it and those after it reaches its cap.
-    return ranked.withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight")).withColumn("last", F.min(F.when(~F.col("capped"), F.col("level"))).over(everyone)).select(
-        "source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("last") * F.col("weight")).alias("target")
-    )
+    # The first source whose cap is above the level that is left for it and those after it gives the final level.
+    open_ = F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("ratio"), "place", "level"))
+    final = ranked.withColumn("level", level).withColumn("final", F.min(open_).over(everyone)["level"])
+    shared = F.col("final") * F.col("weight")
+    return final.select("source", "source_size", F.when(F.col("cap") > shared, shared).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
 def fair_queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, passes: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -107,8 +108,8 @@ SQL = {
     w as (select *, cast([5, 2, 1][(place - 1) % 3 + 1] as bigint) as weight, source_size * 2 as cap from r),
     l as (select *, (1.5::double * sum(source_size) over ()::double - coalesce(sum(cap) over o, 0)::double) / (sum(weight) over () - coalesce(sum(weight) over o, 0))::double as level
           from w window o as (order by cap::double / weight::double, place rows between unbounded preceding and 1 preceding)),
-    c as (select *, cap::double <= level * weight::double as capped from l),
-    t as (select source, source_size, case when capped then cap::double else (select min(level) from c where not capped) * weight::double end as target from c),
+    f as (select level from l where cap::double > level * weight::double order by cap::double / weight::double, place limit 1),
+    t as (select source, source_size, case when cap::double > (select level from f) * weight::double then (select level from f) * weight::double else cap::double end as target from l),
     q as (select d.doc_id, d.size, t.source_size, t.target,
                  sum(d.size) over (partition by d.source
                      order by ('0x' || md5(d.doc_id::varchar)[1:8])::bigint % 4096, md5(d.doc_id::varchar), d.doc_id, d.size
