@@ -6,9 +6,12 @@ replacement; a component keeps its first point, and a shingle's points stop once
 all the components hold. The share of equal components estimates the probability Jaccard similarity.
 
 Texts that agree in a band of components are candidates. Links are verified on the shingle sets
-themselves: Jaccard similarity of at least the threshold. Inside a bucket all rows are first verified
-against one centre; later rounds take other centres for rows still in another component, and at last
-all pairs of a bucket that are in different components are verified. No bucket is capped.
+themselves: Jaccard similarity of at least the threshold. A bucket's rows are first verified against
+one centre, the row that shares most buckets with others: in a group of copies that is the text nearest
+to their original, so the buckets of a group elect the same centre. Rows in another component are then
+verified against a second centre of theirs. In buckets that still hold several components all pairs
+are compared, in blocks of BLOCK rows inside the tasks, which give back only links that join
+components. No bucket is capped.
 
 Defined results: a null text counts as empty; texts without words are classes of their own; texts with
 the same words in the same order share a class without pairing; the class id is the least id in it, a
@@ -25,17 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import textnum as tn
 from .common import ROW, documents, with_row, written
-from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: A prime number of components, 26 bands of 5: a pair at similarity 0.8 shares no band with probability 3e-5.
 SIZE, BANDS, BAND_ROWS = 131, 26, 5
 #: Candidates whose signatures agree less than this aren't verified: 5 standard deviations below 0.8.
 LEAST_ESTIMATE = 0.62
-#: Rounds of one centre a bucket before all remaining pairs are compared.
-CENTRE_ROUNDS = 2
+#: Rows of a bucket that a task compares with each other at a time.
+BLOCK = 1000
 
 _U = np.uint64
 
@@ -149,6 +152,89 @@ def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long")
 
 
+def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets of 32-bit hashes. Two shingles in one hash can only raise a similarity, by about one in a million."""
+    for batch in _sets(batches):
+        sets = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """Links between components among the rows of a block or of two: a forest, so fewer than the rows."""
+    node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("shingles")]
+    size = np.array([len(x) for x in sets], dtype=np.float32)
+    value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    shared = np.cumsum(count > 1) - 1
+    column, owner = shared[column][(count > 1)[column]], owner[(count > 1)[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, [first, first + 2048])
+        part = np.zeros((len(sets), 2048), dtype=np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        both += part @ part.T
+    two = side.max() > side.min()
+    near = (both >= THRESHOLD * (size[:, None] + size[None, :] - both) - 1e-3) & (root[:, None] != root[None, :])
+    near &= (side[:, None] < side[None, :]) if two else np.triu(np.ones_like(near), 1)
+    lead: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := lead.get(x, x)) != x:
+            lead[x] = lead.get(up, up)
+            x = up
+        return x
+
+    out: list[tuple[int, int]] = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        p, q = find(int(root[i])), find(int(root[j]))
+        if p != q:
+            lead[max(p, q)] = min(p, q)
+            out.append((int(node[i]), int(node[j])))
+    return pa.table({"u": pa.array([min(x) for x in out], pa.int64()), "v": pa.array([max(x) for x in out], pa.int64())})
+
+
+BUCKET = ["band", "hash"]
+
+
+def _centres(member: DataFrame) -> DataFrame:
+    """The row of each bucket that shares most buckets with others."""
+    top = F.max(F.struct("popular", "node", "root")).alias("c")
+    return written(member.groupBy(*BUCKET).agg(top).select(*BUCKET, F.col("c.node").alias("c_node"), F.col("c.root").alias("c_root")), "centres")
+
+
+def _pairs(member: DataFrame, centres: DataFrame) -> DataFrame:
+    return member.join(centres, BUCKET).filter("root <> c_root").select(F.least("node", "c_node").alias("u"), F.greatest("node", "c_node").alias("v")).distinct()
+
+
+def bucket_links(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (u, v) of which the components are those of all links. rows: band, hash, node, popular."""
+    single = rows.withColumn("root", F.col("node"))
+    links = written(_links(_pairs(single, _centres(single)), signed, texts), "links")
+
+    def rooted() -> DataFrame:
+        """Rows of buckets that hold several components."""
+        member = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = member.groupBy(*BUCKET).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high and n > 2").select(*BUCKET, "n")
+        return written(member.join(split, BUCKET), "member")
+
+    member = rooted()
+    if not member.isEmpty():
+        others = written(member.join(_centres(member), BUCKET).filter("root <> c_root").drop("c_node", "c_root"), "others")
+        links = links.unionByName(written(_links(_pairs(others, _centres(others)), signed, texts), "links"))
+        member = rooted()
+    if not member.isEmpty():
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        placed = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.select(*BUCKET, "node", "root", F.col("block").alias("side"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        asked = member.select(F.col("node").alias("n")).distinct()
+        sets = written(texts.join(asked, texts[ROW] == asked["n"], "left_semi").select(ROW, "text").mapInArrow(_small_sets, "node long, shingles binary"), "small-sets")
+        links = links.unionByName(written(placed.join(sets, "node").groupBy(*BUCKET, "low", "high").applyInArrow(_joined, "u long, v long"), "links"))
+    return links
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: __row (its place in the scan), doc_id, class_id, class_size, kept."""
     texts = with_row(docs).select(ROW, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -159,28 +245,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = written(keyed.groupBy("key").agg(F.min(ROW).alias("node")), "nodes")
     heads = nodes.select(F.col("node").alias(ROW))
     banded = written(keyed.join(heads, ROW, "left_semi").select(F.col(ROW).alias("node"), F.posexplode("bands").alias("band", "hash")), "bands")
-    held = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hash")
-    rows = written(banded.join(held, ["band", "hash"], "left_semi"), "buckets")
-    links = None
-    for turn in range(CENTRE_ROUNDS + 1):
-        if links is None:
-            member = rows.withColumn("root", F.col("node"))
-        else:
-            roots = components(links)
-            member = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            split = member.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "hash")
-            member = written(member.join(split, ["band", "hash"], "left_semi"), "member")
-            if member.isEmpty():
-                break
-        if turn < CENTRE_ROUNDS:
-            rank = F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long"), F.col("node").alias("node"), F.col("root").alias("root"))
-            centre = member.groupBy("band", "hash").agg(F.min(rank).alias("c")).select("band", "hash", F.col("c.node").alias("c_node"), F.col("c.root").alias("c_root"))
-            pairs = member.join(written(centre, "centres"), ["band", "hash"]).filter("root <> c_root").select(F.least("node", "c_node").alias("u"), F.greatest("node", "c_node").alias("v"))
-        else:
-            other = member.select("band", "hash", F.col("node").alias("o_node"), F.col("root").alias("o_root"))
-            pairs = member.join(other, ["band", "hash"]).filter("root < o_root").select(F.least("node", "o_node").alias("u"), F.greatest("node", "o_node").alias("v"))
-        new = written(_links(pairs.distinct(), signed, texts), "links")
-        links = new if links is None else links.unionByName(new)
+    held = banded.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(banded.join(held, BUCKET), "shared")
+    rows = written(shared.drop("n").join(shared.groupBy("node").agg(F.sum("n").alias("popular")), "node"), "buckets")
+    links = bucket_links(rows, signed, texts)
     roots = components(links)
     rooted = keyed.join(nodes, "key").join(roots, "node", "left").select(ROW, F.coalesce("root", "node").alias("root"))
     placed = signed.select(ROW, "doc_id").join(rooted, ROW, "left").withColumn("root", F.coalesce("root", ROW))
