@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -89,19 +89,20 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Columns node, root: the least node of each node's component, for every node of an edge (u, v) between two."""
-    now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(now)
+    now, mark = _marked(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
-        now = written(_star(_star(now, small=False), small=True), "edges")
-        mark, last = _mark(now), mark
+        last = mark
+        now, mark = _marked(_star(_star(now, small=False), small=True))
         if mark == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """One row that changes when the edges do."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(u as decimal(38)) + v)")).first())
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, and figures, seen as they were written, that change when the edges do."""
+    seen = Observation()
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("sum(cast(u as decimal(38)) + v)").alias("s")), "edges")
+    return table, tuple(seen.get.values())
 
 
 def on_cycles(edges: DataFrame, most: int = 200) -> DataFrame:
