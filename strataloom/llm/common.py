@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW = "__row"
-
+from ..sources.shared import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+__all__ = ["ROW", "documents", "shared_dir", "text_of", "with_row", "written"]
 
-    Only a local session without that setting (tests) gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+ROW = "__row"
 
 
 def with_row(df: DataFrame) -> DataFrame:

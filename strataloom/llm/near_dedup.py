@@ -215,8 +215,11 @@ def bucket_links(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFr
     links = written(_links(_pairs(single, _centres(single)), signed, texts), "links")
 
     def rooted() -> DataFrame:
-        """Rows of buckets that hold several components."""
-        member = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        """Rows of buckets that hold several roots. Equal roots are connected; two steps find all of a star."""
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        first = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")).select(F.col("u").alias("v"), "low")
+        roots = both.join(first, "v").groupBy("u").agg(F.least(F.min("low"), F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node")
+        member = rows.join(written(roots, "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = member.groupBy(*BUCKET).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high and n > 2").select(*BUCKET, "n")
         return written(member.join(split, BUCKET), "member")
 
