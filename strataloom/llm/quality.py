@@ -2,8 +2,9 @@
 
 Two questions are asked of each document: is it of bad quality, and is it toxic. For each:
 
-1. Evidence. Features (words, and buckets of style measures) are counted over all labelled documents by
-   grouped aggregation. A feature's log likelihood ratio is shrunk towards 0 by its own uncertainty, and
+1. Evidence. Features (words, and buckets of style measures) are counted over the labelled documents by
+   grouped aggregation; beyond SAMPLE labelled rows over so many of them, which bounds the broadcast of
+   labels to their documents. A feature's log likelihood ratio is shrunk towards 0 by its own uncertainty, and
    the strongest FEATURES of them are the model, which bounds the broadcast. A document's sum is
    calibrated to a probability under the global base rate by a logistic fit on binned labelled sums.
 2. Sites. Hosts and their paths get Beta posteriors: the host's prior is the global rate, the path's
@@ -35,6 +36,8 @@ from .common import ROW, documents, with_row, written
 QUESTIONS = ("bad", "toxic")
 #: Features of a model, the most that are broadcast, and the least documents a feature must be in.
 FEATURES, LEAST = 1 << 16, 4
+#: Labelled rows that the model and the calibration are fitted on, at most: those of the least hash.
+SAMPLE = 20_000
 #: A shrunk log likelihood ratio is the ratio less so many standard errors.
 CAUTION = 2.5
 #: Documents' figures are binned in steps of 1 / BINS up to EDGE for the calibration.
@@ -115,7 +118,7 @@ def _evidence(model):
                     np.maximum.at(peak, text[words], w[at[words]])
                     sums += [np.bincount(text[styled], weights=w[at[styled]], minlength=b - a), peak, np.bincount(text[words], weights=w[at[words]], minlength=b - a) / root]
                 rest = batch.slice(a, b - a).drop_columns(["text"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, *map(pa.array, sums)], names=[*rest.schema.names, *[f"{q}_{f}" for q in QUESTIONS for f in FIGURES]])
+                yield pa.RecordBatch.from_arrays([*rest.columns, *[pa.array(x.astype(float)) for x in sums]], names=[*rest.schema.names, *[f"{q}_{f}" for q in QUESTIONS for f in FIGURES]])
 
     return run
 
@@ -142,7 +145,7 @@ def fit_evidence(texts: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[
     table = strong.orderBy(F.desc("strength"), "feature").limit(FEATURES).select("feature", *[f"w_{q}" for q in QUESTIONS]).toArrow()
     hashed = table.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(hashed)
-    return hashed[order], [table.column(f"w_{q}").to_numpy()[order] for q in QUESTIONS]
+    return hashed[order], [table.column(f"w_{q}").to_numpy().astype(float)[order] for q in QUESTIONS]
 
 
 def fit_logistic(bins: list[tuple[tuple[float, ...], int, int]]) -> tuple[list[float], float]:
@@ -205,6 +208,7 @@ def classified(docs: DataFrame, labels: DataFrame, site: Column | None = None, s
     site = F.col("source") if site is None else site
     section = F.col("lang") if section is None else section
     texts = with_row(docs).select(ROW, "doc_id", F.col("text").cast("string").alias("text"), host_of(site).alias("host"), F.coalesce(section.cast("string"), F.lit("")).alias("path"))
+    labels = F.broadcast(labels.orderBy(F.xxhash64("doc_id", "quality", "toxic")).limit(SAMPLE))
     model = spark.sparkContext.broadcast(fit_evidence(texts, labels))
     kind = texts.schema["doc_id"].dataType.simpleString()
     sums = written(texts.mapInArrow(_evidence(model), f"{ROW} long, doc_id {kind}, host string, path string, " + ", ".join(f"{q}_{f} double" for q in QUESTIONS for f in FIGURES)), "evidence")
