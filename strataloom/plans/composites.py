@@ -9,7 +9,8 @@ from ..functions import text as fn
 from ..operators import documents, graph, logic, retrieve, store, validate
 from ..operators.logic import Atom, Rule
 from ..sources.tables import edges, history, nodes, records, regions, sql, table, vectors
-from .graph import DISPOSED, recorded, root
+from .checks import CODES, REFS, references
+from .graph import DAG, DISPOSED, order_dag, recorded, root
 from .logic import FACTS, facts
 from .retrieval import VEC, first_vector
 from .store import K_SQL, k
@@ -95,3 +96,16 @@ def commit_outcomes(s, d):
 COMMITS = "select id, case when row_number() over (partition by corpus_id, payload order by seq) > 1 then 'replayed' when id % 10 = 0 then 'stale' else 'committed' end as outcome from records where kind = 'purchase'"
 query("t03_commit_delta", commit_outcomes, sql(COMMITS, "records"))
 query("t05_prepare_update", lambda s, d: commit_outcomes(s, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")), sql(f"with c as ({COMMITS}) select outcome, count(*) as n from c group by outcome", "records"))
+
+
+def report_lines(s, d):
+    """A line for each calculation of the order hierarchy, in order of level and name."""
+    g = order_dag(s, d)
+    level = graph.levels(g, g.select(F.col("src").alias("node")).unionByName(g.select(F.col("dst").alias("node"))))
+    inputs = g.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("inputs"))
+    return level.join(inputs, "node", "left").select("level", "node", F.concat(F.lit("- "), "node", F.lit(" from "), F.coalesce("inputs", F.lit(0))).alias("line"))
+
+
+query("s21_calculation_report", report_lines, f"with recursive {DAG}, l as (select distinct src as node, 0 as level from dag union select dst, level + 1 from l join dag on src = node), m as (select node, max(level) as level from l group by node) select level, node, '- ' || node || ' from ' || coalesce(n, 0) as line from m left join (select dst, count(*) as n from dag group by dst) on dst = node")
+query("s22_external_metadata", lambda s, d: table(s, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", r"^https?://([^/?]+)", 1).alias("host"), F.nullif(F.regexp_extract("html", r'<html lang="([^"]+)"', 1), F.lit("")).alias("lang")), r"""select page_id::bigint as page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_extract(url, '^https?://([^/?]+)', 1) as host, nullif(regexp_extract(html, '<html lang="([^"]+)"', 1), '') as lang from pages""")
+query("q18_validate_bundle", lambda s, d: (lambda r: validate.evidence_issues(references(s, d), r, "p1").join(r.select(F.col("region_id").alias("ref_id"), F.sha2("text", 256).alias("artifact_id")), "ref_id").groupBy("artifact_id").agg(F.count_if(F.col("code") == "ok").alias("valid"), F.count(F.lit(1)).alias("refs")))(regions(s, d)), sql(f"with {REFS}, c as ({CODES}) select sha256(s.text) as artifact_id, count(*) filter (code = 'ok') as valid, count(*) as refs from c join regions s on s.region_id = ref_id group by 1", "regions"))
