@@ -1,9 +1,10 @@
 """Operator 5: near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-Each text is a weighted set of shingles of five words; a shingle that occurs n times weighs
-1 + ln(n). Every shingle is a Poisson process whose points fall on the signature's components without
-replacement; a component keeps its first point, and a shingle's points stop once they come later than
-all the components hold. The share of equal components estimates the probability Jaccard similarity.
+Each text is a set of shingles of five words. Every shingle is a Poisson process whose points fall on
+the signature's components without replacement; a component keeps its first point, and a shingle's
+points stop once they come later than all the components hold. The share of equal components estimates
+the probability Jaccard similarity, which is that of the plain sets, as all shingles weigh 1 however
+often they occur: bands, prefilter and verification go by one measure.
 
 Texts that agree in a band of components are candidates. Links are verified on the shingle sets
 themselves: Jaccard similarity of at least the threshold. A bucket's rows are first verified against
@@ -79,8 +80,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = column.slice(a, b - a)
             word, bounds = tn.words(part)
             n = b - a
-            value, text, count = tn.distinct_in_text(*tn.shingles(word, bounds, WORDS))
-            sig = signatures(value, text, 1.0 + np.log(count), n)
+            value, text, _ = tn.distinct_in_text(*tn.shingles(word, bounds, WORDS))
+            sig = signatures(value, text, np.ones(len(value)), n)
             band = np.zeros((n, BANDS), dtype=np.uint64)
             for j in range(BAND_ROWS):
                 band = tn.mix(band * _U(0x9E3779B97F4A7C15) + sig[:, j * BANDS : (j + 1) * BANDS] + np.arange(BANDS, dtype=np.uint64))

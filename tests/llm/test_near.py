@@ -51,6 +51,19 @@ def test_like_all_pairs(table, hard, monkeypatch, block):
     assert sum(r.kept for r in got) == len({(r.class_id, r.class_size) if r.class_size > 1 else (r.doc_id, r["__row"]) for r in got})
 
 
+def test_repeated_lines_in_other_counts(table):
+    """Pairs of equal or similar sets in which a line stands another number of times."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(16):
+        intro = [f"p{i}x{rng.randrange(9999)}" for _ in range(15)]
+        line = [f"l{i}x{k}" for k in range(5)]
+        rows += [(10 * i, " ".join(intro + line * 2)), (10 * i + 1, " ".join(intro[i % 4 :] + line * 200))]
+    got = near_dedup.near_classes(table(rows)).collect()
+    assert sorted(((False, r.doc_id), (r.class_id, r.class_size)) for r in got) == classes(rows)
+    assert {r.class_size for r in got} == {2}
+
+
 def test_signature_estimates_weighted_similarity():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 400, dtype=np.uint64), rng.integers(0, 2**63, 100, dtype=np.uint64)
