@@ -115,8 +115,8 @@ TEXTS = [
     ("cc0-1.0", "creativecommons org publicdomain zero 1 0", 1.0),
     ("proprietary", "all rights reserved", 0.5),
 ]
-#: A text without any of these can't match a rule; "cc" and "mit" count as words of their own.
-KEYWORDS = ["licen", "permission", "permitted", "redistributions", "contributors", "advertising", "spdx", "creative", "cc0", "public domain", "rights", "encumbered", "altered", "wtfpl", "gnu", "attribution"]
+#: A text without any of these can't match a rule. They are tried on the text as it is, so each lies within one word; "cc by" has a regex.
+KEYWORDS = ["licen", "permission", "permitted", "redistributions", "contributors", "advertising", "spdx", "creative", "cc0", "domain", "rights", "encumbered", "altered", "wtfpl", "gnu", "attribution"]
 CC_BY = rf"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])cc{SEPARATORS}by"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 
 from strataloom.llm import licenses
 
@@ -34,5 +35,46 @@ def test_rules_and_suppression(table):
     assert len(licenses.rules()) > 200 and all(h for _, r, _, _ in licenses.rules() for h in licenses.first_words(r))
 
 
+def own_texts(regex):
+    """The shortest and the longest of the texts that a rule describes, for each of its alternatives."""
+
+    def spelled(parsed, most):
+        texts = [""]
+        for kind, value in parsed:
+            match str(kind):
+                case "LITERAL":
+                    part = [chr(value)]
+                case "NOT_LITERAL":
+                    part = ["w"]
+                case "IN":
+                    first = value[0]
+                    part = ["w" if str(first[0]) == "NEGATE" else "7" if str(first[0]) == "CATEGORY" else chr(first[1] if str(first[0]) == "LITERAL" else first[1][0])]
+                case "BRANCH":
+                    part = [t for p in value[1] for t in spelled(p, most)]
+                case "SUBPATTERN":
+                    part = spelled(value[3], most)
+                case "MAX_REPEAT":
+                    low, high, inner = value
+                    part = [t * (min(high, 2) if most else low) for t in spelled(inner, most)]
+            texts = list(dict.fromkeys(a + b for a in texts for b in part))
+        return texts
+
+    return [t for most in (False, True) for t in spelled(_parser.parse(regex), most)]
+
+
+def test_own_texts_pass_the_gate(table):
+    own = sorted({" ".join(t.split()) for _, regex, _, _ in licenses.rules() for t in own_texts(regex) if re.fullmatch(regex, " ".join(t.split()))})
+    assert all(any(re.fullmatch(regex, t) for t in own) for _, regex, _, _ in licenses.rules())
+    rows = [(i, gap.join(t.split())) for i, (t, gap) in enumerate((t, gap) for t in own for gap in (" ", "\n", "-", "  ", " \n * "))]
+    got = licenses.scan_licenses(table(rows)).filter("score = 0").select("doc_id").collect()
+    assert [rows[r.doc_id] for r in got] == []
+
+
+def test_wrapped_public_domain(table):
+    rows = [(1, "dedicated to the public\ndomain"), (2, "Released in the Public-Domain."), (3, "placed  into  the  public  domain"), (4, "a domain of public interest")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(table(rows)).collect()}
+    assert got == {1: ("public-domain", 0.8), 2: ("public-domain", 0.8), 3: ("public-domain", 0.8), 4: ("", 0.0)}
+
+
 def test_empty_table(table):
     assert licenses.scan_licenses(table([])).count() == 0
