@@ -25,7 +25,7 @@ def pages(s, d):
 
 
 query("s13_cursor_page", lambda s, d: op.cursor_pages(records(s, d), "id", "payload", 4096).select("id", "page", "cursor"))
-query("s15_formula_spans", lambda s, d: op.formula_spans(regions(s, d).select("region_id", F.concat(F.substring("text", 1, 30), F.lit(" $x^2$ and $$y$$ and \\[z\\] end")).alias("text"))).select("region_id", "begin", "end", "kind"))
+query("s15_formula_spans", lambda s, d: op.formula_spans(table(s, d, "documents").select(F.col("doc_id").cast("long").alias("region_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" $x^2$ and $$y$$ and \\[z\\] end")).alias("text"))).select("region_id", "begin", "end", "kind"))
 query("s16_html_normalize", lambda s, d: op.html_text(pages(s, d), markdown=True))
 query("s17_html_visible_text", lambda s, d: op.html_text(pages(s, d), markdown=False))
 query("s24_strict_json", lambda s, d: op.strict_json(records(s, d).select("id", F.when(F.col("id") % 10 == 0, '{"k":1,"k":2}').when(F.col("id") % 10 == 1, '{"k":NaN}').otherwise(F.col("payload")).alias("payload"))))

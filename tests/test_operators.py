@@ -90,3 +90,20 @@ def test_unknown_utility_is_unknown(spark):
     rows = [("a", 1, 1, 2, 6, 0), ("a", 2, 1, 2, 2, 0), ("b", 1, 1, 1, None, 0)]
     got = {r.action: r.eu_num for r in decide.expected_utility(spark.createDataFrame(rows, "action string, outcome long, num long, den long, utility long, cost long")).collect()}
     assert got == {"a": 8, "b": None}
+
+
+def test_formulas_and_citations_anywhere_in_a_text(spark, tmp_path):
+    from strataloom import catalog
+
+    long = "plain words " * 40
+    docs = [(1, long + "$e=mc^2$ then " + long, "en", "a"), (2, long, "en", "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    turns = [(1, 0, "user", long + "as [S7] says " + long), (1, 1, "user", long)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.queries()["s15_formula_spans"](spark, str(tmp_path)).collect()
+    n = len(long)
+    assert (1, n, n + 8, "inline") in {tuple(r) for r in got}
+    assert sorted(r.kind for r in got if r.region_id == 2) == ["bracket", "display", "inline"]
+    cited = {r.turn: (r.cited, r.unknown) for r in catalog.queries()["c27_citations"](spark, str(tmp_path)).collect()}
+    assert cited == {0: ("S7,S1,G0", "S7"), 1: ("S1,G1", "G1")}
