@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +79,26 @@ def newest_within(history: DataFrame, budget: int, most: int) -> DataFrame:
 def first_fit(ranked: DataFrame, key: str, size: str, budget: int, order: Sequence[Column]) -> DataFrame:
     """Items in order that fit the budget; one that doesn't fit is skipped and the next is tried.
 
-    The fold is sequential by definition. It runs over each group's array in the JVM.
+    The fold is sequential by definition. Each key's rows stream through it in order, and it holds one sum.
     """
-    items = F.array_sort(F.collect_list(F.struct(*[c.alias(f"by{i}") for i, c in enumerate(order)], F.col(size).alias("size"), F.col("item"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    step = lambda a, x: F.when(a["used"] + x["size"] <= budget, F.struct((a["used"] + x["size"]).alias("used"), F.concat(a["taken"], F.array(x["item"])).alias("taken"))).otherwise(a)
-    return ranked.groupBy(key).agg(F.aggregate(items, start, step).alias("fit")).select(key, "fit.used", F.explode("fit.taken").alias("item"))
+    by = [f"by{i}" for i in range(len(order))]
+    rows = ranked.select(key, *[c.alias(b) for b, c in zip(by, order, strict=True)], F.col(size).cast("long").alias("size"), F.col("item").cast("long").alias("item"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = object(), 0
+        for batch in batches:
+            taken, after = [], []
+            for i, (k, n) in enumerate(zip(batch.column("key").to_pylist(), batch.column("size").to_pylist(), strict=True)):
+                if k != last:
+                    last, used = k, 0
+                if n is not None and used + n <= budget:
+                    used += n
+                    taken.append(i)
+                    after.append(used)
+            held = batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([held.column("key"), pa.array(after, pa.int64()), held.column("item")], names=["key", "used", "item"])
+
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, *by, "size", "item").select(F.col(key).alias("key"), "size", "item")
+    fit = sorted_rows.mapInArrow(fold, f"key {kind}, used long, item long")
+    return fit.select(F.col("key").alias(key), F.max("used").over(Window.partitionBy("key")).alias("used"), "item")

@@ -107,3 +107,25 @@ def test_formulas_and_citations_anywhere_in_a_text(spark, tmp_path):
     assert sorted(r.kind for r in got if r.region_id == 2) == ["bracket", "display", "inline"]
     cited = {r.turn: (r.cited, r.unknown) for r in catalog.queries()["c27_citations"](spark, str(tmp_path)).collect()}
     assert cited == {0: ("S7,S1,G0", "S7"), 1: ("S1,G1", "G1")}
+
+
+def test_first_fit_streams_and_copies_are_not_paired(spark, tmp_path):
+    from strataloom import catalog
+
+    rows = [(k, i, (i * 7 + k) % 40) for k in (1, 2, 3) for i in range(500)] + [(4, 0, None), (4, 1, 999), (None, 5, 7)]
+    want = set()
+    for k in (1, 2, 3, 4, None):
+        used, taken = 0, []
+        for _, i, n in sorted((r for r in rows if r[0] == k), key=lambda r: -r[1]):
+            if n is not None and used + n <= 300:
+                used += n
+                taken.append(i)
+        want |= {(k, used, i) for i in taken}
+    fit = retrieve.first_fit(spark.createDataFrame(rows, "k long, item long, size long").repartition(3), "k", "size", 300, [-F.col("item")])
+    assert {tuple(r) for r in fit.collect()} == want
+    assert "collect_list" not in fit._jdf.queryExecution().toString()
+    spark.createDataFrame([(i, "Same  text" if i % 2 else "same text ", "en", "a") for i in range(300)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    j11 = catalog.queries()["j11_exact_statement_dup"](spark, str(tmp_path))
+    assert {tuple(r) for r in j11.collect()} == {(i, 0) for i in range(1, 300)}
+    assert "(region_id#" not in "".join(x for x in j11._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
