@@ -1,11 +1,13 @@
 """Operator 1: media columns in archives, by a custom Spark data source.
 
-Format "media_archive": a folder of ZIP archives whose members are media files, and a manifest that the
-writer's commit leaves. Each write task rolls over archives of its own; only archives of committed
-tasks are in the manifest, so a lost executor or a second attempt leaves no double members. Reading
-plans byte ranges over the archives; a task takes the members whose header begins in its range from
-the archive's directory, reads each at its offset, holds it against the directory's checksum, and
-retries that member alone. Members stream out in Arrow batches of bounded size.
+Format "media_archive": a folder of ZIP archives whose members are media files, and a manifest for each
+write that was committed. Each write task rolls over archives of its own; only archives of committed
+tasks are in a manifest, so a lost executor or a second attempt leaves no double members, and the commit
+removes what such attempts left. Appending adds a manifest; overwriting removes all earlier ones and
+their archives once its own stands. Reading plans byte ranges over the archives of all manifests; a task
+takes the members whose header begins in its range from the archive's directory, reads each at its
+offset, holds it against the directory's checksum, and retries that member alone. Members stream out in
+Arrow batches of bounded size.
 
 A text is stored as an 8-bit grey PNG, 64 samples wide: its UTF-8 bytes, padded with 0 to a positive
 multiple of 64. The unpadded length is a text chunk of the image.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -32,14 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import documents, shared_dir
+from .common import column, documents, shared_dir
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-MANIFEST = "manifest.json"
+MANIFEST = "manifest-"
 #: Bytes of an archive before a task begins the next, of a read range, and of an Arrow batch.
-ARCHIVE, RANGE, BATCH = 512 << 20, 64 << 20, 8 << 20
-ATTEMPTS = 3
+ARCHIVE, RANGE, BATCH = 128 << 20, 64 << 20, 8 << 20
+#: Attempts at a member, and the pause after the first failure, which doubles.
+ATTEMPTS, PAUSE = 3, 0.1
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -56,7 +60,14 @@ def to_png(raw: bytes) -> bytes:
 
 
 def from_png(image: bytes) -> tuple[np.ndarray, int]:
-    """The samples, a row each, and the unpadded length."""
+    """The samples, a row each, and the unpadded length. Whatever is wrong with the image is a ValueError."""
+    try:
+        return _samples(image)
+    except (struct.error, zlib.error) as e:
+        raise ValueError(f"a damaged image: {e}") from e
+
+
+def _samples(image: bytes) -> tuple[np.ndarray, int]:
     if image[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, packed, length, size = 8, [], None, (0, 0)
@@ -126,14 +137,14 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return ArchiveWriter(self.options)
+        return ArchiveWriter(self.options, overwrite)
 
 
 class ArchiveWriter(DataSourceArrowWriter):
     """Writes rows of (key string, media binary)."""
 
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         filesystem, folder = _filesystem(self.path)
@@ -144,7 +155,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         for batch in batches:
             for key, media in zip(batch.column("key"), batch.column("media"), strict=True):
                 if archive is None:
-                    name = f"part-{uuid.uuid4().hex}.zip"
+                    name = f"{self.job}-{uuid.uuid4().hex}.zip"
                     stream = filesystem.open_output_stream(f"{folder}/{name}")
                     archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=True)
                 label = "" if not key.is_valid else "/" + quote(key.as_py(), safe="")
@@ -167,16 +178,39 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         filesystem, folder = _filesystem(self.path)
         filesystem.create_dir(folder, recursive=True)
-        with filesystem.open_output_stream(f"{folder}/{MANIFEST}") as out:
-            out.write(json.dumps([a for m in messages if m is not None for a in m.archives]).encode())
+        archives = [a for m in messages if m is not None for a in m.archives]
+        earlier = _manifests(filesystem, folder) if self.overwrite else []
+        replaced = [name for manifest in earlier for name, _ in _archives(filesystem, f"{folder}/{manifest}")]
+        with filesystem.open_output_stream(f"{folder}/{MANIFEST}{self.job}.json") as out:
+            out.write(json.dumps(archives).encode())
+        committed = {name for name, _ in archives}
+        left = [name for name in _files(filesystem, folder) if name.startswith(f"{self.job}-") and name not in committed]
+        for name in [*earlier, *replaced, *left]:
+            filesystem.delete_file(f"{folder}/{name}")
 
     def abort(self, messages) -> None:
         filesystem, folder = _filesystem(self.path)
-        for m in messages:
-            for name, _ in m.archives if m is not None else []:
+        for name in _files(filesystem, folder):
+            if name.startswith(f"{self.job}-"):
                 filesystem.delete_file(f"{folder}/{name}")
 
 
+def _files(filesystem, folder: str) -> list[str]:
+    from pyarrow import fs
+
+    return sorted(f.base_name for f in filesystem.get_file_info(fs.FileSelector(folder, allow_not_found=True)))
+
+
+def _manifests(filesystem, folder: str) -> list[str]:
+    return [name for name in _files(filesystem, folder) if name.startswith(MANIFEST)]
+
+
+def _archives(filesystem, manifest: str) -> list[tuple[str, int]]:
+    """Name and size of each archive that a manifest lists."""
+    with filesystem.open_input_file(manifest) as f:
+        return [(name, size) for name, size in json.loads(f.read())]
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -184,8 +218,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         filesystem, folder = _filesystem(self.path)
-        with filesystem.open_input_file(f"{folder}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
+        archives = [a for manifest in _manifests(filesystem, folder) for a in _archives(filesystem, f"{folder}/{manifest}")]
         ranges = [Range(name, start, min(start + RANGE, size)) for name, size in archives for start in range(0, size, RANGE)]
         return ranges or [Range("", 0, 0)]
 
@@ -247,16 +280,21 @@ class _Members:
             except (OSError, ValueError):
                 if attempt + 1 == ATTEMPTS:
                     raise
+                time.sleep(PAUSE * 2**attempt)
                 self.file = self.filesystem.open_input_file(self.path)
         raise AssertionError
 
 
 def _pictured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and images of the texts, about BATCH bytes of images at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            images = [to_png((t or "").encode()) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(images, pa.binary())], names=["key", "media"])
+        images, start, held = [], 0, 0
+        for i in range(batch.num_rows):
+            images.append(to_png((batch.column("text")[i].as_py() or "").encode()))
+            held += len(images[-1])
+            if held >= BATCH or i + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, i + 1 - start), pa.array(images, pa.binary())], names=["key", "media"])
+                images, start, held = [], i + 1, 0
 
 
 READ = "key string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -267,6 +305,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for media in batch.column("media"):
             image = media.as_py()
+            if image is None:  # a member that couldn't be read
+                rows.append((None,) * 7)
+                continue
             samples, length = from_png(image)
             payload = samples.tobytes()
             rows.append((length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples)))
@@ -275,11 +316,11 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=[x.split()[0] for x in READ.split(", ")])
 
 
-def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write every text as a member of the archives in path."""
+def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append") -> None:
+    """Write every text as a member of the archives in path, beside those there or (mode overwrite) instead of them."""
     docs.sparkSession.dataSource.register(MediaArchive)
-    texts = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"))
-    texts.mapInArrow(_pictured, "key string, media binary").write.format("media_archive").mode("append").save(path)
+    texts = docs.select(column(id_col).cast("string").alias("key"), column(text_col).cast("string").alias("text"))
+    texts.mapInArrow(_pictured, "key string, media binary").write.format("media_archive").mode(mode).save(path)
 
 
 def load(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:

@@ -65,6 +65,33 @@ def test_transient_error_is_retried(spark, table, tmp_path, monkeypatch):
     assert media.from_png(members.read(info))[1] == 4
 
 
+def test_append_and_overwrite(spark, table, tmp_path):
+    path = str(tmp_path / "a")
+    keys = lambda: sorted(int(r.key) for r in media.load(spark, path).select("key").collect())
+    media.store(table([(i, f"text {i}") for i in range(6)]), path)
+    media.store(table([(i, f"text {i}") for i in range(6, 8)]), path)
+    assert keys() == list(range(8))
+    media.store(table([(9, "new")]), path, mode="overwrite")
+    assert keys() == [9] and len(list((tmp_path / "a").glob("manifest-*"))) == 1 and len(list((tmp_path / "a").glob("*.zip"))) == 1
+
+
+def test_commit_removes_what_failed_attempts_left(tmp_path):
+    import pyarrow as pa
+
+    writer = media.ArchiveWriter({"path": str(tmp_path)})
+    batch = pa.RecordBatch.from_arrays([pa.array(["k"]), pa.array([media.to_png(b"x")], pa.binary())], names=["key", "media"])
+    lost, done = writer.write(iter([batch])), writer.write(iter([batch]))
+    writer.commit([done, None])
+    assert [p.name for p in tmp_path.glob("*.zip")] == [done.archives[0][0]] and lost.archives != done.archives
+
+
+def test_damaged_image_is_a_value_error():
+    image = media.to_png(b"hello world" * 20)
+    for at in range(8, len(image), 7):
+        with pytest.raises(ValueError):
+            media.from_png(image[:at])
+
+
 def test_empty_table(spark, table, tmp_path):
     media.store(table([]), str(tmp_path / "a"))
     assert media.load(spark, str(tmp_path / "a")).count() == 0
