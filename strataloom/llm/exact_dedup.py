@@ -2,8 +2,8 @@
 
 Defined results: a null text counts as empty; texts are equal when identical after each run of
 ASCII white space is one space; of equal texts the smallest id stays, and of repeated rows with that
-id the first of the scan; null ids come last. An empty table gives an empty result. Other columns
-pass through untouched, whatever their names.
+id exactly one; null ids come last. An empty table gives an empty result. Other columns pass through
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,9 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, documents, text_of, with_row
-
-OUT = "__dedup"
+from .common import column, documents, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -24,44 +22,40 @@ def normalised(text: Column) -> Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs and a struct column of keep_id, group_size, kept and text_sha256.
+    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Grouping by (hash, bytes) compares the bytes inside each hash group and is partially aggregated
-    before the shuffle, so a group of copies reaches the reducers as one row a task. The way back to
-    the rows is an equi-join on the two digests, whose large partitions Spark can split.
+    before the shuffle, so a group of copies reaches the reducers as one row a task. The way back
+    joins on two digests; rows that agree in id and digests are one row with a count until the end,
+    so repeated rows need no number and none is in a task with all others.
     """
-    docs = with_row(docs.drop(OUT))
-    hashed = docs.withColumn("__norm", normalised(text_of(text_col))).withColumn("__md5", F.unhex(F.md5("__norm")))
-    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
+    norm = docs.select(column(id_col).alias("doc_id"), normalised(text_of(text_col)).alias("norm"))
+    id_first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     groups = (
-        hashed.groupBy("__md5", "__norm")
-        .agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
-        .select(
-            F.col("__md5").alias("__g_md5"),
-            F.unhex(F.sha2("__norm", 256)).alias("__g_sha"),
-            F.col("first.id").alias("__g_id"),
-            F.col("first.row").alias("__g_row"),
-            F.col("group_size").alias("__g_size"),
-        )
-    )
-    keyed = hashed.withColumn("__sha", F.unhex(F.sha2("__norm", 256))).drop("__norm")
-    joined = keyed.join(groups, (F.col("__md5") == F.col("__g_md5")) & (F.col("__sha") == F.col("__g_sha")))
-    out = F.struct(
-        F.col("__g_id").alias("keep_id"),
-        F.col("__g_size").alias("group_size"),
-        (F.col(ROW) == F.col("__g_row")).alias("kept"),
-        F.lower(F.hex("__sha")).alias("text_sha256"),
+        norm.groupBy(F.unhex(F.md5("norm")).alias("md5"), "norm")
+        .agg(F.min(id_first)["id"].alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .select("md5", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     )
-    return joined.withColumn(OUT, out).drop("__md5", "__sha", "__g_md5", "__g_sha", "__g_id", "__g_row", "__g_size", ROW)
+    rows = norm.groupBy("doc_id", F.unhex(F.md5("norm")).alias("md5"), F.unhex(F.sha2("norm", 256)).alias("sha")).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    each = rows.join(groups, ["md5", "sha"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with the columns of docs."""
-    return exact_dedup(docs, id_col, text_col).filter(f"{OUT}.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of equal texts, with the columns of docs: one scan and one shuffle.
+
+    The whole row travels in a struct beside its group's key; the least by id, then by place in the
+    scan, stays. It is taken before the shuffle in each task and after it once more.
+    """
+    keyed = docs.select(
+        normalised(text_of(text_col)).alias("norm"), F.struct(*[column(c) for c in docs.columns]).alias("doc"), F.struct(column(id_col).isNull(), column(id_col), F.monotonically_increasing_id()).alias("place")
+    )
+    return keyed.groupBy(F.unhex(F.md5("norm")).alias("md5"), "norm").agg(F.min_by("doc", "place").alias("doc")).select("doc.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir)).select("doc_id", f"{OUT}.*")
+    return exact_dedup(documents(spark, sf_dir))
 
 
 SQL = {

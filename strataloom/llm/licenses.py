@@ -16,7 +16,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import column, documents, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between words before lower-casing.
@@ -187,7 +187,7 @@ def suppressed(found: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
-    df = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    df = docs.select(column(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     lower = F.lower("text")
     gate = F.contains(lower, F.lit("cc")) & lower.rlike(CC_BY)
     for k in KEYWORDS:

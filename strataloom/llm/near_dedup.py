@@ -11,13 +11,14 @@ themselves: Jaccard similarity of at least the threshold. A bucket's rows are fi
 one centre, the row that shares most buckets with others: in a group of copies that is the text nearest
 to their original, so the buckets of a group elect the same centre. Rows in another component are then
 verified against a second centre of theirs. In buckets that still hold several components all pairs
-are compared, in blocks of BLOCK rows inside the tasks, which give back only links that join
-components. No bucket is capped.
+are compared, in blocks of BLOCK rows or BLOCK_BYTES inside the tasks, which give back only links that
+join components; a bucket of more rows than a block tries up to CENTRES centres first. No bucket is
+capped.
 
 Defined results: a null text counts as empty; texts without words are classes of their own; texts with
 the same words in the same order share a class without pairing; the class id is the least id in it, a
 null id comes last; of a class the row with the least id (then first in the scan) stays. An empty
-table gives an empty result.
+table gives an empty result. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,15 +32,17 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from . import textnum as tn
-from .common import ROW, documents, with_row, written
+from .common import ROW, column, documents, numbered, without, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: A prime number of components, 26 bands of 5: a pair at similarity 0.8 shares no band with probability 3e-5.
 SIZE, BANDS, BAND_ROWS = 131, 26, 5
 #: Candidates whose signatures agree less than this aren't verified: 5 standard deviations below 0.8.
 LEAST_ESTIMATE = 0.62
-#: Rows of a bucket that a task compares with each other at a time.
-BLOCK = 1000
+#: Rows of a bucket that a task compares with each other at a time, and bytes of their shingle sets.
+BLOCK, BLOCK_BYTES = 1000, 64 << 20
+#: Rounds of centres, at most, before what is left of a bucket is compared in blocks.
+CENTRES = 6
 
 _U = np.uint64
 
@@ -70,7 +73,7 @@ def signatures(shingle: np.ndarray, text: np.ndarray, weight: np.ndarray, texts:
     return out.reshape(texts, size)
 
 
-SIGNED = "__row long, doc_id {id}, key binary, bands array<long>, brief binary"
+SIGNED = "__row long, doc_id {id}, key binary, shingles long, bands array<long>, brief binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +99,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column(ROW).slice(a, n),
                     batch.column("doc_id").slice(a, n),
                     pa.array([k.tobytes() if ok else None for k, ok in zip(key, full, strict=True)], pa.binary()),
+                    pa.array(np.bincount(text, minlength=n).astype(np.int64)),
                     pa.array([list(x) if ok else [] for x, ok in zip(band.view(np.int64), full, strict=True)], pa.list_(pa.int64())),
                     pa.array([x.tobytes() for x in brief], pa.binary()),
                 ],
-                names=[ROW, "doc_id", "key", "bands", "brief"],
+                names=[ROW, "doc_id", "key", "shingles", "bands", "brief"],
             )
 
 
@@ -125,7 +129,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-            keep.append(both >= THRESHOLD * (len(p) + len(q) - both) and len(p) > 0)
+            keep.append(both + 1e-9 >= THRESHOLD * (len(p) + len(q) - both) and len(p) > 0)
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -153,17 +157,10 @@ def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long")
 
 
-def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of 32-bit hashes. Two shingles in one hash can only raise a similarity, by about one in a million."""
-    for batch in _sets(batches):
-        sets = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column("shingles")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-
 def _joined(table: pa.Table) -> pa.Table:
     """Links between components among the rows of a block or of two: a forest, so fewer than the rows."""
     node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
-    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("shingles")]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
     size = np.array([len(x) for x in sets], dtype=np.float32)
     value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
@@ -178,7 +175,7 @@ def _joined(table: pa.Table) -> pa.Table:
         part[owner[a:b], column[a:b] - first] = 1
         both += part @ part.T
     two = side.max() > side.min()
-    near = (both >= THRESHOLD * (size[:, None] + size[None, :] - both) - 1e-3) & (root[:, None] != root[None, :])
+    near = (both.astype(float) + 1e-9 >= THRESHOLD * (size[:, None].astype(float) + size[None, :] - both)) & (root[:, None] != root[None, :])
     near &= (side[:, None] < side[None, :]) if two else np.triu(np.ones_like(near), 1)
     lead: dict[int, int] = {}
 
@@ -225,23 +222,34 @@ def bucket_links(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFr
         return written(member.join(split, BUCKET), "member")
 
     member = rooted()
-    if not member.isEmpty():
+    for turn in range(1, CENTRES):
+        most = member.agg(F.max("n").alias("n")).first()["n"] or 0
+        if not most or (turn > 1 and most <= BLOCK):
+            break
         others = written(member.join(_centres(member), BUCKET).filter("root <> c_root").drop("c_node", "c_root"), "others")
         links = links.unionByName(written(_links(_pairs(others, _centres(others)), signed, texts), "links"))
         member = rooted()
     if not member.isEmpty():
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        placed = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        size = signed.select(F.col(ROW).alias("node"), (F.col("shingles") * 8).alias("bytes"))
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("held") / BLOCK_BYTES)).cast("int")
+        held = member.join(size, "node").groupBy(*BUCKET).agg(F.sum("bytes").alias("held"))
+        placed = member.join(held, BUCKET).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         placed = placed.select(*BUCKET, "node", "root", F.col("block").alias("side"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         asked = member.select(F.col("node").alias("n")).distinct()
-        sets = written(texts.join(asked, texts[ROW] == asked["n"], "left_semi").select(ROW, "text").mapInArrow(_small_sets, "node long, shingles binary"), "small-sets")
+        sets = written(texts.join(asked, texts[ROW] == asked["n"], "left_semi").select(ROW, "text").mapInArrow(_sets, "node long, shingles binary"), "sets")
         links = links.unionByName(written(placed.join(sets, "node").groupBy(*BUCKET, "low", "high").applyInArrow(_joined, "u long, v long"), "links"))
     return links
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: __row (its place in the scan), doc_id, class_id, class_size, kept."""
-    texts = with_row(docs).select(ROW, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """A row for each row of docs: __row (its number), doc_id, class_id, class_size, kept."""
+    return _classes(numbered(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))), "doc_id", "text")
+
+
+def _classes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Classes of numbered rows."""
+    doc = F.col("doc")
+    texts = rows.select(ROW, doc[id_col].alias("doc_id"), doc[text_col].cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     signed = written(texts.mapInArrow(_signed, SIGNED.format(id=kind)), "signed")
     # One node for each word sequence: the first row that has it. Partly aggregated before the shuffle.
@@ -261,11 +269,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return placed.join(classes, "root").select(ROW, "doc_id", F.col("first.id").alias("class_id"), "class_size", (F.col(ROW) == F.col("first.row")).alias("kept"))
 
 
-def kept_rows(docs: DataFrame) -> DataFrame:
-    """One row of each class, with the columns of docs, which must be a stable scan."""
-    stay = near_classes(docs).filter("kept").select(F.col(ROW).alias("__stay"))
-    rows = with_row(docs)
-    return rows.join(stay, rows[ROW] == stay["__stay"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, with the columns of docs."""
+    rows = numbered(docs)
+    return without(rows, _classes(rows, id_col, text_col).filter("not kept"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

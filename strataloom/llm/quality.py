@@ -7,18 +7,20 @@ Two questions are asked of each document: is it of bad quality, and is it toxic.
    labels to their documents. A feature's log likelihood ratio is shrunk towards 0 by its own uncertainty, and
    the strongest FEATURES of them are the model, which bounds the broadcast. A document's sum is
    calibrated to a probability under the global base rate by a logistic fit on binned labelled sums.
-2. Sites. Hosts and their paths get Beta posteriors: the host's prior is the global rate, the path's
-   prior is its host's posterior. Each prior's strength is fitted by the moments of the level below, so
-   sparse sites stay near the level above and no site outweighs its evidence.
+2. Sites. Hosts and their paths get Beta posteriors from their documents' answers: the label where there
+   is one (all labels count here), the classifier's probability elsewhere. The host's prior is the global
+   rate, the path's prior is its host's posterior. Each prior's strength is fitted by moments, from the
+   spread between sites beyond what the spread inside sites explains, so sparse sites stay near the level
+   above and no site outweighs its evidence.
 3. Combination. A document's odds are its likelihood ratio times the odds of its path, from which its
    own contribution is left out.
 
 A document is kept if both probabilities are below one half.
 
-Defined results: a null text counts as empty, without words; a null source is a site of its own; labels
-with null answers or several labels for one id count as what they say; without labels of both kinds the
-evidence is 0 and nothing is rejected; repeated rows give repeated results; an empty table gives an
-empty result.
+Defined results: a null text counts as empty, without words; a null source or section is a site of its own, that of the empty name; labels
+with null answers or several labels for one id count as what they say, on average for its site; without
+labels of both kinds the evidence is 0 and nothing is rejected; repeated rows give repeated results; an
+empty table gives an empty result. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import ROW, documents, with_row, written
+from .common import ROW, column, documents, numbered, without, written
 
 QUESTIONS = ("bad", "toxic")
 #: Features of a model, the most that are broadcast, and the least documents a feature must be in.
@@ -141,7 +143,7 @@ def fit_evidence(texts: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[
         else:
             scored = scored.withColumn(f"w_{q}", F.lit(0.0))
     strength = F.greatest(*[F.abs(f"w_{q}") for q in QUESTIONS])
-    strong = scored.filter(sum(F.col(n) for n in names[:2]) >= LEAST).withColumn("strength", strength).filter("strength > 0")
+    strong = scored.filter(F.greatest(F.col(names[0]) + F.col(names[1]), F.col(names[2]) + F.col(names[3])) >= LEAST).withColumn("strength", strength).filter("strength > 0")
     table = strong.orderBy(F.desc("strength"), "feature").limit(FEATURES).select("feature", *[f"w_{q}" for q in QUESTIONS]).toArrow()
     hashed = table.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(hashed)
@@ -169,50 +171,67 @@ def odds(p: Column) -> Column:
 
 
 def host_of(source: Column) -> Column:
-    """The part of a source or address before its first slash, without scheme."""
-    return F.substring_index(F.regexp_replace(F.coalesce(source.cast("string"), F.lit("")), "^[a-z]+://", ""), "/", 1)
+    """The host of an address, or a source up to its first slash."""
+    return F.regexp_extract(F.coalesce(source.cast("string"), F.lit("")), "^(?:[a-z]+://)?([^/?#]*)", 1)
 
 
-def site_rates(scored: DataFrame, question: str, rate: float) -> DataFrame:
-    """Posterior rate sums of each (host, path): n, s (sum of probabilities), prior mean and strength of the path.
+def path_of(source: Column) -> Column:
+    """The first part of an address after its host; empty if there is none."""
+    return F.substring_index(F.regexp_extract(F.coalesce(source.cast("string"), F.lit("")), r"^(?:[a-z]+://)?[^/?#]*/([^?#]*)", 1), "/", 1)
 
-    Prior strengths are fitted by moments: the spread of a level's means beyond what its documents'
-    own spread explains is its true spread.
+
+def strength(level: DataFrame, n: str, s: str, squares: str, mean: Column, rate: float) -> float:
+    """Strength of the Beta prior above a level of sites: rate (1 - rate) over the true spread of their means, less 1.
+
+    level: a row a site with its number of documents, the sum and the sum of squares of their answers.
     """
-    p = F.col(f"p_{question}")
-    path = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s"))
-    host = path.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    inside = scored.agg(F.var_pop(p)).first()[0] or 0.0
-
-    def strength(table: DataFrame, n: str, s: str, mean) -> float:
-        """Beta strength of the level above: rate (1 - rate) over the true spread, less 1."""
-        row = table.agg(F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - mean, 2)).alias("d"), F.count(F.lit(1)).alias("k"), F.sum(n).alias("n")).first()
-        if not row["n"]:
-            return 1.0
-        spread = max((row["d"] - row["k"] * inside) / row["n"], 0.0)
-        return float(min(max(rate * (1 - rate) / spread - 1 if spread > 0 else 1e4, 1.0), 1e4))
-
-    host_strength = strength(host, "host_n", "host_s", F.lit(rate))
-    host = host.withColumn("host_mean", (F.col("host_s") + host_strength * rate) / (F.col("host_n") + host_strength))
-    both = written(path.join(host.select(F.col("host").alias("h"), "host_mean"), F.col("host") == F.col("h")).drop("h"), "sites")
-    path_strength = strength(both, "n", "s", F.col("host_mean"))
-    return both.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), F.col("n").alias(f"n_{question}"), F.col("s").alias(f"s_{question}"), F.col("host_mean").alias(f"m_{question}"), F.lit(path_strength).alias(f"k_{question}"))
-
-
-def classified(docs: DataFrame, labels: DataFrame, site: Column | None = None, section: Column | None = None) -> DataFrame:
-    """A row for each row of docs: __row, doc_id, p_bad and p_toxic (evidence alone), bad and toxic (with sites), kept.
-
-    site: the column with the source or address, of which the host is taken; section: the path in it.
+    away, within = F.col(n) * F.pow(F.col(s) / F.col(n) - mean, 2), F.col(squares) - F.col(s) * F.col(s) / F.col(n)
+    row = level.agg(F.sum(away).alias("away"), F.sum(within).alias("within"), F.count(F.lit(1)).alias("sites"), F.sum(n).alias("n")).first()
+    if not row["n"]:
+        return 1.0
+    inside = max(row["within"], 0.0) / max(row["n"] - row["sites"], 1)
+    spread = (row["away"] - row["sites"] * inside) / row["n"]
+    return float(min(max(rate * (1 - rate) / spread - 1 if spread > 0 else 1e4, 1.0), 1e4))
+
+
+def site_rates(answers: DataFrame, question: str, rate: float) -> DataFrame:
+    """Each (host, path) with its number n of documents, sum s of their answers, prior mean m and prior strength k.
+
+    answers: host, path and a_<question>, the answer between 0 and 1.
     """
-    spark = docs.sparkSession
-    site = F.col("source") if site is None else site
-    section = F.col("lang") if section is None else section
-    texts = with_row(docs).select(ROW, "doc_id", F.col("text").cast("string").alias("text"), host_of(site).alias("host"), F.coalesce(section.cast("string"), F.lit("")).alias("path"))
-    labels = F.broadcast(labels.orderBy(F.xxhash64("doc_id", "quality", "toxic")).limit(SAMPLE))
-    model = spark.sparkContext.broadcast(fit_evidence(texts, labels))
+    a = F.col(f"a_{question}")
+    path = answers.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("s"), F.sum(a * a).alias("squares"))
+    host = path.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.sum("squares").alias("host_squares"))
+    above = strength(host, "host_n", "host_s", "host_squares", F.lit(rate), rate)
+    host = host.select(F.col("host").alias("h"), ((F.col("host_s") + above * rate) / (F.col("host_n") + above)).alias("mean"))
+    both = written(path.join(host, F.col("host") == F.col("h")).drop("h"), "sites")
+    own = strength(both, "n", "s", "squares", F.col("mean"), rate)
+    return both.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), F.col("n").alias(f"n_{question}"), F.col("s").alias(f"s_{question}"), F.col("mean").alias(f"m_{question}"), F.lit(own).alias(f"k_{question}"))
+
+
+def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", section_col: str | None = "lang") -> DataFrame:
+    """A row for each row of docs: doc_id, host, path, p_bad and p_toxic (evidence alone), bad and toxic (with sites), kept.
+
+    site_col holds a source or an address, of which the host is taken; section_col the path in it, or
+    None for the address's own first part.
+    """
+    section = column(section_col) if section_col else path_of(column(site_col))
+    texts = docs.select(F.lit(None).cast("long").alias(ROW), column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"), *sites_of(column(site_col), section))
+    return _classified(texts, labels).drop(ROW)
+
+
+def sites_of(site: Column, section: Column) -> list[Column]:
+    return [host_of(site).alias("host"), F.coalesce(section.cast("string"), F.lit("")).alias("path")]
+
+
+def _classified(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """texts: __row, doc_id, text, host, path; the same without text but with the figures."""
+    spark = texts.sparkSession
+    sample = F.broadcast(labels.orderBy(F.xxhash64("doc_id", "quality", "toxic")).limit(SAMPLE))
+    model = spark.sparkContext.broadcast(fit_evidence(texts, sample))
     kind = texts.schema["doc_id"].dataType.simpleString()
     sums = written(texts.mapInArrow(_evidence(model), f"{ROW} long, doc_id {kind}, host string, path string, " + ", ".join(f"{q}_{f} double" for q in QUESTIONS for f in FIGURES)), "evidence")
-    asked = labels.select(F.col("doc_id").alias("l_id"), (1 - F.col("quality").cast("int")).alias("l_bad"), F.col("toxic").cast("int").alias("l_toxic"))
+    asked = sample.select(F.col("doc_id").alias("l_id"), (1 - F.col("quality").cast("int")).alias("l_bad"), F.col("toxic").cast("int").alias("l_toxic"))
     known = sums.join(asked, sums["doc_id"] == asked["l_id"])
     scored, rates = sums, {}
     for q in QUESTIONS:
@@ -225,24 +244,31 @@ def classified(docs: DataFrame, labels: DataFrame, site: Column | None = None, s
         n0, n1 = sum(b[1] for b in bins), sum(b[2] for b in bins)
         rates[q] = (n1 + 0.5) / (n0 + n1 + 1.0)
         scored = scored.withColumn(f"p_{q}", 1 / (1 + F.exp(-sum((c * k for c, k in zip(clipped, slopes, strict=True)), F.lit(offset)))))
-    scored = written(scored.drop(*[f"{q}_{f}" for q in QUESTIONS for f in FIGURES]), "scored")
-    out = scored
+    # A row an id: several labels of one document are their mean.
+    told = labels.groupBy(F.col("doc_id").alias("l_id")).agg(F.avg(1 - F.col("quality").cast("int")).alias("l_bad"), F.avg(F.col("toxic").cast("int")).alias("l_toxic"))
+    answered = scored.drop(*[f"{q}_{f}" for q in QUESTIONS for f in FIGURES]).join(told, scored["doc_id"] == told["l_id"], "left")
+    answered = answered.withColumns({f"a_{q}": F.coalesce(f"l_{q}", f"p_{q}") for q in QUESTIONS}).drop("l_id", *[f"l_{q}" for q in QUESTIONS])
+    out = answered = written(answered, "scored")
     for q in QUESTIONS:
-        sites = site_rates(scored, q, rates[q])
+        sites = site_rates(answered, q, rates[q])
         out = out.join(sites, (F.col("host") == F.col("s_host")) & (F.col("path") == F.col("s_path"))).drop("s_host", "s_path")
-        p, rate = F.greatest(F.least(F.col(f"p_{q}"), F.lit(1 - 1e-9)), F.lit(1e-9)), rates[q]
-        others = (F.col(f"s_{q}") - F.col(f"p_{q}") + F.col(f"k_{q}") * F.col(f"m_{q}")) / (F.col(f"n_{q}") - 1 + F.col(f"k_{q}"))
-        others = F.greatest(F.least(others, F.lit(0.999)), F.lit(0.001))
-        joint = odds(p) / (rate / (1 - rate)) * odds(others)
-        out = out.withColumn(q, joint / (1 + joint)).drop(f"n_{q}", f"s_{q}", f"m_{q}", f"k_{q}")
+        out = out.withColumn(q, combined(F.col(f"p_{q}"), F.col(f"a_{q}"), rates[q], *[F.col(f"{x}_{q}") for x in "nsmk"])).drop(*[f"{x}_{q}" for x in "nsmka"])
     return out.withColumn("kept", (F.col("bad") < 0.5) & (F.col("toxic") < 0.5))
 
 
+def combined(p: Column, own: Column, rate: float, n: Column, s: Column, mean: Column, k: Column) -> Column:
+    """A document's probability: its likelihood ratio times the odds of its path without its own answer."""
+    p = F.greatest(F.least(p, F.lit(1 - 1e-9)), F.lit(1e-9))
+    others = F.greatest(F.least((s - own + k * mean) / (n - 1 + k), F.lit(0.999)), F.lit(0.001))
+    joint = odds(p) / (rate / (1 - rate)) * odds(others)
+    return joint / (1 + joint)
+
+
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with the columns of docs, a stable scan."""
-    stay = classified(docs, labels).filter("kept").select(F.col(ROW).alias("__stay"))
-    rows = with_row(docs)
-    return rows.join(stay, rows[ROW] == stay["__stay"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the classifier doesn't reject, with the columns of docs."""
+    rows, doc = numbered(docs), F.col("doc")
+    texts = rows.select(ROW, doc["doc_id"].alias("doc_id"), doc["text"].cast("string").alias("text"), *sites_of(doc["source"], doc["lang"]))
+    return without(rows, _classified(texts, labels).filter("not kept"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

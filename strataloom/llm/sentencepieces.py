@@ -22,8 +22,9 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import documents
+from .common import column, documents
 
 SPACE = "▁"
 #: Parts that a worker remembers, twice over, and the longest of them.
@@ -121,22 +122,25 @@ def pieces(path: str) -> Pieces:
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs with the columns n_tokens, ids (four bytes each) and decoded. Private columns come from the text alone."""
+    """docs with the columns n_tokens, ids (four bytes each) and decoded, which replace columns of these names.
+
+    All other columns travel in a struct, so none of them can clash with a private one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(path)
         for batch in batches:
-            texts = batch.column("__text")
-            for at in range(0, len(texts), 512):
-                ids = [coder.encode(t or "") for t in texts.slice(at, 512).to_pylist()]
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids = [coder.encode(t or "") for t in part.column("text").to_pylist()]
                 coder.check()
                 columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.string())]
-                rest = batch.slice(at, 512).drop_columns(["__text"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), *columns], names=["doc", "n_tokens", "ids", "decoded"])
 
-    kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema], OUT])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    kept = [column(c) for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
+    carried = docs.select(F.struct(*kept).alias("doc"), column(text_col).cast("string").alias("text"))
+    schema = StructType([carried.schema["doc"], *StructType.fromDDL(OUT).fields])
+    return carried.mapInArrow(run, schema).select("doc.*", "n_tokens", "ids", "decoded")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import column, documents, text_of
 
 #: Slots are counted in this many hash buckets a shard, so that no task ranks a whole shard.
 BUCKETS = 4096
@@ -35,9 +35,9 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 def shard_records(docs: DataFrame, weights: Sequence[float], added: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each record: id, size, text_crc32, shard, slot and, with one more shard of weight added, grown_shard."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.coalesce(column(id_col).cast("string"), F.lit(""))
     bucket = F.conv(F.substring(F.md5(F.concat(key, F.lit(":bucket"))), 1, 8), 16, 10).cast("long") % BUCKETS
-    placed = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(text_col).alias("text")).withColumns({"shard": rendezvous(F.col("key"), weights), "bucket": bucket.cast("int")})
+    placed = docs.select(column(id_col).alias("doc_id"), key.alias("key"), column(text_col).alias("text")).withColumns({"shard": rendezvous(F.col("key"), weights), "bucket": bucket.cast("int")})
     # At most len(weights) * BUCKETS rows, whatever the input: the only table that is broadcast.
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import ROW, documents, with_row, written
+from .common import ROW, column, documents, numbered, written
 
 LENGTH, GRAM = 200, 40
 REACH = LENGTH - GRAM  # bytes of a context left of its anchor
@@ -54,6 +54,20 @@ def difference_cover(period: int = PERIOD, gap: int = 8) -> list[int]:
 COVER = difference_cover()
 
 
+#: A factor for each 8 bytes of a string: odd, and not powers of one number.
+FACTORS = tn.mix(np.arange(1, LENGTH // 8 + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F)) | _U(1)
+
+
+def string_hashes(eights: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the string of a length, a multiple of 8, at each place; eights[..., i] are the 8 bytes from place i on."""
+    places = eights.shape[-1] - length + 8
+    mixed = tn.mix(eights + _U(0x2545F4914F6CDD1D))
+    total = np.zeros((*eights.shape[:-1], places), dtype=np.uint64)
+    for k in range(length // 8):
+        total += mixed[..., 8 * k : 8 * k + places] * FACTORS[k]
+    return tn.mix(total)
+
+
 def anchors(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Anchors of all texts: text, place in it, bytes to the left and right in the context, string hash, context hash."""
     raw, at = tn.data(texts)
@@ -61,10 +75,7 @@ def anchors(texts: pa.Array) -> tuple[np.ndarray, ...]:
     none = tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if n < LENGTH:
         return none
-    up, down = tn.powers(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(tn.RAW[raw] * up[:n], out=sums[1:])
-    gram = tn.mix((sums[GRAM:] - sums[: n - GRAM + 1]) * down[: n - GRAM + 1])
+    gram = string_hashes(tn.eights(raw)[: n - 7], GRAM)
     # The first least string of each window, by doubling the width.
     least, place, width = gram, np.arange(len(gram), dtype=np.int32), 1
     while width < REACH + 1:
@@ -83,7 +94,7 @@ def anchors(texts: pa.Array) -> tuple[np.ndarray, ...]:
     p = np.flatnonzero(chosen)
     text = np.searchsorted(at, p, side="right") - 1
     left, right = np.minimum(REACH, p - at[text]), np.minimum(LENGTH, at[text + 1] - p)
-    context = tn.mix((sums[p + right] - sums[p - left]) * down[p - left] + (left * 256 + right).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    context = tn.hashed(raw, p - left, p + right) ^ tn.mix((left * 256 + right).astype(np.uint64) + _U(1))
     return text, p - at[text], left, right, gram[p], context
 
 
@@ -100,17 +111,24 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts that are asked of each text."""
+    """The bytes of the contexts that are asked of each text, a batch for every 10,000 of them at most."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "gram", "many", ROW, "place", "bytes"])
+
+    rows: list[tuple] = []
     for batch in batches:
-        rows: list[tuple] = []
-        for row, text, asked in zip(batch.column(ROW).to_pylist(), batch.column("text").to_pylist(), batch.column("asked"), strict=True):
-            raw = text.encode()
-            for x in asked.as_py():
-                place, left, right = x["place"] >> 16, x["place"] >> 8 & 255, x["place"] & 255
-                rows.append((x["block"], x["gram"], x["many"], row, x["place"], raw[place - left : place + right]))
-        for i in range(0, len(rows), 10_000):
-            columns = list(zip(*rows[i : i + 10_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "gram", "many", ROW, "place", "bytes"])
+        for i in range(batch.num_rows):
+            row, raw = batch.column(ROW)[i].as_py(), batch.column("text")[i].as_py().encode()
+            for x in batch.column("asked")[i].as_py():
+                at, left, right = x["place"] >> 16, x["place"] >> 8 & 255, x["place"] & 255
+                rows.append((x["block"], x["gram"], x["many"], row, x["place"], raw[at - left : at + right]))
+                if len(rows) == 10_000:
+                    yield batch_of(rows)
+                    rows = []
+    if rows:
+        yield batch_of(rows)
 
 
 def laid_out(contexts: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,9 +220,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, first, last = laid_out(part.column("bytes").to_pylist(), place)
             column = np.arange(REACH + 1)
             r, c = np.nonzero((first[:, None] <= column) & (column <= last[:, None]))
-            up, down = tn.powers(block.shape[1])
-            sums = np.concatenate([np.zeros((len(block), 1), np.uint64), np.cumsum(tn.RAW[block] * up[: block.shape[1]], axis=1, dtype=np.uint64)], axis=1)
-            hashed = tn.mix((sums[r, c + LENGTH] - sums[r, c]) * down[c])
+            eights = np.lib.stride_tricks.sliding_window_view(block, 8, axis=1).copy().view("<u8")[..., 0]
+            hashed = string_hashes(eights[:, : REACH + LENGTH - 7], LENGTH)[r, c]
             names = ["gram", "many", ROW, "place"]
             yield pa.RecordBatch.from_arrays([*[part.column(n).take(pa.array(r)) for n in names], pa.array(c, pa.int32()), pa.array(hashed.view(np.int64))], names=[*names, "column", "hash"])
 
@@ -262,8 +279,9 @@ def covered(texts: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. docs must be a stable scan."""
-    texts = with_row(docs).select(ROW, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    doc = F.col("doc")
+    texts = numbered(docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))).select(ROW, doc["doc_id"].alias("doc_id"), doc["text"].alias("text"))
     ranges = covered(texts.select(ROW, "text")).groupBy(F.col(ROW).alias("r")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.join(ranges, texts[ROW] == ranges["r"], "left").select("doc_id", "text", "ranges").mapInArrow(_cut, f"doc_id {kind}, {REMOVED}")

@@ -5,6 +5,7 @@ Words are runs of ASCII letters, digits and bytes from 0x80 of the UTF-8 text, A
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,8 @@ import pyarrow as pa
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Bytes of a string beyond which a digest of it is taken instead of a chain over its words of 8 bytes.
+LONG = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,13 +27,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     byte = np.arange(256)
     is_word = (byte >= 0x80) | ((byte >= 48) & (byte < 58)) | ((byte >= 65) & (byte < 91)) | ((byte >= 97) & (byte < 123))
-    lower = np.where((byte >= 65) & (byte < 91), byte + 32, byte).astype(np.uint64)
-    return is_word, mix(lower + _U(1)) | _U(1)
+    return is_word, np.where((byte >= 65) & (byte < 91), byte + 32, byte).astype(np.uint8)
 
 
-IS_WORD, BYTE = _tables()
-#: Of bytes as they are.
-RAW = mix(np.arange(256, dtype=np.uint64) + _U(1)) | _U(1)
+IS_WORD, LOWER = _tables()
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number; zeros follow the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each string raw[start:end], by a chain of mixed steps that no structure of texts undoes."""
+    word, size = eights(raw), end - start
+    out = mix(size.astype(np.uint64) * _ODD + _U(seed + 1))
+    long = np.flatnonzero(size > LONG)
+    for i, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist(), strict=True):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[a:b].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, rest = start[live], size[live]
+    while len(live):
+        part = word[at] & _MASK[np.minimum(rest, 8)]
+        out[live] = mix((out[live] ^ part) * _ODD + _U(0x632BE59BD9B4E019))
+        on = rest > 8
+        live, at, rest = live[on], at[on] + 8, rest[on] - 8
+    return out
 
 
 def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
@@ -65,13 +88,6 @@ def data(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    up, down = np.full(n + 1, _ODD, dtype=np.uint64), np.full(n + 1, _INVERSE, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word in order, and each text's range in them (one more entry than texts)."""
     raw, at = data(texts)
@@ -87,11 +103,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after[-1], after[:-1] = False, inside[1:]
     start = np.flatnonzero(inside & (~before | cut[:-1]))
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    up, down = powers(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(BYTE[raw] * up[:n], out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
-    return hashed, np.searchsorted(start, at)
+    return hashed(LOWER[raw], start, end), np.searchsorted(start, at)
 
 
 def shingles(word: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,8 @@ strings, which count as one token each, as the library does by default. Three jo
    pre-tokens (at most BROADCAST of them, of at most BYTES bytes) meet them in the task, from a
    broadcast table of that proven size; all others through a shuffled join.
 
+A pre-token is known in tasks by two 64-bit hashes of its bytes, in joins by the string itself.
+
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows give repeated results;
 an empty table gives an empty result; other columns don't matter.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import ROW, documents, with_row, written
+from .common import ROW, column, documents, written
 
 LIMIT = 1024
 BROADCAST, BYTES = 400_000, 48
@@ -132,13 +134,23 @@ def pre_tokens(texts: pa.Array, special: tuple[str, ...]) -> tuple[str, np.ndarr
     return joined, begin, end, np.searchsorted(chars, begin, side="right") - 1, found
 
 
-def hashes(joined: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each substring."""
-    value = tn.mix(np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + _U(1)) | _U(1)
-    up, down = tn.powers(len(value))
-    sums = np.zeros(len(value) + 1, dtype=np.uint64)
-    np.cumsum(value * up[: len(value)], out=sums[1:])
-    return tn.mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+def hashes(texts: pa.Array, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run of code points of the texts: equal in both is equal."""
+    raw, _ = tn.data(texts)
+    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    return tn.hashed(raw, at[begin], at[end]), tn.hashed(raw, at[begin], at[end], seed=1)
+
+
+def distinct(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one of each distinct row of the keys, in order of the last, then the others, and how often each occurs."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
 
 
 def _frequencies(path: str):
@@ -146,8 +158,12 @@ def _frequencies(path: str):
         for batch in batches:
             column = tn.as_text(batch.column("text"))
             for a, b in tn.slices(column, SLICE):
-                joined, begin, end, _, _ = pre_tokens(column.slice(a, b - a), specials(path))
-                _, at, n = np.unique(hashes(joined, begin, end), return_index=True, return_counts=True)
+                part = column.slice(a, b - a)
+                joined, begin, end, _, _ = pre_tokens(part, specials(path))
+                first, second = hashes(part, begin, end)
+                _, at, same, n = np.unique(first, return_index=True, return_inverse=True, return_counts=True)
+                if (second != second[at][same]).any():  # two strings in one hash
+                    at, n = distinct((second, first))
                 yield pa.RecordBatch.from_arrays([pa.array([joined[i:j] for i, j in zip(begin[at].tolist(), end[at].tolist(), strict=True)], pa.string()), pa.array(n, pa.int64())], names=["token", "n"])
 
     return run
@@ -166,25 +182,22 @@ def _summed(path: str, common):
     """Rows, bytes, tokens of common pre-tokens, and the other pre-tokens with their frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pieces = common.value
+        known, check, pieces = common.value
         for batch in batches:
             column = tn.as_text(batch.column("text"))
             for a, b in tn.slices(column, SLICE):
                 part = column.slice(a, b - a)
                 joined, begin, end, text, found = pre_tokens(part, specials(path))
-                hashed = hashes(joined, begin, end)
-                at = np.minimum(np.searchsorted(known, hashed), max(len(known) - 1, 0))
-                hit = known[at] == hashed if len(known) else np.zeros(len(hashed), bool)
+                first, second = hashes(part, begin, end)
+                at = np.minimum(np.searchsorted(known, first), max(len(known) - 1, 0))
+                hit = (known[at] == first) & (check[at] == second) if len(known) else np.zeros(len(first), bool)
                 total = found + np.bincount(text[hit], weights=pieces[at[hit]], minlength=b - a).astype(np.int64)
                 rest = np.flatnonzero(~hit)
-                order = rest[np.lexsort((hashed[rest], text[rest]))]
-                h, t = hashed[order], text[order]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-                one = np.flatnonzero(new)
-                tokens = pa.array([joined[i:j] for i, j in zip(begin[order[one]].tolist(), end[order[one]].tolist(), strict=True)], pa.string())
-                counts = pa.array(np.diff(np.append(one, len(order))), pa.int64())
-                bounds = pa.array(np.searchsorted(t[one], np.arange(b - a + 1)), pa.int32())
+                one, times = distinct((second[rest], first[rest], text[rest]))
+                one = rest[one]
+                tokens = pa.array([joined[i:j] for i, j in zip(begin[one].tolist(), end[one].tolist(), strict=True)], pa.string())
+                counts = pa.array(times, pa.int64())
+                bounds = pa.array(np.searchsorted(text[one], np.arange(b - a + 1)), pa.int32())
                 lists = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([tokens, counts], names=["token", "n"]))
                 yield pa.RecordBatch.from_arrays([batch.column(ROW).slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(np.diff(tn.offsets(part)), pa.int64()), pa.array(total, pa.int64()), lists], names=[ROW, "doc_id", "n_bytes", "known", "rest"])
 
@@ -201,16 +214,17 @@ def common_tokens(counted: DataFrame, most: int = BROADCAST):
             break
         held, least = held + c, k
     table = short.filter(F.lit(least is not None) & (F.floor(F.log2("n")) >= (least or 0))).select("token", "pieces").toArrow()
-    tokens = table.column("token").to_pylist()
-    ends = np.cumsum([len(t) for t in tokens], dtype=np.int64)
-    hashed = hashes("".join(tokens), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if tokens else np.zeros(0, np.uint64)
-    order = np.argsort(hashed)
-    return hashed[order], table.column("pieces").to_numpy()[order]
+    tokens = table.column("token").combine_chunks().cast(pa.large_string())
+    points = np.concatenate([[0], np.cumsum([len(t) for t in tokens.to_pylist()], dtype=np.int64)])
+    first, second = hashes(tokens, points[:-1], points[1:]) if len(tokens) else (np.zeros(0, np.uint64),) * 2
+    order = np.argsort(first, kind="stable")
+    return first[order], second[order], table.column("pieces").to_numpy()[order]
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_tokens, over_limit."""
-    texts = with_row(docs).select(ROW, F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # The row's number is written with the sums and read from there, so any numbering will do.
+    texts = docs.select(F.monotonically_increasing_id().alias(ROW), column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     found = texts.select("text").mapInArrow(_frequencies(path), "token string, n long")
     counted = written(found.groupBy("token").agg(F.sum("n").alias("n")).mapInArrow(_pieces(path), "token string, n long, pieces long"), "pieces")
     common = docs.sparkSession.sparkContext.broadcast(common_tokens(counted))

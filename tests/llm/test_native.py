@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from strataloom.llm import exact_dedup, mixing, sharding
 
 
 def test_dedup_keeps_one_of_each_text(table, hard):
     rows = [*hard, (30, "word\n"), (31, "a  b"), (32, "a\tb"), (33, "a b")]
     docs = table(rows, extra=["keep_id", "kept", "first"])
-    got = exact_dedup.exact_dedup(docs).select("doc_id", f"{exact_dedup.OUT}.*").collect()
+    got = exact_dedup.exact_dedup(docs).collect()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = defaultdict(list)
     for i, t in rows:
@@ -41,20 +45,74 @@ def test_heavier_shards_hold_more(table):
     assert 0.68 < got[1] / 2000 < 0.82
 
 
-def test_mix_meets_targets(table):
-    rows = [(i, "w " * (i % 30), s) for i in range(900) for s in ["abcd"[i % 4]]] + [(5000 + i, "one two", None) for i in range(20)] + [(7, "same text here", "a")] * 30
+def fair(rows, weights=(5, 2, 1)):
+    """Targets and the cut queue, one entry after another: takes of each (doc_id, source, size) and targets."""
+    sized = [(i, s, len(t.split())) for i, t, s in rows]
+    sizes = defaultdict(int)
+    for _, s, n in sized:
+        sizes[s] += n
+    weight = {s: weights[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode())))}
+    budget, capped, target = 1.5 * sum(sizes.values()), set(), {}
+    while True:
+        free = {s: w for s, w in weight.items() if s not in capped}
+        level = (budget - sum(2 * sizes[s] for s in capped)) / sum(free.values())
+        over = {s for s in free if 2 * sizes[s] <= level * weight[s]}
+        if not over:
+            break
+        capped |= over
+    target = {s: 2 * sizes[s] if s in capped else level * w for s, w in weight.items()}
+    md5 = lambda i: hashlib.md5(str("" if i is None else i).encode()).hexdigest()
+    entries = []
+    for s in sizes:
+        end, count = 0, Counter()
+        for i, _, n in sorted((r for r in sized if r[1] == s), key=lambda r: (int(md5(r[0])[:8], 16) % 4096, md5(r[0]), r[0], r[2])):
+            end, count[i, n] = end + n, count[i, n] + 1
+            entries += [((p * sizes[s] + end) / target[s], md5(i), i, s, n, count[i, n], p) for p in (0, 1)] if target[s] else []
+    taken, held = Counter(), 0
+    for e in sorted(entries, key=lambda e: (e[0], e[1], e[2], e[3] or "", *e[4:])):
+        held += e[4]
+        if held > budget:
+            break
+        taken[e[2:5]] += 1
+    return taken, target
+
+
+def test_queue_is_cut_at_the_budget(table):
+    rows = [(i, "w " * (i % 30), "abcd"[i % 4]) for i in range(900)] + [(5000 + i, "one two", None) for i in range(20)] + [(7, "same text here", "a")] * 30 + [(9000, "word " * 400, "d")]
     got = mixing.fair_queue(table(rows, extra=["finish", "copy"])).collect()
-    taken, target = Counter(), {}
-    for r in got:
-        taken[r.source] += r.size * (r["pass"] > 0)
-        target[r.source] = r.target
+    taken, target = fair(rows)
+    assert Counter((r.doc_id, r.source, r.size) for r in got if r["pass"]) == taken
+    assert all(abs(r.target - target[r.source]) < 1e-6 for r in got) and sum(r["pass"] == 0 for r in got) == len(rows)
     words = Counter()
-    for _, t, s in rows:
-        words[s] += len(t.split())
-    assert abs(sum(target.values()) - 1.5 * sum(words.values())) < 1e-6
-    assert all(target[s] - 60 <= taken[s] <= target[s] <= 2 * words[s] for s in words)
-    assert sum(r["pass"] == 0 for r in got) == len(rows)
-    assert mixing.mix(table(rows)).count() > 0 and mixing.mix(table([])).count() == 0
+    for (_, s, n), k in taken.items():
+        words[s] += n * k
+    assert sum(words.values()) <= 1.5 * sum(len(t.split()) for _, t, _ in rows) and all(abs(words[s] - target[s]) <= 400 for s in target)
+    mixed = mixing.mix(table(rows)).collect()
+    assert Counter((r.doc_id, r.source, len(r.text.split())) for r in mixed) == taken and mixing.mix(table([])).count() == 0
+
+
+@pytest.mark.parametrize("files", [1, 3, 5])
+def test_repeated_rows_are_dealt_like_the_queue(spark, tmp_path, files):
+    rows = [(7, "same text here", "en", "a", None)] * 50 + [(i, "w " * i, "en", "a", None) for i in range(100, 110)] + [(i, "w " * 30, "en", "b", None) for i in range(200, 230)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(files).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    taken, _ = fair([(i, t, s) for i, t, _, s, _ in rows])
+    assert Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mix(docs, weights=(1, 5, 1)).collect()) == fair([(i, t, s) for i, t, _, s, _ in rows], (1, 5, 1))[0]
+    assert 0 < taken[7, "a", 3]
+
+
+def test_shards_by_brute_force(table, hard):
+    """The shard with the largest -weight / ln(u), recomputed; slots in order of the key's hash."""
+
+    def best(key, weights):
+        draw = lambda s: (int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return max(range(len(weights)), key=lambda s: (-weights[s] / math.log(draw(s)), s))
+
+    rows = [*hard, *[(100 + i, f"t{i}") for i in range(200)]]
+    weights = [1.0, 2.0, 0.5, 1.0]
+    for r in sharding.shard_records(table(rows), weights, added=3.0).collect():
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert r.shard == best(key, weights) and r.grown_shard == best(key, [*weights, 3.0])
 
 
 def test_mix_of_no_words(table):
