@@ -60,4 +60,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_sharding": op8_sharding}
-SQL: dict[str, str] = {}
+#: CRC-32 of the bytes: a table of 256 remainders, then a fold over each text's bytes.
+SQL = {
+    "op8_sharding": r"""
+    with recursive bits as (select b, b as v, 0 as i from range(256) t(b) union all select b, case when v & 1 = 1 then xor(3988292384, v >> 1) else v >> 1 end, i + 1 from bits where i < 8),
+    remainders as (select list(v order by b) as tab from bits where i = 8),
+    d as (select row_number() over () as r, doc_id, coalesce(doc_id::varchar, '') as key, coalesce(text, '') as text from documents),
+    c as (select r, doc_id, key, octet_length(encode(text)) + 1 as size, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::bigint)) as text_crc32
+          from d, remainders),
+    s as (select r, i as shard, -1.0::double / ln((('0x' || md5(key || ':' || i)[1:13])::bigint + 0.5::double) / 4503599627370496::double) as score from d, range(9) t(i)),
+    b as (select r, arg_max(shard, score) filter (shard < 8) as shard, arg_max(shard, score) as grown_shard from s group by r),
+    p as (select c.*, b.shard, b.grown_shard, ('0x' || md5(key || ':bucket')[1:8])::bigint % 4096 as bucket from c join b using (r))
+    select doc_id, size::bigint as size, text_crc32, 'key' as law, shard::int as shard,
+           row_number() over (partition by shard order by bucket, md5(key), key, size, text_crc32) - 1 as slot, grown_shard::int as grown_shard
+    from p
+    """
+}

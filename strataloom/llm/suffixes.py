@@ -292,4 +292,19 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_suffixes": op2_suffixes}
-SQL: dict[str, str] = {}
+#: By brute force over hex digits: every window's digest is counted.
+SQL = {
+    "op2_suffixes": r"""
+    with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    parts as (select r, s, substring(h, 2 * s + 1, 1398) as part from (select r, h, unnest(range(0, len(h) // 2 - 199, 500)) as s from d)),
+    w as (select r, s + i as p, md5_number(substring(part, 2 * i + 1, 400)) as string from (select r, s, part, unnest(range(len(part) // 2 - 199)) as i from parts)),
+    again as (select string from w group by string having count(*) > 1),
+    marked as (select r, p, case when p <= lag(p) over (partition by r order by p) + 200 then 0 else 1 end as fresh from w where string in (select string from again)),
+    spans as (select r, n, min(p) as a, max(p) + 200 as b from (select r, p, sum(fresh) over (partition by r order by p) as n from marked) group by r, n),
+    pieces as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as c from spans),
+    cut as (select r, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last, string_agg(substring(h, 2 * c + 1, 2 * (a - c)), '' order by a) as head from pieces join d using (r) group by r)
+    select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+           sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+    from d left join cut using (r)
+    """
+}

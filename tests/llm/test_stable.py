@@ -24,7 +24,7 @@ def groups(spark, tmp_path):
     base = [line(60) for _ in range(150)]
     rows = [(i, base[i % 150] if i % 3 else base[i % 150] + " tail" + str(i), "en", f"s{i % 4}", i) for i in range(900)]
     path = str(tmp_path / "groups")
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7).write.option("parquet.block.size", 8192).parquet(path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.option("parquet.block.size", 16384).parquet(path)
     spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     return spark.read.parquet(path), str(tmp_path)
 
@@ -32,7 +32,7 @@ def groups(spark, tmp_path):
 def test_splits_may_change_between_jobs(spark, groups):
     docs, folder = groups
     runs = {"suffixes": lambda: suffixes.remove_repeats(docs), **{name: lambda stage=stage: stage(spark, docs, folder) for name, stage in corpus_pipeline.STAGES[:4]}}
-    settings = {"spark.sql.leafNodeDefaultParallelism": "16", "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1000"}
+    settings = {"spark.sql.leafNodeDefaultParallelism": "12", "spark.sql.files.openCostInBytes": "1000"}
     for name, run in runs.items():
         want = Counter(map(str, run().collect()))
         late = run()
