@@ -65,9 +65,29 @@ def own_texts(regex):
 def test_own_texts_pass_the_gate(table):
     own = sorted({" ".join(t.split()) for _, regex, _, _ in licenses.rules() for t in own_texts(regex) if re.fullmatch(regex, " ".join(t.split()))})
     assert all(any(re.fullmatch(regex, t) for t in own) for _, regex, _, _ in licenses.rules())
-    rows = [(i, gap.join(t.split())) for i, (t, gap) in enumerate((t, gap) for t in own for gap in (" ", "\n", "-", "  ", " \n * "))]
-    got = licenses.scan_licenses(table(rows)).filter("score = 0").select("doc_id").collect()
-    assert [rows[r.doc_id] for r in got] == []
+    rows = [(i, gap.join(t.split())) for i, (t, gap) in enumerate((t, gap) for t in own for gap in ("\n", " -* "))]
+    got = licenses.scan_licenses(table(rows)).select("doc_id", "score").collect()
+    assert [rows[r.doc_id] for r in got if not r.score] == []
+
+
+def test_priority_resolves_overlaps(table):
+    """An identifier beats the sentence it overlaps; names inside notices go; neighbours stay."""
+    rows = [
+        (1, "released under the terms of the gnu lesser general public license version 2.1 or later"),
+        (2, "SPDX-License-Identifier: MIT license type the Apache License"),
+        (3, "mit license and bsd license"),
+        (4, "unless stated, licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
+    ]
+    got = {r.doc_id: [(d.start, d.end, d.label) for d in r.detections] for r in licenses.scan_licenses(table(rows)).collect()}
+    assert got[1] == [(0, 16, "lgpl-2.1")] and got[3] == [(0, 2, "mit"), (3, 5, "bsd")]
+    assert got[2] == [(0, 4, "mit"), (4, 9, "apache")]
+    assert {x for _, _, x in got[4]} == {"apache-2.0"}
+
+
+def test_many_places(table):
+    n = 3000
+    (row,) = licenses.scan_licenses(table([(1, "released under the mit license " * n)])).collect()
+    assert (row.n_base, row.last_word, len(row.detections)) == (n, 5 * n - 2, n)
 
 
 def test_wrapped_public_domain(table):
