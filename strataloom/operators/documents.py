@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -19,36 +20,40 @@ BREAKS = {"p", "div", "li", "tr", "br", "article", "section", "h1", "h2", "h3",
 MOST, EARLIEST = 1800, 900
 
 
+#: What a tag puts into a page's text, at its start; headings and lists of Markdown only there.
+STARTS = dict.fromkeys(BREAKS, "\n")
+HEADINGS = {f"h{n}": "\n" + "#" * n + " " for n in range(1, 7)}
+
+
 class Visible(HTMLParser):
-    """The visible text of a page; with markdown, headings as # and links as [text](target)."""
+    """The visible text of a page; with markdown, headings as #, links as [text](target) and images as ![alt]."""
 
     def __init__(self, markdown: bool):
         super().__init__(convert_charrefs=True)
-        self.markdown, self.out, self.hidden, self.links = markdown, [], 0, []
+        self.out: list[str] = []
+        self.targets: list[str] = []
+        self.depth = 0  # of tags whose text isn't seen
+        self.markdown = markdown
+        self.starts = STARTS | HEADINGS if markdown else STARTS
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.hidden += 1
-        elif tag in BREAKS:
-            self.out.append("\n")
-            if self.markdown and re.fullmatch("h[1-6]", tag):
-                self.out.append("#" * int(tag[1]) + " ")
-        elif tag == "a" and self.markdown:
-            self.links.append(dict(attrs).get("href") or "")
+        self.depth += tag in SKIPPED
+        self.out.append(self.starts.get(tag, ""))
+        given = dict(attrs)
+        if self.markdown and tag == "a":
+            self.targets.append(given.get("href") or "")
             self.out.append("[")
-        elif tag == "img" and self.markdown and not self.hidden:
-            self.out.append(f"![{dict(attrs).get('alt') or ''}]")
+        if self.markdown and tag == "img" and not self.depth:
+            self.out.append(f"![{given.get('alt') or ''}]")
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in BREAKS:
-            self.out.append("\n")
-        elif tag == "a" and self.markdown and self.links:
-            self.out.append(f"]({self.links.pop()})")
+        self.depth = max(0, self.depth - (tag in SKIPPED))
+        self.out.append(STARTS.get(tag, ""))
+        if tag == "a" and self.targets:
+            self.out.append(f"]({self.targets.pop()})")
 
     def handle_data(self, data):
-        if not self.hidden:
+        if not self.depth:
             self.out.append(data)
 
 
@@ -84,21 +89,28 @@ def formula_spans(regions: DataFrame) -> DataFrame:
     return regions.select("region_id", "text").mapInPandas(run, "region_id long, begin long, end long, kind string")
 
 
-def strict(text: str | None) -> bool:
-    """Whether a text is one JSON object without repeated keys, NaN or infinities."""
-
-    def pairs(items):
-        if len({k for k, _ in items}) < len(items):
-            raise ValueError("repeated key")
-        return dict(items)
+class Members(list):
+    """The (name, value) pairs of a JSON object, repeated names included."""
 
-    def constant(name):
-        raise ValueError(name)
 
+def strict(text: str | None) -> bool:
+    """Whether a text is one JSON object without repeated names, NaN or infinities, at any depth."""
     try:
-        return isinstance(json.loads(text or "", object_pairs_hook=pairs, parse_constant=constant), dict)
+        whole = json.loads(text or "", object_pairs_hook=Members)
     except ValueError:
         return False
+    todo = [whole]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, Members):
+            if len(dict(value)) < len(value):
+                return False
+            todo += [v for _, v in value]
+        elif isinstance(value, list):
+            todo += value
+        elif isinstance(value, float) and not math.isfinite(value):
+            return False
+    return isinstance(whole, Members)
 
 
 def strict_json(rows: DataFrame) -> DataFrame:
@@ -109,19 +121,23 @@ def strict_json(rows: DataFrame) -> DataFrame:
     return rows.select("id", "payload").mapInPandas(run, "id long, valid boolean")
 
 
-def leaves(value, path: str = "") -> list[tuple[str, str]]:
-    """Paths of a nested value's leaves with their JSON."""
-    if isinstance(value, dict) and value:
-        return [x for k, v in sorted(value.items()) for x in leaves(v, f"{path}.{k}" if path else k)]
-    if isinstance(value, list) and value:
-        return [x for i, v in enumerate(value) for x in leaves(v, f"{path}.{i}" if path else str(i))]
-    return [(path, json.dumps(value))]
+def leaves(payload: str | None) -> list[tuple[str, str]]:
+    """Paths of a JSON text's scalar leaves with their JSON, names in order; empty objects and lists have none."""
+    found, todo = [], [((), json.loads(payload))] if payload else []
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict | list):
+            inner = sorted(value.items()) if isinstance(value, dict) else list(enumerate(value))
+            todo += [((*path, str(k)), v) for k, v in reversed(inner)]
+        else:
+            found.append((".".join(path), json.dumps(value)))
+    return found
 
 
 def json_leaves(rows: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [(i, *x) for i, p in zip(f["id"], f["payload"], strict=True) for x in leaves(json.loads(p))]
+            found = [(i, *x) for i, p in zip(f["id"], f["payload"], strict=True) for x in leaves(p)]
             yield pd.DataFrame(found, columns=["id", "path", "value"])
 
     return rows.select("id", "payload").mapInPandas(run, "id long, path string, value string")
@@ -159,15 +175,24 @@ def cursor_pages(rows: DataFrame, key: str, value: str, budget: int) -> DataFram
     return rows.withColumn("block", block).withColumn("used", used).withColumn("page", page).withColumn("cursor", F.base64(F.encode(F.concat("page", F.lit("@"), key), "UTF-8")))
 
 
+LINKS = 1000
+
+
 def hash_chain(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Head of each group's hash chain: each link hashes the last one with the row's own hash.
 
-    A chain is sequential; rows are hashed and combined in blocks of 1000 first, then the blocks are folded.
+    A chain is sequential, so it is folded in blocks of LINKS orders, the blocks' heads in blocks of
+    blocks, and so on to one head a group: no array holds more than LINKS hashes. The order is unique in
+    its group and not negative.
     """
-    own = rows.select(group, order, F.sha2(value, 256).alias("own")).withColumn("block", F.expr(f"{order} div 1000"))
     fold = lambda c: F.aggregate(F.transform(F.array_sort(c), lambda x: x["h"]), F.lit(""), lambda a, x: F.sha2(F.concat(a, x), 256))
-    blocks = own.groupBy(group, "block").agg(fold(F.collect_list(F.struct(F.col(order).alias("o"), F.col("own").alias("h")))).alias("h"))
-    return blocks.groupBy(group).agg(fold(F.collect_list(F.struct(F.col("block").alias("o"), "h"))).alias("generation"))
+    block = lambda df: df.groupBy(group, F.expr(f"o div {LINKS}").alias("o")).agg(fold(F.collect_list(F.struct("o", "h"))).alias("h"))
+    heads = block(rows.select(group, F.col(order).alias("o"), F.sha2(value, 256).alias("h")))
+    last = (rows.agg(F.max(order)).first()[0] or 0) // LINKS
+    while True:
+        heads, last = block(heads), last // LINKS
+        if not last:
+            return heads.select(group, F.col("h").alias("generation"))
 
 
 def fingerprints(edges: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:

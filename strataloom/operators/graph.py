@@ -6,6 +6,7 @@ executor costs. Loops carry only the last round's new rows into the next join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
@@ -14,10 +15,21 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
-    """Nodes reachable from the seeds (column node) with their least depth, 0 for seeds."""
+#: Rounds after which a loop to a fixed point gives up with an error: no loop returns what it has so far.
+RUNAWAY = 20_000
+
+
+def turns(most: int | None) -> Iterator[int]:
+    """1 to most; without most until the caller stops, and an error if it never does."""
+    yield from range(1, (RUNAWAY if most is None else most) + 1)
+    if most is None:
+        raise RuntimeError(f"no fixed point after {RUNAWAY} rounds")
+
+
+def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """Nodes reachable from the seeds (column node) with their least depth, 0 for seeds; at most so deep if that is given."""
     rounds = [written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")]
-    for depth in range(1, most + 1):
+    for depth in turns(most):
         seen = reduce(DataFrame.unionByName, rounds).select("node")
         step = edges.join(rounds[-1], edges["src"] == rounds[-1]["node"]).select(F.col("dst").alias("node")).distinct()
         new = written(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "reach")
@@ -31,17 +43,20 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """All pairs (src, dst) joined by a path of at most so many edges, semi-naively."""
-    rounds = [written(edges.select("src", "dst").distinct(), "closure")]
-    for _ in range(most - 1):
+def closure(edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """All pairs (src, dst) joined by a path, semi-naively; with ends (column node) only pairs whose dst is among them."""
+    first = edges.select("src", "dst").distinct()
+    if ends is not None:
+        first = first.join(ends.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    rounds = [written(first, "closure")]
+    for _ in turns(None):
         seen = reduce(DataFrame.unionByName, rounds)
-        step = rounds[-1].alias("a").join(edges.alias("e"), F.col("a.dst") == F.col("e.src")).select("a.src", "e.dst").distinct()
+        step = edges.alias("e").join(rounds[-1].alias("a"), F.col("e.dst") == F.col("a.src")).select("e.src", "a.dst").distinct()
         new = written(step.join(seen, ["src", "dst"], "left_anti"), "closure")
         if new.isEmpty():
-            break
+            return seen
         rounds.append(new)
-    return reduce(DataFrame.unionByName, rounds)
+    raise AssertionError
 
 
 def paths(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
@@ -105,20 +120,20 @@ def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return table, tuple(seen.get.values())
 
 
-def on_cycles(edges: DataFrame, most: int = 200) -> DataFrame:
+def on_cycles(edges: DataFrame) -> DataFrame:
     """Edges that stay when nodes without incoming or without outgoing edges are peeled off, round by round.
 
     Empty exactly if the graph has no cycle.
     """
     left = written(edges.select("src", "dst").distinct(), "peel")
     count = left.count()
-    for _ in range(most):
+    for _ in turns(None):
         kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         left = written(kept.select("src", "dst"), "peel")
         count, last = left.count(), count
         if count in (0, last):
-            break
-    return left
+            return left
+    raise AssertionError
 
 
 def levels(edges: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:

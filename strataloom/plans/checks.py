@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import decide, validate
 from ..operators.decide import add, const, mul, var
-from ..sources.tables import edges, nodes, regions, sql, table
+from ..sources.tables import edges, graded_regions, nodes, ordered_regions, regions, sql, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,10 +30,10 @@ def references(s, d):
 
 REFS = "refs as (select region_id as ref_id, region_id + case when region_id % 19 = 0 then 1000000000 else 0 end as region, region_id % 50 as b, region_id % 50 + 30 + case when region_id % 17 = 0 then 1000000 else 0 end as e, case when region_id % 13 = 0 then 'misquoted' else substring(text, (region_id % 50 + 1)::int, 30) end as q from regions)"
 CODES = "select ref_id, case when r.text is null then 'missing' when project_id is not null and project_id <> 'p1' then 'scope' when coalesce(quality, 'full') <> 'full' then 'quality' when b < 0 or e > length(text) or b >= e then 'bounds' when substring(text, (b + 1)::int, (e - b)::int) <> q then 'quotation' else 'ok' end as code from refs left join regions r on region_id = region"
-query("v01_validate_evidence", lambda s, d: validate.evidence_issues(references(s, d), regions(s, d), "p1"), sql(f"with {REFS} {CODES}", "regions"))
-query("j12_evidence_binding", lambda s, d: validate.evidence_issues(references(s, d), regions(s, d), "p2").groupBy("code").agg(F.count(F.lit(1)).alias("n")), sql(f"with {REFS}, c as ({CODES.replace(chr(39) + 'p1' + chr(39), chr(39) + 'p2' + chr(39))}) select code, count(*) as n from c group by code", "regions"))
+query("v01_validate_evidence", lambda s, d: validate.evidence_issues(references(s, d), graded_regions(s, d), "p1"), sql(f"with {REFS} {CODES}", "regions"))
+query("j12_evidence_binding", lambda s, d: validate.evidence_issues(references(s, d), graded_regions(s, d), "p2").groupBy("code").agg(F.count(F.lit(1)).alias("n")), sql(f"with {REFS}, c as ({CODES.replace(chr(39) + 'p1' + chr(39), chr(39) + 'p2' + chr(39))}) select code, count(*) as n from c group by code", "regions"))
 query("v02_dedup_validation", lambda s, d: (lambda r: r.select("quotation").distinct().select("quotation", fn.normal_statement(F.col("quotation")).alias("normal")).join(r, "quotation").select("ref_id", "normal"))(references(s, d)), sql(rf"with {REFS} select ref_id, trim(regexp_replace(lower(q), '\s+', ' ', 'g')) as normal from refs where q is not null", "regions"))
-query("v03_inherited_quality", lambda s, d: regions(s, d).groupBy("source_id").agg(F.bool_or(F.col("quality") == "fast_provisional").alias("provisional"), F.bool_and(F.col("quality").isNotNull()).alias("labelled")).filter("provisional and not labelled").select("source_id"), sql("select source_id from regions group by source_id having bool_or(quality = 'fast_provisional') and not bool_and(quality is not null)", "regions"))
+query("v03_inherited_quality", lambda s, d: graded_regions(s, d).groupBy("source_id").agg(F.bool_or(F.col("quality") == "fast_provisional").alias("provisional"), F.bool_and(F.col("quality").isNotNull()).alias("labelled")).filter("provisional and not labelled").select("source_id"), sql("select source_id from regions group by source_id having bool_or(quality = 'fast_provisional') and not bool_and(quality is not null)", "regions"))
 query("v09_citation_grounding", lambda s, d: validate.grounding(regions(s, d).select(F.col("region_id").alias("ref_id"), "text", F.substring("text", 11, 12).alias("quotation")).filter("length(quotation) = 12")), sql("select region_id as ref_id, case when (length(text) - length(replace(text, q, ''))) // 12 = 0 then 'absent' when contains(substring(text, instr(text, q)::int + 1), q) then 'ambiguous' else 'unique' end as grounding from (select *, substring(text, 11, 12) as q from regions) where length(q) = 12", "regions"))
 query("v13_read_evidence", lambda s, d: references(s, d).join(regions(s, d).select(F.col("region_id").alias("region"), "text"), "region").filter("end <= length(text)").select("ref_id", F.substring(F.col("text"), (F.col("begin") + 1).cast("int"), F.lit(30)).alias("slice")), sql(f"with {REFS} select ref_id, substring(text, (b + 1)::int, 30) as slice from refs join regions on region_id = region where e <= length(text)", "regions"))
 
@@ -49,9 +49,9 @@ def typed_orders(s, d):
 query("v04_validate_ontology", lambda s, d: validate.endpoint_issues(*typed_orders(s, d)), "select 'o' || o_orderkey as src, case when o_orderkey % 97 = 0 then 'c-missing' else 'c' || o_custkey end as dst, case when o_orderstatus = 'P' then 'ships' else 'places' end as relation, case when o_orderkey % 97 = 0 then 'missing_target' when o_custkey not in (select c_custkey from customer) then 'missing_target' else 'endpoint_mismatch' end as issue from orders where o_orderkey % 97 = 0 or o_orderstatus = 'P' or o_custkey not in (select c_custkey from customer)")
 query("v06_snapshot_integrity", lambda s, d: (lambda e, n: e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("src"), F.lit("duplicate").alias("issue")).unionByName(e.join(n.select(F.col("node_id").alias("dst")), "dst", "left_anti").select("src", F.lit("dangling").alias("issue"))))(edges(s, d).withColumn("dst", F.col("dst") + F.when(F.col("src") % 23 == 0, 10**9).otherwise(0)), nodes(s, d)), sql("with e as (select src, dst + case when src % 23 = 0 then 1000000000 else 0 end as dst from edges) select src, 'duplicate' as issue from e group by src, dst having count(*) > 1 union all select src, 'dangling' from e where dst not in (select node_id from nodes)", "nodes", "edges"))
 query("v08_inventory_binding", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").alias("last")).filter("n <> last").select(F.col("l_orderkey").alias("order_id"), "n"), "select l_orderkey as order_id, count(*) as n from lineitem group by l_orderkey having count(*) <> max(l_linenumber)")
-query("v12_extraction_batches", lambda s, d: validate.batches(regions(s, d), "source_id", "ordinal", 32).select("region_id", F.col("batch").cast("long").alias("batch")), sql("select region_id, ((row_number() over (partition by source_id order by ordinal) - 1) // 32)::bigint as batch from regions", "regions"))
+query("v12_extraction_batches", lambda s, d: validate.batches(ordered_regions(s, d), "source_id", "ordinal", 32).select("region_id", F.col("batch").cast("long").alias("batch")), sql("select region_id, ((row_number() over (partition by source_id order by ordinal) - 1) // 32)::bigint as batch from regions", "regions"))
 query("v14_vocabulary_findings", lambda s, d: table(s, d, "lineitem").select(F.col("l_partkey").alias("term")).distinct().join(table(s, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("term")), "term", "left_anti"), "select distinct l_partkey as term from lineitem where l_partkey not in (select p_partkey from part where p_size > 25)")
-query("j08_interval_overlap", lambda s, d: (lambda r: validate.overlaps(r.select(F.col("source_id").alias("group"), F.col("region_id").alias("l_id"), (F.col("ordinal") * 700).alias("l_begin"), (F.col("ordinal") * 700 + F.col("end")).alias("l_end")), r.select(F.col("source_id").alias("group"), F.col("region_id").alias("r_id"), (F.col("ordinal") * 700 + 350).alias("r_begin"), (F.col("ordinal") * 700 + 450).alias("r_end")), 1000).select("l_id", "r_id"))(regions(s, d)), sql('select a.region_id as l_id, b.region_id as r_id from regions a join regions b on a.source_id = b.source_id and a.ordinal * 700 < b.ordinal * 700 + 450 and b.ordinal * 700 + 350 < a.ordinal * 700 + a."end" where a."end" > 0', "regions"))
+query("j08_interval_overlap", lambda s, d: (lambda r: validate.overlaps(r.select(F.col("source_id").alias("group"), F.col("region_id").alias("l_id"), (F.col("ordinal") * 700).alias("l_begin"), (F.col("ordinal") * 700 + F.col("end")).alias("l_end")), r.select(F.col("source_id").alias("group"), F.col("region_id").alias("r_id"), (F.col("ordinal") * 700 + 350).alias("r_begin"), (F.col("ordinal") * 700 + 450).alias("r_end")), 1000).select("l_id", "r_id"))(ordered_regions(s, d)), sql('select a.region_id as l_id, b.region_id as r_id from regions a join regions b on a.source_id = b.source_id and a.ordinal * 700 < b.ordinal * 700 + 450 and b.ordinal * 700 + 350 < a.ordinal * 700 + a."end" where a."end" > 0', "regions"))
 query("j15_referential_block", lambda s, d: (lambda e: e.filter("event_type <> 'error'").select("event_id", F.explode(F.regexp_extract_all("props", F.lit(r"\d+"), F.lit(0))).alias("m")).join(e.filter("event_type = 'error' and user_id < 50").select(F.col("user_id").cast("string").alias("m")).distinct(), "m", "left_semi").select("event_id").distinct())(table(s, d, "events")), r"select distinct event_id from (select event_id, unnest(regexp_extract_all(props, '\d+')) as m from events where event_type <> 'error') where m in (select user_id::varchar from events where event_type = 'error' and user_id < 50)")
 query("u02_merge_nodes", lambda s, d: (lambda n: n.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members")).select("id", "members"))(regions(s, d).select(F.col("region_id").alias("id"), fn.normal_statement(F.col("text")).alias("key"))), sql(r"select min(region_id) as id, count(*) as members from regions group by trim(regexp_replace(lower(text), '\s+', ' ', 'g'))", "regions"))
 
@@ -65,7 +65,7 @@ CANON = "canon as (select p_partkey::bigint as node, min(p_partkey::bigint) over
 query("u03_edge_dedup_signature", lambda s, d: validate.merged_edges(edges(s, d).select((F.col("src") * 100000 + F.col("dst")).alias("id"), F.col("status").alias("relation"), "src", "dst"), canonical(s, d)), sql(f"with {CANON} select e.status as relation, a.canonical as src, b.canonical as dst, min(src * 100000 + dst) as id, count(*) as merged from edges e join canon a on a.node = src join canon b on b.node = dst group by 1, 2, 3", "edges"))
 query("u04_regional_merge", lambda s, d: canonical(s, d).groupBy("canonical").agg(F.count(F.lit(1)).alias("members"), F.array_join(F.array_sort(F.collect_list(F.col("node"))), ",").alias("nodes")), f"with {CANON} select canonical, count(*) as members, string_agg(node::varchar, ',' order by node) as nodes from canon group by canonical")
 query("u07_assumption_sets", lambda s, d: (lambda r: r.select("r_name", F.array_join(F.array_sort(F.array_intersect("x", "y")), "").alias("shared"), F.array_join(F.array_sort(F.array_except("x", "y")), "").alias("left_only"), F.array_join(F.array_sort(F.array_except("y", "x")), "").alias("right_only")))(table(s, d, "region").select("r_name", F.array_distinct(F.split("r_name", "")).alias("x"), F.array_distinct(F.split(F.lit("AMERICA"), "")).alias("y"))), "with r as (select r_name, list_distinct(string_split(r_name, '')) as x, list_distinct(string_split('AMERICA', '')) as y from region) select r_name, array_to_string(list_sort(list_intersect(x, y)), '') as shared, array_to_string(list_sort([c for c in x if not list_contains(y, c)]), '') as left_only, array_to_string(list_sort([c for c in y if not list_contains(x, c)]), '') as right_only from r")
-query("t04_promotion_remap", lambda s, d: regions(s, d).filter("project_id = 'p1'").select("region_id", F.sha2(F.concat_ws("|", "corpus_id", F.lit("promoted"), F.col("region_id")), 256).alias("promoted_id"), F.col("quality").isNotNull().alias("evidenced")), sql("select region_id, sha256(corpus_id || '|promoted|' || region_id) as promoted_id, quality is not null as evidenced from regions where project_id = 'p1'", "regions"))
+query("t04_promotion_remap", lambda s, d: graded_regions(s, d).filter("project_id = 'p1'").select("region_id", F.sha2(F.concat_ws("|", "corpus_id", F.lit("promoted"), F.col("region_id")), 256).alias("promoted_id"), F.col("quality").isNotNull().alias("evidenced")), sql("select region_id, sha256(corpus_id || '|promoted|' || region_id) as promoted_id, quality is not null as evidenced from regions where project_id = 'p1'", "regions"))
 
 
 def outcomes(s, d):
@@ -96,5 +96,5 @@ query("q11_search_counterexamples", lambda s, d: decide.first_witness(decide.vio
 query("c16_boundary_sampling", lambda s, d: (lambda v: v.select(F.explode(F.array(*[F.lit(n).cast("long") for n in (-10, 10, -9)])).alias("x")).crossJoin(v.select(F.explode(F.array(*[F.lit(n).cast("long") for n in (-10, 10, 0)])).alias("y"))).select("x", "y", F.expr("try_divide(x, y)").isNull().alias("skipped"), F.coalesce(F.expr("x * y > 90"), F.lit(False)).alias("failed")))(s.range(1)), "select x::bigint as x, y::bigint as y, y = 0 as skipped, x * y > 90 as failed from (select unnest([-10, 10, -9]) as x), (select unnest([-10, 10, 0]) as y)")
 query("c30_exact_value_parse", lambda s, d: table(s, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat("p_size", F.lit("/"), F.col("p_partkey") % 9).alias("v")).select("id", F.when(F.col("v").rlike(r"^-?\d+/[1-9]\d*$"), F.split("v", "/")[0].cast("long")).alias("num"), F.when(F.col("v").rlike(r"^-?\d+/[1-9]\d*$"), F.split("v", "/")[1].cast("long")).alias("den")), "select p_partkey::bigint as id, case when p_partkey % 9 > 0 then p_size::bigint end as num, case when p_partkey % 9 > 0 then (p_partkey % 9)::bigint end as den from part")
 query("q12_pair_inventory", lambda s, d: (lambda r: r.alias("a").join(r.alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).filter("a.n_name < b.n_name").select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), F.size(F.array_intersect("a.l", "b.l")).cast("long").alias("shared")))(table(s, d, "nation").withColumn("l", F.array_distinct(F.split("n_name", "")))), "with r as (select *, list_distinct(string_split(n_name, '')) as l from nation) select a.n_name as a, b.n_name as b, len(list_intersect(a.l, b.l))::bigint as shared from r a join r b on a.n_regionkey = b.n_regionkey and a.n_name < b.n_name")
-query("q13_substantiate_grounding", lambda s, d: validate.evidence_issues(references(s, d), regions(s, d), "p1").join(regions(s, d).select(F.col("region_id").alias("ref_id"), "source_id"), "ref_id").groupBy("source_id", "code").agg(F.count(F.lit(1)).alias("n")), sql(f"with {REFS}, c as ({CODES}) select s.source_id, code, count(*) as n from c join regions s on s.region_id = ref_id group by all", "regions"))
+query("q13_substantiate_grounding", lambda s, d: validate.evidence_issues(references(s, d), graded_regions(s, d), "p1").join(regions(s, d).select(F.col("region_id").alias("ref_id"), "source_id"), "ref_id").groupBy("source_id", "code").agg(F.count(F.lit(1)).alias("n")), sql(f"with {REFS}, c as ({CODES}) select s.source_id, code, count(*) as n from c join regions s on s.region_id = ref_id group by all", "regions"))
 query("q17_regional_coverage", lambda s, d: table(s, d, "nation").join(table(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_anti").select("n_name"), "select n_name from nation where n_nationkey not in (select s_nationkey from supplier)")

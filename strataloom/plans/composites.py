@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import documents, graph, logic, retrieve, store, validate
 from ..operators.logic import Atom, Rule
-from ..sources.tables import edges, history, nodes, records, regions, sql, table, vectors
+from ..sources.tables import edges, graded_regions, history, nodes, ordered_regions, records, regions, sql, table, vectors
 from .checks import CODES, REFS, references
 from .graph import DAG, DISPOSED, order_dag, recorded, root
 from .logic import FACTS, facts
@@ -33,8 +33,8 @@ def weak(s, d):
     return edges(s, d).filter("status <> 'supported'").select("src", "dst")
 
 
-query("g15_circular_support", lambda s, d: graph.closure(weak(s, d)).filter("src = dst").select("src"), sql(f"with {WEAK} select src from cl where src = dst", "edges", recursive=True))
-query("g16_open_roots", lambda s, d: graph.closure(weak(s, d)).join(nodes(s, d).filter("role = 'obligation'").select(F.col("node_id").alias("dst")), "dst", "left_semi").groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("roots")), sql(f"with {WEAK} select src, string_agg(dst::varchar, ',' order by dst) as roots from cl where dst in (select node_id from nodes where role = 'obligation') group by src", "nodes", "edges", recursive=True))
+query("g15_circular_support", lambda s, d: graph.closure(graph.on_cycles(weak(s, d))).filter("src = dst").select("src"), sql(f"with {WEAK} select src from cl where src = dst", "edges", recursive=True))
+query("g16_open_roots", lambda s, d: graph.closure(weak(s, d), nodes(s, d).filter("role = 'obligation'").select(F.col("node_id").alias("node"))).groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("roots")), sql(f"with {WEAK} select src, string_agg(dst::varchar, ',' order by dst) as roots from cl where dst in (select node_id from nodes where role = 'obligation') group by src", "nodes", "edges", recursive=True))
 query("l10_attempt_state_rules", lambda s, d: logic.derive(Rule("blocked", Atom("Blocked", ("X",)), (Atom("Depends", ("X", "Y")), Atom("Problem", ("Y",)))), facts(s, d)).select("a").distinct(), sql(f"with {FACTS} select distinct dep.a from dep join facts f on f.pred = 'Problem' and f.a = dep.b", "nodes", "edges"))
 query("l11_facet_preservation", lambda s, d: (lambda n: edges(s, d).select("src", "dst").join(n.select(F.col("node_id").alias("src"), F.col("facet").alias("l")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("facet").alias("r")), "dst").filter("l is null or r is null or not (l <=> r)").select("src", "dst"))(nodes(s, d).withColumn("facet", F.when(F.col("status") != "proposed", F.col("role")))), sql("with n as (select node_id, case when status <> 'proposed' then role end as facet from nodes) select src, dst from edges join n a on a.node_id = src join n b on b.node_id = dst where a.facet is null or b.facet is null or a.facet <> b.facet", "nodes", "edges"))
 query("v05_structural_contract", lambda s, d: (lambda n, e: n.filter("role = 'obligation'").join(e.select(F.col("src").alias("node_id")), "node_id", "left_anti").select("node_id", F.lit("no_dependency").alias("issue")).unionByName(n.filter("status = 'contradicted'").join(e.select(F.col("dst").alias("node_id")), "node_id", "left_semi").select("node_id", F.lit("used_though_contradicted").alias("issue"))))(nodes(s, d), edges(s, d)), sql("select node_id, 'no_dependency' as issue from nodes where role = 'obligation' and node_id not in (select src from edges) union all select node_id, 'used_though_contradicted' from nodes where status = 'contradicted' and node_id in (select dst from edges)", "nodes", "edges"))
@@ -61,7 +61,7 @@ query("c15_scalar_evaluator", lambda s, d: table(s, d, "part").select(F.col("p_p
 
 query(
     "q02_vector_first_retrieval",
-    lambda s, d: (lambda seed, r: seed.join(r, "region_id").alias("a").join(r.alias("b"), (F.col("a.source_id") == F.col("b.source_id")) & (F.abs(F.col("a.ordinal") - F.col("b.ordinal")) <= 1)).groupBy("b.region_id").agg(F.max(F.when(F.col("a.region_id") == F.col("b.region_id"), 1.0).otherwise(0.5)).alias("graph_score")))(retrieve.top(retrieve.vector_rank(vectors(s, d), first_vector(s, d)), 10).select("region_id"), regions(s, d).select("region_id", "source_id", "ordinal")),
+    lambda s, d: (lambda seed, r: seed.join(r, "region_id").alias("a").join(r.alias("b"), (F.col("a.source_id") == F.col("b.source_id")) & (F.abs(F.col("a.ordinal") - F.col("b.ordinal")) <= 1)).groupBy("b.region_id").agg(F.max(F.when(F.col("a.region_id") == F.col("b.region_id"), 1.0).otherwise(0.5)).alias("graph_score")))(retrieve.top(retrieve.vector_rank(vectors(s, d), first_vector(s, d)), 10).select("region_id"), ordered_regions(s, d).select("region_id", "source_id", "ordinal")),
     sql(f"with {VEC}, seed as (select region_id from vec order by score desc, region_id limit 10) select b.region_id, max(case when a.region_id = b.region_id then 1.0 else 0.5 end)::double as graph_score from seed join regions a using (region_id) join regions b on a.source_id = b.source_id and abs(a.ordinal - b.ordinal) <= 1 group by 1", "regions", "vectors"),
 )
 query("q04_trace_claim_dependencies", lambda s, d: graph.reach(recorded(s, d), root(s), 8).join(nodes(s, d), F.col("node") == F.col("node_id")).groupBy("depth", "status").agg(F.count(F.lit(1)).alias("n")), sql(f"with {DISPOSED}, r as (select 2::bigint as node, 0 as depth union select dst, depth + 1 from r join disposed on src = node and disposition = 'recorded' where depth < 8), l as (select node, min(depth) as depth from r group by node) select depth, status, count(*) as n from l join nodes on node = node_id group by all", "nodes", "edges", recursive=True))
@@ -108,4 +108,4 @@ def report_lines(s, d):
 
 query("s21_calculation_report", report_lines, f"with recursive {DAG}, l as (select distinct src as node, 0 as level from dag union select dst, level + 1 from l join dag on src = node), m as (select node, max(level) as level from l group by node) select level, node, '- ' || node || ' from ' || coalesce(n, 0) as line from m left join (select dst, count(*) as n from dag group by dst) on dst = node")
 query("s22_external_metadata", lambda s, d: table(s, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", r"^https?://([^/?]+)", 1).alias("host"), F.nullif(F.regexp_extract("html", r'<html lang="([^"]+)"', 1), F.lit("")).alias("lang")), r"""select page_id::bigint as page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_extract(url, '^https?://([^/?]+)', 1) as host, nullif(regexp_extract(html, '<html lang="([^"]+)"', 1), '') as lang from pages""")
-query("q18_validate_bundle", lambda s, d: (lambda r: validate.evidence_issues(references(s, d), r, "p1").join(r.select(F.col("region_id").alias("ref_id"), F.sha2("text", 256).alias("artifact_id")), "ref_id").groupBy("artifact_id").agg(F.count_if(F.col("code") == "ok").alias("valid"), F.count(F.lit(1)).alias("refs")))(regions(s, d)), sql(f"with {REFS}, c as ({CODES}) select sha256(s.text) as artifact_id, count(*) filter (code = 'ok') as valid, count(*) as refs from c join regions s on s.region_id = ref_id group by 1", "regions"))
+query("q18_validate_bundle", lambda s, d: (lambda r: validate.evidence_issues(references(s, d), r, "p1").join(r.select(F.col("region_id").alias("ref_id"), F.sha2("text", 256).alias("artifact_id")), "ref_id").groupBy("artifact_id").agg(F.count_if(F.col("code") == "ok").alias("valid"), F.count(F.lit(1)).alias("refs")))(graded_regions(s, d)), sql(f"with {REFS}, c as ({CODES}) select sha256(s.text) as artifact_id, count(*) filter (code = 'ok') as valid, count(*) as refs from c join regions s on s.region_id = ref_id group by 1", "regions"))

@@ -77,9 +77,9 @@ def part_components(s, d):
 
 
 query("g08_connected_components", part_components, sql("with b as (select src as u, dst as v from edges where status <> 'supported' union select dst, src from edges where status <> 'supported'), r as (select node_id as node, node_id as root from nodes union select v, root from r join b on u = node) select node as node_id, min(root) as root from r group by node", "nodes", "edges", recursive=True))
-query("g09_provisional_propagation", lambda s, d: op.reach(recorded(s, d), nodes(s, d).filter("status = 'proposed' or status = 'unresolved'").select(F.col("node_id").alias("node")), 64).select("node"), sql(f"with {DISPOSED}, e as (select * from disposed where disposition = 'recorded'), r as (select node_id as node from nodes where status in ('proposed', 'unresolved') union select dst from r join e on src = node) select node from r", "nodes", "edges", recursive=True))
+query("g09_provisional_propagation", lambda s, d: op.reach(recorded(s, d), nodes(s, d).filter("status = 'proposed' or status = 'unresolved'").select(F.col("node_id").alias("node"))).select("node"), sql(f"with {DISPOSED}, e as (select * from disposed where disposition = 'recorded'), r as (select node_id as node from nodes where status in ('proposed', 'unresolved') union select dst from r join e on src = node) select node from r", "nodes", "edges", recursive=True))
 query("g10_backward_proof_context", lambda s, d: op.reach(op.reversed_edges(edges(s, d)), root(s), DEPTH), sql(f"with b as (select dst as src, src as dst from edges), {reach_sql(f'select {ROOT}::bigint as node, 0 as depth', 'b')} select node, depth from least", "edges", recursive=True))
-query("g14_stale_nodes", lambda s, d: op.reach(op.reversed_edges(recorded(s, d)), nodes(s, d).filter("status = 'contradicted'").select(F.col("node_id").alias("node")), 64).select("node"), sql(f"with {DISPOSED}, e as (select dst as src, src as dst from disposed where disposition = 'recorded'), r as (select node_id as node from nodes where status = 'contradicted' union select dst from r join e on src = node) select node from r", "nodes", "edges", recursive=True))
+query("g14_stale_nodes", lambda s, d: op.reach(op.reversed_edges(recorded(s, d)), nodes(s, d).filter("status = 'contradicted'").select(F.col("node_id").alias("node"))).select("node"), sql(f"with {DISPOSED}, e as (select dst as src, src as dst from disposed where disposition = 'recorded'), r as (select node_id as node from nodes where status = 'contradicted' union select dst from r join e on src = node) select node from r", "nodes", "edges", recursive=True))
 query("g18_evidence_bipartite_links", lambda s, d: (lambda l: l.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"), F.lit("grounds").alias("relation")).unionByName(l.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), F.lit("source_evidence").alias("relation"))))(table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()), "with l as (select distinct l_partkey, l_suppkey from lineitem) select 'p' || l_partkey as a, 's' || l_suppkey as b, 'grounds' as relation from l union all select 's' || l_suppkey, 'p' || l_partkey, 'source_evidence' from l")
 query("g19_structural_projection", lambda s, d: edges(s, d).select("src", F.lit("requires").alias("relation"), "dst"), sql("select src, 'requires' as relation, dst from edges", "edges"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import retrieve as op
-from ..sources.tables import history, regions, sql, table, vectors
+from ..sources.tables import history, ordered_regions, regions, sql, table, vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,7 +41,7 @@ query("a13_alias_groups", lambda s, d: regions(s, d).select("region_id", fn.norm
 query("k01_vector_topk", lambda s, d: op.top(op.vector_rank(vectors(s, d), first_vector(s, d)), 20), sql(f"with {VEC} select * from vec order by score desc, region_id limit 20", "vectors"))
 query("c10_cosine", lambda s, d: op.vector_rank(vectors(s, d), first_vector(s, d)), sql(f"with {VEC} select * from vec", "vectors"))
 query("w01_rrf_rank", lambda s, d: op.fused([op.lexical_rank(regions(s, d), TERMS).select("region_id", "score"), op.vector_rank(vectors(s, d), first_vector(s, d))], 50), sql(f"with {LEX}, {VEC}, l as (select region_id, row_number() over (order by matched desc, region_id) as rank from lex where matched > 0 qualify rank <= 50), v as (select region_id, row_number() over (order by score desc, region_id) as rank from vec qualify rank <= 50) select region_id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from l union all select * from v) group by region_id", "regions", "vectors"))
-query("q01_hybrid_retrieval", lambda s, d: (lambda r: op.top(op.fused([op.lexical_rank(r, TERMS).select("region_id", "score"), op.vector_rank(vectors(s, d).join(r.select("region_id"), "region_id", "left_semi"), first_vector(s, d))], 40), 24).join(r.select("region_id", "source_id", "ordinal"), "region_id"))(regions(s, d).filter("project_id is null or project_id = 'p1'")), sql(f"with scoped as (select * from regions where project_id is null or project_id = 'p1'), {LEX.replace('from regions', 'from scoped')}, {VEC.replace('from vectors)', 'from vectors where region_id in (select region_id from scoped))')}, l as (select region_id, row_number() over (order by matched desc, region_id) as rank from lex where matched > 0 qualify rank <= 40), v as (select region_id, row_number() over (order by score desc, region_id) as rank from vec qualify rank <= 40), f as (select region_id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from l union all select * from v) group by region_id order by score desc, region_id limit 24) select region_id, score, source_id, ordinal from f join scoped using (region_id)", "regions", "vectors"))
+query("q01_hybrid_retrieval", lambda s, d: (lambda r: op.top(op.fused([op.lexical_rank(r, TERMS).select("region_id", "score"), op.vector_rank(vectors(s, d).join(r.select("region_id"), "region_id", "left_semi"), first_vector(s, d))], 40), 24).join(r.select("region_id", "source_id", "ordinal"), "region_id"))(ordered_regions(s, d).filter("project_id is null or project_id = 'p1'")), sql(f"with scoped as (select * from regions where project_id is null or project_id = 'p1'), {LEX.replace('from regions', 'from scoped')}, {VEC.replace('from vectors)', 'from vectors where region_id in (select region_id from scoped))')}, l as (select region_id, row_number() over (order by matched desc, region_id) as rank from lex where matched > 0 qualify rank <= 40), v as (select region_id, row_number() over (order by score desc, region_id) as rank from vec qualify rank <= 40), f as (select region_id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from l union all select * from v) group by region_id order by score desc, region_id limit 24) select region_id, score, source_id, ordinal from f join scoped using (region_id)", "regions", "vectors"))
 query("f08_vector_valid", lambda s, d: vectors(s, d).select("region_id", ((F.size("vector") == 64) & F.forall("vector", lambda x: ~F.isnan(x)) & (F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x) > 0)).alias("valid")), sql("select region_id, len(vector) = 64 and not list_bool_or([isnan(x) for x in vector]) and list_sum([x * x for x in vector]) > 0 as valid from vectors", "vectors"))
 query("k09_chat_order", lambda s, d: op.idf_rank(regions(s, d), TERMS), sql(f"with {INDEX}, i as (select * from idx where token in ({IN_TERMS})), f as (select token, count(*) as df from i group by token) select region_id, round(sum(ln(1 + (select count(*) from regions) / (1 + df)) * least(3, tf)), 6) as score from i join f using (token) group by region_id", "regions"))
 WORDS = ["the", "tion", "eau"]
@@ -54,7 +54,7 @@ query("k05_vocabulary_relevance", lambda s, d: table(s, d, "part").select(F.col(
 query("k07_region_evidence_rank", lambda s, d: regions(s, d).select("region_id", "source_id", op.substring_score(F.lower("text"), WORDS).alias("score")).withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "region_id"))).filter("place <= 3").select("region_id", "source_id", "score", F.col("place").cast("long").alias("place")), sql(f"with c as (select region_id, source_id, lower(text) as t from regions) select region_id, source_id, ({COUNT})::bigint as score, row_number() over (partition by source_id order by ({COUNT}) desc, region_id) as place from c qualify place <= 3", "regions"))
 query("w04_bounded_history", lambda s, d: op.newest_within(history(s, d), 400, 100).select("conv_id", "turn", F.col("used").cast("long").alias("used")), sql("select conv_id, turn, sum(size) over (partition by conv_id order by turn desc rows unbounded preceding)::bigint as used from history qualify used <= 400 and row_number() over (partition by conv_id order by turn desc) <= 100", "history"))
 query("w05_first_fit_budget", lambda s, d: op.first_fit(history(s, d).withColumn("item", F.col("turn")), "conv_id", "size", 300, [F.col("turn")]))
-query("w06_per_anchor_continuation", lambda s, d: (lambda r: r.withColumn("island", F.col("ordinal") - F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal"))).groupBy("source_id", "island").agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("length")).drop("island"))(regions(s, d).filter("ordinal % 5 <> 3")), sql('select source_id, min(ordinal) as first, count(*) as length from (select source_id, ordinal, ordinal - row_number() over (partition by source_id order by ordinal) as island from regions where ordinal % 5 <> 3) group by source_id, island', "regions"))
+query("w06_per_anchor_continuation", lambda s, d: (lambda r: r.withColumn("island", F.col("ordinal") - F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal"))).groupBy("source_id", "island").agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("length")).drop("island"))(ordered_regions(s, d).filter("ordinal % 5 <> 3")), sql('select source_id, min(ordinal) as first, count(*) as length from (select source_id, ordinal, ordinal - row_number() over (partition by source_id order by ordinal) as island from regions where ordinal % 5 <> 3) group by source_id, island', "regions"))
 query("c26_evidence_cards", lambda s, d: history(s, d).select("conv_id", "turn", F.concat(F.lit("S"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).alias("card")), sql("select conv_id, turn, 'S' || row_number() over (partition by conv_id order by turn) as card from history", "history"))
 query("c27_citations", lambda s, d: history(s, d).select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" [S1] [G"), "turn", F.lit("] [X2]")).alias("t")).select("conv_id", "turn", F.array_join(F.regexp_extract_all("t", F.lit(r"\[([SG]\d+)\]"), F.lit(1)), ",").alias("cited"), F.array_join(F.array_except(F.regexp_extract_all("t", F.lit(r"\[([SG]\d+)\]"), F.lit(1)), F.array(F.lit("S1"), F.lit("G0"))), ",").alias("unknown")), sql("select conv_id, turn, 'S1,G' || turn as cited, case when turn = 0 then '' else 'G' || turn end as unknown from history", "history"))
 query("c11_token_estimate", lambda s, d: regions(s, d).select("region_id", fn.token_estimate(F.col("text")).alias("tokens")), sql("select region_id, ceil(octet_length(encode(text)) / 2)::bigint as tokens from regions", "regions"))
@@ -66,6 +66,6 @@ query("c07_doi", lambda s, d: table(s, d, "pages").select(F.col("page_id").cast(
 query("c08_url_filter", lambda s, d: table(s, d, "pages").select(F.col("page_id").cast("long").alias("id"), F.explode(F.array(F.col("url"), F.concat(F.lit("ftp://h/"), "page_id"), F.concat(F.lit("https://u:p@h/"), "page_id"))).alias("v")).select("id", fn.safe_url(F.col("v")).alias("url")).filter("url is not null").distinct(), r"select distinct page_id::bigint as id, v as url from (select page_id, unnest([url, 'ftp://h/' || page_id, 'https://u:p@h/' || page_id]) as v from pages) where regexp_matches(v, '^https?://[^/\s@]+(/\S*)?$')")
 query("c09_preferred_url", lambda s, d: table(s, d, "pages").select(F.col("page_id").cast("long").alias("id"), F.array_join(F.array_distinct(F.array(F.regexp_replace("url", "^http:", "https:"), F.regexp_replace("url", r"\?.*$", ""), F.col("url"))), " ").alias("urls")), r"select page_id::bigint as id, a || case when b <> a then ' ' || b else '' end || case when url <> a and url <> b then ' ' || url else '' end as urls from (select page_id, url, regexp_replace(url, '^http:', 'https:') as a, regexp_replace(url, '\?.*$', '') as b from pages)")
 query("c25_display_math", lambda s, d: history(s, d).select("conv_id", "turn", F.regexp_replace(F.concat(F.lit(r"\["), F.substring("text", 1, 12), F.lit(r"\] and \(x\)")), r"\\[\[\]]", r"\$\$").alias("t")), sql(r"select conv_id, turn, '$$' || substring(text, 1, 12) || '$$ and \(x\)' as t from history", "history"))
-query("j11_exact_statement_dup", lambda s, d: (lambda r: r.join(r.groupBy("statement").agg(F.min("region_id").alias("original")), "statement").filter("original < region_id").groupBy("region_id").agg(F.min("original").alias("original")))(regions(s, d).select("region_id", fn.normal_statement(F.col("text")).alias("statement"))), sql(r"with n as (select region_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as statement from regions) select b.region_id, min(a.region_id) as original from n a join n b on a.statement = b.statement and a.region_id < b.region_id group by 1", "regions"))
+query("j11_exact_statement_dup", lambda s, d: (lambda r: r.join(r.groupBy("digest").agg(F.min("region_id").alias("original")), "digest").filter("original < region_id").select("region_id", "original").distinct())(regions(s, d).select("region_id", F.unhex(F.sha2(fn.normal_statement(F.col("text")), 256)).alias("digest"))), sql(r"with n as (select region_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as statement from regions) select b.region_id, min(a.region_id) as original from n a join n b on a.statement = b.statement and a.region_id < b.region_id group by 1", "regions"))
 query("q08_rebuild_projection", lambda s, d: (lambda i: i.join(op.document_frequency(i).filter("df > 1"), "token").groupBy("token").agg(F.max("df").alias("df"), F.min("region_id").alias("first"), F.max("tf").alias("most")))(op.inverted_index(regions(s, d))), sql(f"with {INDEX} select token, count(*) as df, min(region_id) as first, max(tf) as most from idx group by token having count(*) > 1", "regions"))
 query("f10_rejected_domain_filter", lambda s, d: table(s, d, "pages").select(F.col("page_id").cast("long").alias("id"), fn.safe_url(F.col("url")).alias("u"), (F.col("page_id") % 7 == 0).alias("conflict")).filter("u is not null and not conflict").select("id", "u"), r"select page_id::bigint as id, url as u from pages where regexp_matches(url, '^https?://[^/\s@]+(/\S*)?$') and page_id % 7 <> 0")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import store as op
-from ..sources.tables import records, regions, sql, table, versions
+from ..sources.tables import graded_regions, ordered_regions, records, regions, sql, table, versions
 
 REC = ["id", "seq", "kind", "corpus_id", "project_id", "payload"]
 REC_SQL = "id, seq, kind, corpus_id, project_id, payload"
@@ -36,7 +36,7 @@ query(
     lambda s, d: op.with_identity(records(s, d)).select("id", "identity"),
     sql("""select id, sha256('{"corpus_id":' || to_json(corpus_id) || ',"kind":' || to_json(kind) || ',"payload":' || to_json(payload) || ',"project_id":' || coalesce(to_json(project_id)::varchar, 'null') || '}') as identity from records""", "records"),
 )
-query("s03_scan_source_regions", lambda s, d: regions(s, d).filter((F.col("source_id") == "src3") & (F.col("ordinal") < 100)).select("region_id", "source_id", "ordinal", "corpus_id", "end"), sql('select region_id, source_id, ordinal, corpus_id, "end" from regions where source_id = \'src3\' and ordinal < 100', "regions"))
+query("s03_scan_source_regions", lambda s, d: ordered_regions(s, d).filter((F.col("source_id") == "src3") & (F.col("ordinal") < 100)).select("region_id", "source_id", "ordinal", "corpus_id", "end"), sql('select region_id, source_id, ordinal, corpus_id, "end" from regions where source_id = \'src3\' and ordinal < 100', "regions"))
 query("s04_point_get", lambda s, d: records(s, d).filter((F.col("id") == 42) & (F.col("corpus_id") == "c0") & op.visible("p1")).select(*REC), sql(f"select {REC_SQL} from records where id = 42 and corpus_id = 'c0' and (project_id is null or project_id = 'p1')", "records"))
 query("s05_get_selected", lambda s, d: op.get_selected(records(s, d), SELECTED).select(F.col("place").cast("long").alias("place"), "id", "kind"), sql(f"select place::bigint as place, id, kind from (select unnest({SELECTED})::bigint as w, generate_subscripts({SELECTED}, 1) - 1 as place) a join records on id = w", "records"))
 query("s06_json_match_scan", lambda s, d: records(s, d).filter(op.json_field("k") == "42").select("id", "kind", "payload"), sql("select id, kind, payload from records where payload->>'$.k' = '42'", "records"))
@@ -69,7 +69,7 @@ query("s12_scope_counts", lambda s, d: records(s, d).filter(op.exact_scope("p1")
 query("s23_artifact_put", lambda s, d: regions(s, d).select(F.sha2("text", 256).alias("artifact_id"), F.octet_length("text").cast("long").alias("size")).distinct(), sql("select distinct sha256(text) as artifact_id, octet_length(encode(text))::bigint as size from regions", "regions"))
 
 query("f01_visible_scope", lambda s, d: records(s, d).select("id", op.visible("p1", "corpus").alias("corpus"), F.coalesce(op.visible("p1", "project"), F.lit(False)).alias("project"), op.visible("p1").alias("both")).withColumn("both", F.coalesce("both", F.lit(False))), sql("select id, project_id is null as corpus, coalesce(project_id = 'p1', false) as project, project_id is null or coalesce(project_id = 'p1', false) as both from records", "records"))
-query("f02_preparation_quality", lambda s, d: regions(s, d).select("region_id", F.coalesce("quality", F.lit("full")).alias("quality")), sql("select region_id, coalesce(quality, 'full') as quality from regions", "regions"))
+query("f02_preparation_quality", lambda s, d: graded_regions(s, d).select("region_id", F.coalesce("quality", F.lit("full")).alias("quality")), sql("select region_id, coalesce(quality, 'full') as quality from regions", "regions"))
 def evidence():
     """Three or fewer evidence entries of a record."""
     return F.transform(F.sequence(F.lit(0), (F.col("id") % 3).cast("int")), lambda i: F.struct(i.alias("place"), ((F.col("id") + i) % 5 == 0).alias("provisional")))
@@ -78,10 +78,10 @@ query(
     lambda s, d: records(s, d).select("id", ((F.col("kind") == "error") | F.exists(evidence(), lambda e: e["provisional"])).alias("provisional")),
     sql("select id, kind = 'error' or list_bool_or([(id + i) % 5 = 0 for i in range(0, id % 3 + 1)]) as provisional from records", "records"),
 )
-query("f05_evidence_locator", lambda s, d: regions(s, d).select("region_id", F.to_json(F.map_filter(F.create_map(F.lit("ordinal"), F.col("ordinal").cast("string"), F.lit("page"), F.lit("1"), F.lit("end"), F.col("end").cast("string")), lambda k, v: k.isin("ordinal", "end"))).alias("locator")), sql("""select region_id, '{"ordinal":"' || ordinal || '","end":"' || "end" || '"}' as locator from regions""", "regions"))
+query("f05_evidence_locator", lambda s, d: ordered_regions(s, d).select("region_id", F.to_json(F.map_filter(F.create_map(F.lit("ordinal"), F.col("ordinal").cast("string"), F.lit("page"), F.lit("1"), F.lit("end"), F.col("end").cast("string")), lambda k, v: k.isin("ordinal", "end"))).alias("locator")), sql("""select region_id, '{"ordinal":"' || ordinal || '","end":"' || "end" || '"}' as locator from regions""", "regions"))
 query("f06_casefold_type_filter", lambda s, d: (lambda p: p.join(F.broadcast(s.createDataFrame([("economy anodized steel",), ("promo brushed tin",), ("standard polished brass",)], "name string")), F.lower("p_type") == F.col("name"), "left").select(F.col("p_partkey").cast("long").alias("id"), F.col("name").isNotNull().alias("known")))(table(s, d, "part")), "select p_partkey::bigint as id, lower(p_type) in ('economy anodized steel', 'promo brushed tin', 'standard polished brass') as known from part")
 
-query("j03_region_adjacency", lambda s, d: (lambda r: r.alias("a").join(r.alias("b"), (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.ordinal") + 1 == F.col("b.ordinal"))).select(F.col("a.region_id").alias("region_id"), F.col("b.region_id").alias("following")))(regions(s, d).select("region_id", "source_id", "ordinal")), sql("select a.region_id, b.region_id as following from regions a join regions b on a.source_id = b.source_id and a.ordinal + 1 = b.ordinal", "regions"))
+query("j03_region_adjacency", lambda s, d: (lambda r: r.alias("a").join(r.alias("b"), (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.ordinal") + 1 == F.col("b.ordinal"))).select(F.col("a.region_id").alias("region_id"), F.col("b.region_id").alias("following")))(ordered_regions(s, d).select("region_id", "source_id", "ordinal")), sql("select a.region_id, b.region_id as following from regions a join regions b on a.source_id = b.source_id and a.ordinal + 1 = b.ordinal", "regions"))
 query("j06_membership_semi", lambda s, d: regions(s, d).join(prepared(s, d), "region_id", "left_semi").select("region_id", "source_id"), sql(f"with {PREPARED} select region_id, source_id from regions where region_id in (select region_id from prepared)", "records", "regions"))
 query("j07_inventory_left", lambda s, d: s.range(25).select(F.concat(F.lit("src"), "id").alias("source_id")).join(regions(s, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("n")), "source_id", "left").select("source_id", F.coalesce("n", F.lit(0)).alias("regions")), sql("select s.source_id, count(r.region_id) as regions from (select 'src' || range as source_id from range(25)) s left join regions r on r.source_id = s.source_id group by s.source_id", "regions"))
 
@@ -114,9 +114,9 @@ query("a01_count_by_kind", lambda s, d: records(s, d).groupBy("kind").agg(F.coun
 query("a06_max_by_revision", lambda s, d: records(s, d).groupBy("corpus_id", "project_id").agg(F.max_by("id", "seq").alias("id"), F.max("seq").alias("revision")), sql("select corpus_id, project_id, arg_max(id, seq) as id, max(seq) as revision from records group by corpus_id, project_id", "records"))
 query("a07_coverage", lambda s, d: s.range(0, 100).withColumnRenamed("id", "required").join(records(s, d).filter("corpus_id = 'c0' and kind = 'error' and project_id = 'p1'").select(k().alias("required")).distinct(), "required", "left_anti"), sql(f"select range::bigint as required from range(100) where range not in (select {K_SQL} from records where corpus_id = 'c0' and kind = 'error' and project_id = 'p1')", "records"))
 query("a08_union_evidence", lambda s, d: records(s, d).groupBy("corpus_id", "kind").agg(F.array_join(F.array_sort(F.collect_set(k())), ",").alias("evidence")), sql(f"select corpus_id, kind, list_aggregate(list_sort(list(distinct {K_SQL})), 'string_agg', ',') as evidence from records group by corpus_id, kind", "records"))
-query("a14_source_inventory", lambda s, d: regions(s, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == "full").alias("full"), F.count_if(F.col("quality") == "fast_provisional").alias("provisional"), F.sum("end").alias("chars")), sql("select source_id, count(*) as n, count(*) filter (quality = 'full') as full, count(*) filter (quality = 'fast_provisional') as provisional, sum(\"end\")::bigint as chars from regions group by source_id", "regions"))
+query("a14_source_inventory", lambda s, d: graded_regions(s, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == "full").alias("full"), F.count_if(F.col("quality") == "fast_provisional").alias("provisional"), F.sum("end").alias("chars")), sql("select source_id, count(*) as n, count(*) filter (quality = 'full') as full, count(*) filter (quality = 'fast_provisional') as provisional, sum(\"end\")::bigint as chars from regions group by source_id", "regions"))
 query("a15_distinct_evidence_ids", lambda s, d: records(s, d).filter("kind = 'purchase'").select(F.explode(F.array(k(), k() * 2, k() + 1)).alias("region_id")).distinct(), sql(f"select distinct unnest([{K_SQL}, {K_SQL} * 2, {K_SQL} + 1]) as region_id from records where kind = 'purchase'", "records"))
-query("w03_adjacent_ordinal", lambda s, d: regions(s, d).select("region_id", F.lead("ordinal").over(Window.partitionBy("source_id", "project_id").orderBy("ordinal", "region_id")).alias("next_ordinal")), sql("select region_id, lead(ordinal) over (partition by source_id, project_id order by ordinal, region_id) as next_ordinal from regions", "regions"))
+query("w03_adjacent_ordinal", lambda s, d: ordered_regions(s, d).select("region_id", F.lead("ordinal").over(Window.partitionBy("source_id", "project_id").orderBy("ordinal", "region_id")).alias("next_ordinal")), sql("select region_id, lead(ordinal) over (partition by source_id, project_id order by ordinal, region_id) as next_ordinal from regions", "regions"))
 query("w07_chain_sequence_check", lambda s, d: (lambda v: v.select("object_id", "version", (F.col("seq") - F.lag("seq").over(Window.partitionBy("object_id").orderBy("version")) != 1).alias("broken")).filter("broken").drop("broken"))(versions(s, d).withColumn("seq", F.expr("version div 100"))), sql("select object_id, version from (select *, version // 100 - lag(version // 100) over (partition by object_id order by version) <> 1 as broken from versions) where broken", "versions"))
 query("t06_registry_resolve", lambda s, d: (lambda r: r.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.col("project_id").isNull(), "seq"))).filter("rn = 1").select("key", "id", "project_id"))(records(s, d).filter(op.visible("p1")).withColumn("key", k())), sql(f"select key, id, project_id from (select *, {K_SQL} as key, row_number() over (partition by {K_SQL} order by project_id is null, seq) as rn from records where project_id is null or project_id = 'p1') where rn = 1", "records"))
 MOVES = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "purchase"), ("purchase", "view"), ("error", "view")]

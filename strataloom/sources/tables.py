@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Ids of a range in which regions are numbered.
+BUCKET = 4096
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,21 +43,38 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text regions of sources: region_id, source_id, ordinal, text, corpus_id, project_id, begin, end, quality."""
-    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), F.col("quality").alias("q"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    scoped = d.select(
+    """Text regions of sources: region_id, source_id, text, corpus_id, project_id, begin, end. No shuffle."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("region_id"),
         F.col("source").alias("source_id"),
-        place.cast("long").alias("ordinal"),
         "text",
         F.col("lang").alias("corpus_id"),
         F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("p"), F.col("doc_id") % 3)).alias("project_id"),
         F.lit(0).cast("long").alias("begin"),
         F.length("text").cast("long").alias("end"),
     )
+
+
+def ordered_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with their ordinal in the source.
+
+    They are counted in ranges of BUCKET ids first; a window numbers the rows of one range only, so a
+    source's texts are never sorted by one task.
+    """
+    r = regions(spark, sf_dir).withColumn("bucket", F.expr(f"region_id div {BUCKET}"))
+    before = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = r.groupBy("source_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(F.col("source_id").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("source_id", "bucket").orderBy("region_id")) - 1
+    placed = r.withColumn("inside", inside).join(starts, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    return placed.withColumn("ordinal", F.col("start") + F.col("inside")).drop("bucket", "inside", "s", "b", "start")
+
+
+def graded_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with the quality that their label gives them: one label a region, the least if there are several."""
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("l_id")).agg(F.min("quality").alias("q"))
     quality = F.when(F.col("q") == 0, "fast_provisional").when(F.col("q") == 1, "full")
-    return scoped.join(labels, F.col("region_id") == F.col("l_id"), "left").withColumn("quality", quality).drop("l_id", "q")
+    return regions(spark, sf_dir).join(labels, F.col("region_id") == F.col("l_id"), "left").withColumn("quality", quality).drop("l_id", "q")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
