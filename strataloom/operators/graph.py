@@ -17,6 +17,8 @@ from ..sources.shared import written
 
 #: Rounds after which a loop to a fixed point gives up with an error: no loop returns what it has so far.
 RUNAWAY = 20_000
+#: Rounds whose tables are put together.
+TOGETHER = 8
 
 
 def turns(most: int | None) -> Iterator[int]:
@@ -28,15 +30,20 @@ def turns(most: int | None) -> Iterator[int]:
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """Nodes reachable from the seeds (column node) with their least depth, 0 for seeds; at most so deep if that is given."""
-    rounds = [written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")]
+    seen = new = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
     for depth in turns(most):
-        seen = reduce(DataFrame.unionByName, rounds).select("node")
-        step = edges.join(rounds[-1], edges["src"] == rounds[-1]["node"]).select(F.col("dst").alias("node")).distinct()
-        new = written(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        step = edges.join(new, edges["src"] == new["node"]).select(F.col("dst").alias("node")).distinct()
+        new = written(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if new.isEmpty():
             break
-        rounds.append(new)
-    return reduce(DataFrame.unionByName, rounds)
+        seen = gathered(seen, new, depth)
+    return seen
+
+
+def gathered(seen: DataFrame, new: DataFrame, turn: int) -> DataFrame:
+    """What is seen and what is new; now and then as one table, so that no round reads a table for each before it."""
+    both = seen.unionByName(new)
+    return written(both, "seen") if turn % TOGETHER == 0 else both
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -48,15 +55,14 @@ def closure(edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     first = edges.select("src", "dst").distinct()
     if ends is not None:
         first = first.join(ends.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    rounds = [written(first, "closure")]
-    for _ in turns(None):
-        seen = reduce(DataFrame.unionByName, rounds)
-        step = edges.alias("e").join(rounds[-1].alias("a"), F.col("e.dst") == F.col("a.src")).select("e.src", "a.dst").distinct()
+    seen = new = written(first, "closure")
+    for turn in turns(None):
+        step = edges.alias("e").join(new.alias("a"), F.col("e.dst") == F.col("a.src")).select("e.src", "a.dst").distinct()
         new = written(step.join(seen, ["src", "dst"], "left_anti"), "closure")
         if new.isEmpty():
-            return seen
-        rounds.append(new)
-    raise AssertionError
+            break
+        seen = gathered(seen, new, turn)
+    return seen
 
 
 def paths(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
