@@ -60,3 +60,9 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of doubles."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def display_math(text: Column) -> Column:
+    """TeX display delimiters as double dollars, but for those inside code fences."""
+    dollars = lambda part: F.regexp_replace(part, r"\\[\[\]]", r"\$\$")
+    return F.array_join(F.transform(F.split(text, "```"), lambda part, i: F.when(i % 2 == 0, dollars(part)).otherwise(part)), "```")

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,9 +25,22 @@ def expected_utility(outcomes: DataFrame) -> DataFrame:
 
 def winners(utilities: DataFrame) -> DataFrame:
     """Actions of the greatest EU, ties included. Fractions compare by cross products in decimals."""
-    value = F.col("eu_num").cast("decimal(38,12)") / F.col("den").cast("decimal(20,0)")
-    w = Window.orderBy(F.desc_nulls_last(value))  # a row an action
-    return utilities.withColumn("rank", F.rank().over(w)).filter("rank = 1 and eu_num is not null").select("action", "eu_num", "den")
+    known = utilities.filter("eu_num is not null").withColumn("value", F.col("eu_num").cast("decimal(38,12)") / F.col("den").cast("decimal(20,0)"))
+    best = known.agg(F.max("value").alias("value"))
+    return known.join(F.broadcast(best), "value").select("action", "eu_num", "den")
+
+
+def information_value(baseline: DataFrame, observed: DataFrame) -> DataFrame:
+    """What an observation is worth to each action: sum of p * best EU after it, less the best EU before it and the cost.
+
+    baseline: action, decision, eu_num, den, cost; observed: action, observation, decision, eu_num, where eu_num
+    is the probability of the observation times the EU of the decision after it, over the same den. The value is the
+    integer fraction value_num / den; null if any EU is unknown, as then no best one is known.
+    """
+    best = lambda df, *by: df.groupBy(*by).agg(F.when(F.bool_and(F.col("eu_num").isNotNull()), F.max("eu_num")).alias("best"))
+    after = best(observed, "action", "observation").groupBy("action").agg(F.when(F.bool_and(F.col("best").isNotNull()), F.sum("best")).alias("after"))
+    before = best(baseline, "action", "den", "cost")
+    return before.join(after, "action").select("action", (F.col("after") - F.col("best") - F.col("cost") * F.col("den")).alias("value_num"), "den")
 
 
 def brier(outcomes: DataFrame, observed: Column) -> DataFrame:

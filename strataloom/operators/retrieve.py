@@ -102,3 +102,14 @@ def first_fit(ranked: DataFrame, key: str, size: str, budget: int, order: Sequen
     sorted_rows = rows.repartition(key).sortWithinPartitions(key, *by, "size", "item").select(F.col(key).alias("key"), "size", "item")
     fit = sorted_rows.mapInArrow(fold, f"key {kind}, used long, item long")
     return fit.select(F.col("key").alias(key), F.max("used").over(Window.partitionBy("key")).alias("used"), "item")
+
+
+def continuation(anchors: DataFrame, regions: DataFrame, k: int) -> DataFrame:
+    """The next k regions of each anchor's source, until an ordinal isn't there: anchor, step, region_id.
+
+    anchors: region_id, source_id, ordinal; regions likewise.
+    """
+    steps = anchors.select(F.col("region_id").alias("anchor"), "source_id", "ordinal", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step"))
+    found = steps.withColumn("ordinal", F.col("ordinal") + F.col("step")).join(regions.select("region_id", "source_id", "ordinal"), ["source_id", "ordinal"])
+    before = F.count(F.lit(1)).over(Window.partitionBy("anchor").orderBy("step"))
+    return found.withColumn("before", before).filter("before = step").select("anchor", F.col("step").cast("long").alias("step"), "region_id")

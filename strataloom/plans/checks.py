@@ -30,7 +30,6 @@ def references(s, d):
 
 REFS = "refs as (select region_id as ref_id, region_id + case when region_id % 19 = 0 then 1000000000 else 0 end as region, region_id % 50 as b, region_id % 50 + 30 + case when region_id % 17 = 0 then 1000000 else 0 end as e, case when region_id % 13 = 0 then 'misquoted' else substring(text, (region_id % 50 + 1)::int, 30) end as q from regions)"
 CODES = "select ref_id, case when r.text is null then 'missing' when project_id is not null and project_id <> 'p1' then 'scope' when coalesce(quality, 'full') <> 'full' then 'quality' when b < 0 or e > length(text) or b >= e then 'bounds' when substring(text, (b + 1)::int, (e - b)::int) <> q then 'quotation' else 'ok' end as code from refs left join regions r on region_id = region"
-query("v01_validate_evidence", lambda s, d: validate.evidence_issues(references(s, d), graded_regions(s, d), "p1"), sql(f"with {REFS} {CODES}", "regions"))
 query("j12_evidence_binding", lambda s, d: validate.evidence_issues(references(s, d), graded_regions(s, d), "p2").groupBy("code").agg(F.count(F.lit(1)).alias("n")), sql(f"with {REFS}, c as ({CODES.replace(chr(39) + 'p1' + chr(39), chr(39) + 'p2' + chr(39))}) select code, count(*) as n from c group by code", "regions"))
 query("v02_dedup_validation", lambda s, d: (lambda r: r.select("quotation").distinct().select("quotation", fn.normal_statement(F.col("quotation")).alias("normal")).join(r, "quotation").select("ref_id", "normal"))(references(s, d)), sql(rf"with {REFS} select ref_id, trim(regexp_replace(lower(q), '\s+', ' ', 'g')) as normal from refs where q is not null", "regions"))
 query("v03_inherited_quality", lambda s, d: graded_regions(s, d).groupBy("source_id").agg(F.bool_or(F.col("quality") == "fast_provisional").alias("provisional"), F.bool_and(F.col("quality").isNotNull()).alias("labelled")).filter("provisional and not labelled").select("source_id"), sql("select source_id from regions group by source_id having bool_or(quality = 'fast_provisional') and not bool_and(quality is not null)", "regions"))

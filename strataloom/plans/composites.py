@@ -41,12 +41,16 @@ query("v05_structural_contract", lambda s, d: (lambda n, e: n.filter("role = 'ob
 query("v07_delta_integrity", lambda s, d: (lambda up, rm: up.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("repeated").alias("issue")).unionByName(up.join(rm, "id", "left_semi").distinct().select("id", F.lit("upserted_and_removed").alias("issue"))))(records(s, d).filter("kind = 'view'").select(k().alias("id")), records(s, d).filter("kind = 'error' and id % 40 = 0").select(k().alias("id")).distinct()), sql(f"with up as (select {K_SQL} as id from records where kind = 'view'), rm as (select distinct {K_SQL} as id from records where kind = 'error' and id % 40 = 0) select id, 'repeated' as issue from up group by id having count(*) > 1 union all select distinct id, 'upserted_and_removed' from up where id in (select id from rm)", "records"))
 query("v10_relation_citation_binding", lambda s, d: regions(s, d).select("region_id", F.when(~F.contains("text", F.lit("the")), "unbound").when(F.locate("the", F.col("text")) < F.locate("and", F.col("text")), "forward").otherwise("backward").alias("direction")), sql("select region_id, case when not contains(text, 'the') then 'unbound' when instr(text, 'the') < instr(text, 'and') then 'forward' else 'backward' end as direction from regions", "regions"))
 query("v11_artifact_cross_check", lambda s, d: (lambda r: r.join(r.groupBy("sha").agg(F.min("region_id").alias("owner")), "sha").filter("owner <> region_id").select("region_id", "owner"))(regions(s, d).select("region_id", F.sha2("text", 256).alias("sha"))), sql("select region_id, owner from (select region_id, min(region_id) over (partition by sha256(text)) as owner from regions) where owner <> region_id", "regions"))
-ALIASES = "al as (select region_id as u, unnest([substring(text, 1, 40), right(text, 40)]) as alias from regions), ln as (select distinct a.u, b.m as v from al a join (select alias, min(u) as m from al group by alias) b using (alias) where a.u <> b.m), bi as (select u, v from ln union select v, u from ln), cc as (select region_id as node, region_id as root from regions union select v, root from cc join bi on u = node)"
+NORMAL = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+ALIASES = f"al as (select * from (select region_id as u, unnest(list_distinct([{NORMAL.format('text')}, {NORMAL.format('string_split(text, chr(10))[1]')}, {NORMAL.format('string_split(text, chr(10))[-1]')}])) as alias from regions) where len(string_split(alias, ' ')) >= 4), ln as (select distinct a.u, b.m as v from al a join (select alias, min(u) as m from al group by alias) b using (alias) where a.u <> b.m), bi as (select u, v from ln union select v, u from ln), cc as (select region_id as node, region_id as root from regions union select v, root from cc join bi on u = node)"
 
 
 def alias_classes(s, d):
-    """Regions that share an alias (their first or last 40 characters), linked through the alias's least region."""
-    a = regions(s, d).select(F.col("region_id").alias("u"), F.explode(F.array(F.substring("text", 1, 40), F.expr("right(text, 40)"))).alias("alias"))
+    """Regions that share an alias (their whole text, first or last line, of 4 words or more), linked through its least region."""
+    lines = F.split("text", "\n")
+    aliases = F.transform(F.array(F.col("text"), F.element_at(lines, 1), F.element_at(lines, -1)), fn.normal_statement)
+    long = F.filter(F.array_distinct(aliases), lambda x: F.size(F.split(x, " ")) >= 4)
+    a = regions(s, d).select(F.col("region_id").alias("u"), F.explode(F.transform(long, lambda x: F.unhex(F.sha2(x, 256)))).alias("alias"))
     links = a.join(a.groupBy("alias").agg(F.min("u").alias("v")), "alias").filter("u <> v").select("u", "v")
     roots = graph.components(links)
     return regions(s, d).select("region_id", "source_id").join(roots, F.col("region_id") == F.col("node"), "left").select("region_id", "source_id", F.coalesce("root", "region_id").alias("root"))

@@ -37,7 +37,7 @@ query("a02_graph_summary", lambda s, d: regions(s, d).groupBy("source_id").agg(F
 query("a05_repeated_line_signature", lambda s, d: op.repeated_lines(regions(s, d)), sql(r"select signature, count(*) as n from (select trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '\s+', ' ', 'g')) as signature from regions) where len(string_split(signature, ' ')) >= 4 group by 1 having count(*) > 1", "regions"))
 query("a16_omitted_sample", lambda s, d: regions(s, d).join(vectors(s, d).select("region_id"), "region_id", "left_anti").groupBy("source_id").agg(F.count(F.lit(1)).alias("omitted"), F.min("region_id").alias("first")), sql("select source_id, count(*) as omitted, min(region_id) as first from regions where region_id not in (select region_id from vectors) group by source_id", "regions", "vectors"))
 query("a17_index_preflight", lambda s, d: regions(s, d).agg(F.count(F.lit(1)).alias("regions"), F.sum(F.size(fn.tokens(F.col("text")))).cast("long").alias("tokens"), F.count_distinct("source_id").alias("sources"), F.max("end").alias("longest")), sql(f'select count(*) as regions, sum(len({TOKENS}))::bigint as tokens, count(distinct source_id) as sources, max("end") as longest from regions', "regions"))
-query("a13_alias_groups", lambda s, d: regions(s, d).select("region_id", fn.normal_statement(F.substring("text", 1, 40)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("region_id").alias("first")).filter("n > 1"), sql(r"select trim(regexp_replace(lower(substring(text, 1, 40)), '\s+', ' ', 'g')) as key, count(*) as n, min(region_id) as first from regions group by 1 having count(*) > 1", "regions"))
+query("a13_alias_groups", lambda s, d: regions(s, d).select("region_id", F.sha2(fn.normal_statement(F.col("text")), 256).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("region_id").alias("first")).filter("n > 1"), sql(r"select sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) as key, count(*) as n, min(region_id) as first from regions group by 1 having count(*) > 1", "regions"))
 query("k01_vector_topk", lambda s, d: op.top(op.vector_rank(vectors(s, d), first_vector(s, d)), 20), sql(f"with {VEC} select * from vec order by score desc, region_id limit 20", "vectors"))
 query("c10_cosine", lambda s, d: op.vector_rank(vectors(s, d), first_vector(s, d)), sql(f"with {VEC} select * from vec", "vectors"))
 query("w01_rrf_rank", lambda s, d: op.fused([op.lexical_rank(regions(s, d), TERMS).select("region_id", "score"), op.vector_rank(vectors(s, d), first_vector(s, d))], 50), sql(f"with {LEX}, {VEC}, l as (select region_id, row_number() over (order by matched desc, region_id) as rank from lex where matched > 0 qualify rank <= 50), v as (select region_id, row_number() over (order by score desc, region_id) as rank from vec qualify rank <= 50) select region_id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from l union all select * from v) group by region_id", "regions", "vectors"))
@@ -65,7 +65,7 @@ query("c06_normalize_statement", lambda s, d: regions(s, d).select("region_id",
 query("c07_doi", lambda s, d: table(s, d, "pages").select(F.col("page_id").cast("long").alias("id"), F.explode(F.array(F.concat(F.lit("https://doi.org/10.1234/AB."), "page_id"), F.concat(F.lit("doi: 10.5555/x"), "page_id"), F.col("url"))).alias("v")).select("id", "v", fn.doi(F.col("v")).alias("doi")), r"select page_id::bigint as id, v, case when regexp_matches(b, '^10\.\d{4,9}/\S+$') then b end as doi from (select page_id, v, lower(regexp_replace(trim(v), '^(https?://(dx\.)?doi\.org/|doi:\s*)', '')) as b from (select page_id, unnest(['https://doi.org/10.1234/AB.' || page_id, 'doi: 10.5555/x' || page_id, url]) as v from pages))")
 query("c08_url_filter", lambda s, d: table(s, d, "pages").select(F.col("page_id").cast("long").alias("id"), F.explode(F.array(F.col("url"), F.concat(F.lit("ftp://h/"), "page_id"), F.concat(F.lit("https://u:p@h/"), "page_id"))).alias("v")).select("id", fn.safe_url(F.col("v")).alias("url")).filter("url is not null").distinct(), r"select distinct page_id::bigint as id, v as url from (select page_id, unnest([url, 'ftp://h/' || page_id, 'https://u:p@h/' || page_id]) as v from pages) where regexp_matches(v, '^https?://[^/\s@]+(/\S*)?$')")
 query("c09_preferred_url", lambda s, d: table(s, d, "pages").select(F.col("page_id").cast("long").alias("id"), F.array_join(F.array_distinct(F.array(F.regexp_replace("url", "^http:", "https:"), F.regexp_replace("url", r"\?.*$", ""), F.col("url"))), " ").alias("urls")), r"select page_id::bigint as id, a || case when b <> a then ' ' || b else '' end || case when url <> a and url <> b then ' ' || url else '' end as urls from (select page_id, url, regexp_replace(url, '^http:', 'https:') as a, regexp_replace(url, '\?.*$', '') as b from pages)")
-query("c25_display_math", lambda s, d: history(s, d).select("conv_id", "turn", F.regexp_replace(F.concat(F.lit(r"\["), F.substring("text", 1, 12), F.lit(r"\] and \(x\)")), r"\\[\[\]]", r"\$\$").alias("t")), sql(r"select conv_id, turn, '$$' || substring(text, 1, 12) || '$$ and \(x\)' as t from history", "history"))
+query("c25_display_math", lambda s, d: history(s, d).select("conv_id", "turn", fn.display_math(F.concat(F.lit(r"\["), F.coalesce("text", F.lit("")), F.lit(r"\] and \(x\) ```\[as it is\]```"))).alias("t")), sql(r"select conv_id, turn, '$$' || replace(replace(coalesce(text, ''), '\[', '$$'), '\]', '$$') || '$$ and \(x\) ```\[as it is\]```' as t from history", "history"))
 query("j11_exact_statement_dup", lambda s, d: (lambda r: r.join(r.groupBy("digest").agg(F.min("region_id").alias("original")), "digest").filter("original < region_id").select("region_id", "original").distinct())(regions(s, d).select("region_id", F.unhex(F.sha2(fn.normal_statement(F.col("text")), 256)).alias("digest"))), sql(r"with n as (select region_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as statement from regions) select b.region_id, min(a.region_id) as original from n a join n b on a.statement = b.statement and a.region_id < b.region_id group by 1", "regions"))
 query("q08_rebuild_projection", lambda s, d: (lambda i: i.join(op.document_frequency(i).filter("df > 1"), "token").groupBy("token").agg(F.max("df").alias("df"), F.min("region_id").alias("first"), F.max("tf").alias("most")))(op.inverted_index(regions(s, d))), sql(f"with {INDEX} select token, count(*) as df, min(region_id) as first, max(tf) as most from idx group by token having count(*) > 1", "regions"))
 query("f10_rejected_domain_filter", lambda s, d: table(s, d, "pages").select(F.col("page_id").cast("long").alias("id"), fn.safe_url(F.col("url")).alias("u"), (F.col("page_id") % 7 == 0).alias("conflict")).filter("u is not null and not conflict").select("id", "u"), r"select page_id::bigint as id, url as u from pages where regexp_matches(url, '^https?://[^/\s@]+(/\S*)?$') and page_id % 7 <> 0")
