@@ -113,3 +113,11 @@ def continuation(anchors: DataFrame, regions: DataFrame, k: int) -> DataFrame:
     found = steps.withColumn("ordinal", F.col("ordinal") + F.col("step")).join(regions.select("region_id", "source_id", "ordinal"), ["source_id", "ordinal"])
     before = F.count(F.lit(1)).over(Window.partitionBy("anchor").orderBy("step"))
     return found.withColumn("before", before).filter("before = step").select("anchor", F.col("step").cast("long").alias("step"), "region_id")
+
+
+def ranked_groups(rows: DataFrame, group: str, source: str, k: int) -> DataFrame:
+    """The k groups of more than one row with the most members, then sources, then the least name, and their places."""
+    groups = rows.groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.count_distinct(source).alias("sources")).filter("members > 1")
+    order = [F.desc("members"), F.desc("sources"), F.col(group)]
+    best = groups.orderBy(*order).limit(k)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # k rows

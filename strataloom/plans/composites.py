@@ -35,7 +35,31 @@ def weak(s, d):
 
 query("g15_circular_support", lambda s, d: graph.closure(graph.on_cycles(weak(s, d))).filter("src = dst").select("src"), sql(f"with {WEAK} select src from cl where src = dst", "edges", recursive=True))
 query("g16_open_roots", lambda s, d: graph.closure(weak(s, d), nodes(s, d).filter("role = 'obligation'").select(F.col("node_id").alias("node"))).groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("roots")), sql(f"with {WEAK} select src, string_agg(dst::varchar, ',' order by dst) as roots from cl where dst in (select node_id from nodes where role = 'obligation') group by src", "nodes", "edges", recursive=True))
-query("l10_attempt_state_rules", lambda s, d: logic.derive(Rule("blocked", Atom("Blocked", ("X",)), (Atom("Depends", ("X", "Y")), Atom("Problem", ("Y",)))), facts(s, d)).select("a").distinct(), sql(f"with {FACTS} select distinct dep.a from dep join facts f on f.pred = 'Problem' and f.a = dep.b", "nodes", "edges"))
+#: What is open, blocked and evidenced follows along dependencies; both sides of a conflict are blocked.
+ATTEMPT = [
+    Rule("unresolved", Atom("Open", ("X",)), (Atom("Depends", ("X", "Y")), Atom("Open", ("Y",)))),
+    Rule("blocked", Atom("Blocked", ("X",)), (Atom("Depends", ("X", "Y")), Atom("Blocked", ("Y",)))),
+    Rule("evidence", Atom("EvidencePresent", ("X",)), (Atom("Verified", ("X",)),)),
+    Rule("conflict-source", Atom("Blocked", ("X",)), (Atom("Contradicts", ("X", "Y")),)),
+    Rule("conflict-target", Atom("Blocked", ("Y",)), (Atom("Contradicts", ("X", "Y")),)),
+]
+
+
+def attempt_states(s, d):
+    """The states of nodes whose refuted edges are conflicts."""
+    conflicts = edges(s, d).filter("status = 'refuted'").select(F.lit("Contradicts").alias("pred"), F.lit(False).alias("neg"), F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"))
+    found, _ = logic.closure(facts(s, d).unionByName(conflicts), ATTEMPT)
+    return found.filter(F.col("pred").isin("Open", "Blocked", "EvidencePresent")).select("pred", "a")
+
+
+query(
+    "l10_attempt_state_rules",
+    attempt_states,
+    sql(f"""with {FACTS}, x as (select src::varchar as a, dst::varchar as b from edges where status = 'refuted'),
+        op as (select a from facts where pred = 'Open' union select dep.a from dep join op on op.a = dep.b),
+        bl as (select unnest([a, b]) as a from x union select dep.a from dep join bl on bl.a = dep.b)
+      select 'Open' as pred, a from op union all select distinct 'Blocked', a from bl union all select 'EvidencePresent', a from facts where pred = 'Verified'""", "nodes", "edges", recursive=True),
+)
 query("l11_facet_preservation", lambda s, d: (lambda n: edges(s, d).select("src", "dst").join(n.select(F.col("node_id").alias("src"), F.col("facet").alias("l")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("facet").alias("r")), "dst").filter("l is null or r is null or not (l <=> r)").select("src", "dst"))(nodes(s, d).withColumn("facet", F.when(F.col("status") != "proposed", F.col("role")))), sql("with n as (select node_id, case when status <> 'proposed' then role end as facet from nodes) select src, dst from edges join n a on a.node_id = src join n b on b.node_id = dst where a.facet is null or b.facet is null or a.facet <> b.facet", "nodes", "edges"))
 query("v05_structural_contract", lambda s, d: (lambda n, e: n.filter("role = 'obligation'").join(e.select(F.col("src").alias("node_id")), "node_id", "left_anti").select("node_id", F.lit("no_dependency").alias("issue")).unionByName(n.filter("status = 'contradicted'").join(e.select(F.col("dst").alias("node_id")), "node_id", "left_semi").select("node_id", F.lit("used_though_contradicted").alias("issue"))))(nodes(s, d), edges(s, d)), sql("select node_id, 'no_dependency' as issue from nodes where role = 'obligation' and node_id not in (select src from edges) union all select node_id, 'used_though_contradicted' from nodes where status = 'contradicted' and node_id in (select dst from edges)", "nodes", "edges"))
 query("v07_delta_integrity", lambda s, d: (lambda up, rm: up.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("repeated").alias("issue")).unionByName(up.join(rm, "id", "left_semi").distinct().select("id", F.lit("upserted_and_removed").alias("issue"))))(records(s, d).filter("kind = 'view'").select(k().alias("id")), records(s, d).filter("kind = 'error' and id % 40 = 0").select(k().alias("id")).distinct()), sql(f"with up as (select {K_SQL} as id from records where kind = 'view'), rm as (select distinct {K_SQL} as id from records where kind = 'error' and id % 40 = 0) select id, 'repeated' as issue from up group by id having count(*) > 1 union all select distinct id, 'upserted_and_removed' from up where id in (select id from rm)", "records"))
@@ -84,7 +108,13 @@ query("q07_prepare_sources", lambda s, d: documents.chunks(regions(s, d).select(
 query("q09_pack_chat_context", lambda s, d: retrieve.first_fit(retrieve.newest_within(history(s, d), 1000, 100).withColumn("item", F.col("turn")), "conv_id", "size", 500, [-F.col("turn")]).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max("used").alias("used")))
 query("q14_submit_answer", lambda s, d: records(s, d).groupBy("corpus_id").agg(F.max_by(k(), "seq").alias("answer"), F.count_if((F.col("kind") == "error") & (k() > 90)).alias("unresolved")).withColumn("accepted", F.col("unresolved") == 0), sql(f"select corpus_id, arg_max({K_SQL}, seq) as answer, count(*) filter (kind = 'error' and {K_SQL} > 90) as unresolved, count(*) filter (kind = 'error' and {K_SQL} > 90) = 0 as accepted from records group by corpus_id", "records"))
 query("q15_scoped_profiles", lambda s, d: (lambda r: r.withColumn("rn", F.row_number().over(Window.partitionBy("kind", "name").orderBy(F.col("project_id").isNull(), F.desc("seq")))).filter("rn = 1").select("kind", "name", "id"))(records(s, d).filter(store.visible("p3")).withColumn("name", k() % 10)), sql(f"select kind, name, id from (select *, {K_SQL} % 10 as name, row_number() over (partition by kind, {K_SQL} % 10 order by project_id is null, seq desc) as rn from records where project_id is null or project_id = 'p3') where rn = 1", "records"))
-query("q16_literature_merge_rank", lambda s, d: alias_classes(s, d).groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("source_id").alias("sources")).filter("members > 1"), sql(f"with {ALIASES}, g as (select node, min(root) as root from cc group by node) select root, count(*) as members, count(distinct source_id) as sources from g join regions on region_id = node group by root having count(*) > 1", "regions", recursive=True))
+query(
+    "q16_literature_merge_rank",
+    lambda s, d: retrieve.ranked_groups(alias_classes(s, d), "root", "source_id", 50),
+    sql(f"""with {ALIASES}, g as (select node, min(root) as root from cc group by node), m as (select root, count(*) as members, count(distinct source_id) as sources
+        from g join regions on region_id = node group by root having count(*) > 1)
+      select root, members, sources, row_number() over (order by members desc, sources desc, root) as place from m qualify place <= 50""", "regions", recursive=True),
+)
 query("q19_reference_adapter", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts")).select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.explode("parts").alias("part")).select("src", F.concat(F.lit("p"), "part").alias("dst")), "select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem")
 query("q20_extraction_delta", lambda s, d: regions(s, d).select("region_id", F.explode(F.array_distinct(fn.plain_words(F.col("text"), 12))).alias("concept")).groupBy("concept").agg(F.min("region_id").alias("first"), F.count(F.lit(1)).alias("regions")), sql("select concept, min(region_id) as first, count(*) as regions from (select region_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{12,}'))) as concept from regions) group by concept", "regions"))
 
