@@ -11,7 +11,6 @@ from .checks import CANON, CODES, REFS, canonical, references
 from .composites import WEAK, weak
 from .graph import DISPOSED, ROOT, recorded, root
 from .retrieval import LEX, TERMS
-from .store import K_SQL, k
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
