@@ -10,10 +10,10 @@ Texts that agree in a band of components are candidates. Links are verified on t
 themselves: Jaccard similarity of at least the threshold. A bucket's rows are first verified against
 one centre, the row that shares most buckets with others: in a group of copies that is the text nearest
 to their original, so the buckets of a group elect the same centre. Rows in another component are then
-verified against a second centre of theirs. In buckets that still hold several components all pairs
-are compared, in blocks of BLOCK rows or BLOCK_BYTES inside the tasks, which give back only links that
-join components; a bucket of more rows than a block tries up to CENTRES centres first. No bucket is
-capped.
+verified against a second centre of theirs, and against up to CENTRES in all while more than a block of
+them is left. In buckets that still hold several components the rows outside the main one are compared
+with all, in blocks of BLOCK rows or BLOCK_BYTES inside the tasks, which give back only links that join
+components. No bucket is capped.
 
 Defined results: a null text counts as empty; texts without words are classes of their own; texts with
 the same words in the same order share a class without pairing; the class id is the least id in it, a
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -207,6 +207,28 @@ def _pairs(member: DataFrame, centres: DataFrame) -> DataFrame:
     return member.join(centres, BUCKET).filter("root <> c_root").select(F.least("node", "c_node").alias("u"), F.greatest("node", "c_node").alias("v")).distinct()
 
 
+def _placed(sized: DataFrame) -> DataFrame:
+    """Rows of buckets in the pairs of blocks (low, high) in which they are compared; side is a row's own block.
+
+    sized: band, hash, node, root, inner (whether the row is in the main component), bytes. Rows outside the main
+    component meet all rows of their bucket; those inside, already one component, don't meet each other.
+    """
+    def blocks(which: Column) -> Column:
+        rows, held = F.count_if(which), F.sum(F.when(which, F.col("bytes")).otherwise(0))
+        return F.ceil(F.greatest(rows / BLOCK, held / BLOCK_BYTES)).cast("int")
+
+    whole = blocks(F.lit(True)) <= 1
+    counts = sized.groupBy(*BUCKET).agg(
+        F.when(whole, 1).otherwise(blocks(~F.col("inner"))).alias("outside"), F.when(whole, 0).otherwise(blocks(F.col("inner"))).alias("inside")
+    )
+    hashed = F.xxhash64("node")
+    away = F.col("inner") & (F.col("inside") > 0)
+    block = F.when(away, F.col("outside") + F.pmod(hashed, F.col("inside"))).otherwise(F.pmod(hashed, F.col("outside"))).cast("int")
+    met = F.when(away, F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1
+    placed = sized.join(counts, BUCKET).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), met)))
+    return placed.select(*BUCKET, "node", "root", F.col("block").alias("side"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
 def bucket_links(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links (u, v) of which the components are those of all links. rows: band, hash, node, popular."""
     single = rows.withColumn("root", F.col("node"))
@@ -218,23 +240,24 @@ def bucket_links(rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFr
         first = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")).select(F.col("u").alias("v"), "low")
         roots = both.join(first, "v").groupBy("u").agg(F.least(F.min("low"), F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node")
         member = rows.join(written(roots, "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = member.groupBy(*BUCKET).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high and n > 2").select(*BUCKET, "n")
+        # Most rows of a bucket lie in the component of its most shared row; main is that component.
+        main = F.max(F.struct("popular", "node", "root")).alias("c")
+        split = member.groupBy(*BUCKET).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), main)
+        split = split.filter("low < high and n > 2").select(*BUCKET, F.col("c.root").alias("main"))
         return written(member.join(split, BUCKET), "member")
 
     member = rooted()
     for turn in range(1, CENTRES):
-        most = member.agg(F.max("n").alias("n")).first()["n"] or 0
+        others = member.filter("root <> main")
+        most = others.groupBy(*BUCKET).count().agg(F.max("count").alias("n")).first()["n"] or 0
         if not most or (turn > 1 and most <= BLOCK):
             break
-        others = written(member.join(_centres(member), BUCKET).filter("root <> c_root").drop("c_node", "c_root"), "others")
         links = links.unionByName(written(_links(_pairs(others, _centres(others)), signed, texts), "links"))
         member = rooted()
     if not member.isEmpty():
         size = signed.select(F.col(ROW).alias("node"), (F.col("shingles") * 8).alias("bytes"))
-        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("held") / BLOCK_BYTES)).cast("int")
-        held = member.join(size, "node").groupBy(*BUCKET).agg(F.sum("bytes").alias("held"))
-        placed = member.join(held, BUCKET).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        placed = placed.select(*BUCKET, "node", "root", F.col("block").alias("side"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        sized = written(member.select(*BUCKET, "node", "root", (F.col("root") == F.col("main")).alias("inner")).join(size, "node"), "sized")
+        placed = _placed(sized)
         asked = member.select(F.col("node").alias("n")).distinct()
         sets = written(texts.join(asked, texts[ROW] == asked["n"], "left_semi").select(ROW, "text").mapInArrow(_sets, "node long, shingles binary"), "sets")
         links = links.unionByName(written(placed.join(sets, "node").groupBy(*BUCKET, "low", "high").applyInArrow(_joined, "u long, v long"), "links"))
