@@ -40,6 +40,8 @@ REACH = LENGTH - GRAM  # bytes of a context left of its anchor
 #: The difference cover's period, the stride of a context in a block (a multiple), and a block's contexts.
 PERIOD, STRIDE, BLOCK = 32, 384, 20_000
 SLICE = 1 << 20
+#: A context with more than one in HOT of all anchors isn't joined in one task.
+HOT = 1000
 _U = np.uint64
 
 
@@ -257,9 +259,15 @@ def covered(texts: DataFrame) -> DataFrame:
     repeated = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("gram").alias("g")), "grams")
     live = written(found.join(repeated, found["gram"] == repeated["g"], "left_semi"), "live")
     groups = written(live.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(ROW, "place")).alias("at")), "contexts")
-    twice = groups.filter("n > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"))
+    twice = groups.filter("n > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"), "n")
+    equal = (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c"))
+    # Contexts that hold more than 1/HOT of all rows: fewer than HOT, so they are sent to the rows; the rows of all
+    # others are shuffled to their contexts.
+    least = live.count() / HOT
+    hot = F.broadcast(twice.filter(F.col("n") > least))
     side = F.shiftright("place", 16)
-    whole = live.join(twice, (live["gram"] == twice["g"]) & (live["context"] == twice["c"]), "left_semi").select(
+    repeats = live.join(hot, equal, "left_semi").unionByName(live.join(hot, equal, "left_anti").join(twice.filter(F.col("n") <= least), equal, "left_semi"))
+    whole = repeats.select(
         ROW, (side - F.shiftright("place", 8).bitwiseAND(F.lit(255))).alias("a"), (side + F.col("place").bitwiseAND(F.lit(255))).alias("b")
     )
     mixed = written(groups.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1").select(F.col("gram").alias("g"), "contexts"), "mixed")
