@@ -120,14 +120,18 @@ query("q20_extraction_delta", lambda s, d: regions(s, d).select("region_id", F.e
 
 
 def commit_outcomes(s, d):
-    """Deltas (purchases) against the head they name: committed, replayed, or stale."""
-    w = Window.partitionBy("corpus_id").orderBy("seq")
-    r = records(s, d).filter("kind = 'purchase'").withColumns({"head": F.row_number().over(w) - 1, "base": F.row_number().over(w) - 1 - F.when(F.col("id") % 10 == 0, 1).otherwise(0), "delta": F.sha2("payload", 256)})
-    again = F.row_number().over(Window.partitionBy("corpus_id", "delta").orderBy("seq")) > 1
-    return r.withColumn("again", again).select("id", F.when(F.col("again"), "replayed").when(F.col("base") != F.col("head"), "stale").otherwise("committed").alias("outcome"))
+    """Deltas (purchases), every tenth on an outdated base: committed, stale, or replayed if it was committed before.
 
+    A delta that was stale hasn't been committed, so the same delta on a good base is a commit, no replay.
+    """
+    r = records(s, d).filter("kind = 'purchase'").select("id", "seq", "corpus_id", F.sha2(F.coalesce("payload", F.lit("")), 256).alias("delta"), (F.col("id") % 10 == 0).alias("outdated"))
+    commits = r.filter("not outdated").groupBy("corpus_id", "delta").agg(F.min("seq").alias("at"))
+    outcome = F.when(F.col("seq") == F.col("at"), "committed").when(F.col("seq") > F.col("at"), "replayed").otherwise("stale")
+    return r.join(commits, ["corpus_id", "delta"], "left").select("id", outcome.alias("outcome"))
 
-COMMITS = "select id, case when row_number() over (partition by corpus_id, payload order by seq) > 1 then 'replayed' when id % 10 = 0 then 'stale' else 'committed' end as outcome from records where kind = 'purchase'"
+
+COMMITS = """select id, case when count(*) filter (id % 10 <> 0) over (partition by corpus_id, payload order by seq rows between unbounded preceding and 1 preceding) > 0 then 'replayed'
+  when id % 10 = 0 then 'stale' else 'committed' end as outcome from records where kind = 'purchase'"""
 query("t03_commit_delta", commit_outcomes, sql(COMMITS, "records"))
 query("t05_prepare_update", lambda s, d: commit_outcomes(s, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")), sql(f"with c as ({COMMITS}) select outcome, count(*) as n from c group by outcome", "records"))
 

@@ -47,7 +47,7 @@ query("g17_reference_links", lambda s, d: (lambda r: r.select("region_id", F.exp
 
 
 def round_trip(s, d):
-    """Nodes with their edges as Markdown files of a bundle, and back."""
+    """Nodes with their edges as the Markdown texts of a bundle, and back."""
     from uuid import uuid4
 
     path = f"{shared_dir(s)}/bundle-{uuid4().hex}"
@@ -57,6 +57,22 @@ def round_trip(s, d):
 
 query("s18_bundle_round_trip", round_trip, sql("with e as (select src, string_agg(dst::varchar, ',' order by dst) as requires from edges group by src) select node_id, role, status, coalesce(requires, '') as requires from nodes left join e on src = node_id", "nodes", "edges"))
 query("s19_bundle_to_delta", lambda s, d: (lambda n: n.withColumn("status", F.when(F.col("node_id") % 50 == 0, "verified").otherwise(F.col("status"))).exceptAll(n).select("node_id", "status"))(nodes(s, d)), sql("select node_id, 'verified' as status from nodes where node_id % 50 = 0 and status <> 'verified'", "nodes"))
-query("s20_presentation_export", lambda s, d: nodes(s, d).join(edges(s, d).groupBy(F.col("src").alias("node_id")).agg(F.count_distinct("dst").alias("links")), "node_id", "left").groupBy("role").agg(F.count(F.lit(1)).alias("concepts"), F.sum(F.coalesce("links", F.lit(0))).alias("links")), sql("select role, count(*) as concepts, sum(coalesce(links, 0))::bigint as links from nodes left join (select src, count(distinct dst) as links from edges group by src) on src = node_id group by role", "nodes", "edges"))
+def presentation(s, d):
+    """What is exported (all but proposals) by role: concepts, distinct links, and broken ones, to no exported concept."""
+    n, e = nodes(s, d).filter("status <> 'proposed'"), edges(s, d).select("src", "dst").distinct()
+    ends = e.join(n.select(F.col("node_id").alias("dst"), F.lit(True).alias("there")), "dst", "left")
+    links = ends.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("there").isNull()).alias("broken"))
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    return n.join(links, "node_id", "left").groupBy("role").agg(F.count(F.lit(1)).alias("concepts"), total("links"), total("broken"))
+
+
+query(
+    "s20_presentation_export",
+    presentation,
+    sql("""with x as (select node_id, role from nodes where status <> 'proposed'), l as (select role, dst from x join (select distinct src, dst from edges) on src = node_id),
+      c as (select role, count(*) as concepts from x group by role)
+      select role, concepts, (select count(*) from l where l.role = c.role) as links,
+        (select count(*) from l where l.role = c.role and dst not in (select node_id from x)) as broken from c""", "nodes", "edges"),
+)
 query("s14_corpus_snapshot_read", lambda s, d: records(s, d).filter("seq <= 5000").groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("revision")), sql("select corpus_id, count(*) as n, max(seq) as revision from records where seq <= 5000 group by corpus_id", "records"))
 query("t08_receipt_replay", lambda s, d: (lambda r: r.withColumn("first", F.first("hash").over(Window.partitionBy("receipt").orderBy("seq"))).select("id", F.when(F.col("hash") == F.col("first"), "replayed").otherwise("conflict").alias("outcome")))(records(s, d).select("id", "seq", (F.col("id") % 900).alias("receipt"), F.sha2("kind", 256).alias("hash"))), sql("select id, case when kind = first_value(kind) over (partition by id % 900 order by seq) then 'replayed' else 'conflict' end as outcome from records", "records"))
