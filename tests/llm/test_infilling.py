@@ -27,10 +27,10 @@ def plain(i, text, pieces):
 
 def units(text, unit):
     """Units with what follows them up to the next; the first takes what comes before it too."""
-    if unit == "char":
+    if unit == "char" or not text:
         return list(text)
     at = {"word": [x.start() for x in re.finditer(r"[^ \t\n\v\f\r]+", text)], "line": [x.end() for x in re.finditer("\n", text[:-1])]}[unit]
-    at = sorted({0, *at}) if text else []
+    at = sorted({0, *at})
     return [text[x:y] for x, y in zip(at, [*at[1:], len(text)], strict=True)]
 
 
