@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["media", "licenses", "exact_dedup", "near_dedup", "quality", "sentencepieces", "sharding", "suffixes", "mixing", "token_counts", "infilling"]
+MODULES = ["media", "licenses", "exact_dedup", "near_dedup", "quality", "sentencepieces", "sharding", "suffixes", "mixing", "token_counts", "spelling", "embeddings", "infilling"]
 
 
 def queries() -> dict:
