@@ -5,12 +5,23 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a QUERIES table and an SQL table.
-MODULES: list[str] = ["store", "retrieval", "graph", "logic", "checks", "documents", "composites", "contracts"]
+MODULES: list[str] = ["store", "retrieval", "graph", "logic", "checks", "documents", "composites", "contracts", "traversal"]
+
+
+def gathered(kind: str) -> dict:
+    """The tables of all modules as one; a name that two of them use is an error."""
+    out: dict = {}
+    for module in MODULES:
+        found = getattr(import_module(f"strataloom.plans.{module}"), kind)
+        if twice := out.keys() & found.keys():
+            raise ValueError(f"{module} names queries again: {sorted(twice)}")
+        out |= found
+    return out
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"strataloom.plans.{m}").QUERIES.items()}
+    return gathered("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in import_module(f"strataloom.plans.{m}").SQL.items()}
+    return gathered("SQL")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .graph import gathered, turns
 
 SKIPPED = {"script", "style", "nav", "footer", "head", "noscript"}
 BREAKS = {"p", "div", "li", "tr", "br", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol"}
@@ -195,16 +196,23 @@ def hash_chain(rows: DataFrame, group: str, order: str, value: str) -> DataFrame
             return heads.select(group, F.col("h").alias("generation"))
 
 
-def fingerprints(edges: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
-    """Hash of each node's own content and its dependencies' fingerprints, level by level from the leaves."""
+def fingerprints(edges: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Hash of each node's own content and its dependencies' fingerprints, level by level from the leaves.
+
+    A count of unmet dependencies tells which nodes are ready, so a round looks only at edges to new prints
+    and from ready nodes. Nodes that depend on a cycle have no fingerprint.
+    """
     own = nodes.select("node_id", F.sha2(F.concat_ws("|", "node_id", "role", "status"), 256).alias("own"))
-    e = written(edges.select("src", "dst").distinct().join(own.select(F.col("node_id").alias("dst")), "dst", "left_semi"), "edges")
-    done = written(own.join(e.select(F.col("src").alias("node_id")), "node_id", "left_anti").select("node_id", F.col("own").alias("print")), "prints")
-    for _ in range(most):
-        ready = e.join(done, e["dst"] == done["node_id"], "left").groupBy("src").agg(F.bool_and(F.col("print").isNotNull()).alias("all"), F.concat_ws("", F.array_sort(F.collect_list("print"))).alias("below")).filter("all")
-        new = own.join(ready, own["node_id"] == ready["src"]).join(done.select("node_id"), "node_id", "left_anti").select("node_id", F.sha2(F.concat("own", "below"), 256).alias("print"))
-        new = written(new, "prints")
+    e = written(edges.select("src", "dst").distinct().join(own.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst"), "edges")
+    new = done = written(own.join(e.select(F.col("src").alias("node_id")), "node_id", "left_anti").select("node_id", F.col("own").alias("print")), "prints")
+    unmet = written(e.groupBy("src").agg(F.count(F.lit(1)).alias("unmet")), "unmet")
+    for turn in turns(most):
+        met = e.join(new.select(F.col("node_id").alias("dst")), "dst").groupBy("src").agg(F.count(F.lit(1)).alias("met"))
+        unmet = written(unmet.filter("unmet > 0").join(met, "src", "left").select("src", (F.col("unmet") - F.coalesce("met", F.lit(0))).alias("unmet")), "unmet")
+        asked = e.join(unmet.filter("unmet = 0").select("src"), "src", "left_semi")
+        below = asked.join(done, asked["dst"] == done["node_id"]).groupBy("src").agg(F.concat_ws("", F.array_sort(F.collect_list("print"))).alias("below"))
+        new = written(own.join(below, own["node_id"] == below["src"]).select("node_id", F.sha2(F.concat("own", "below"), 256).alias("print")), "prints")
         if new.isEmpty():
             return done
-        done = done.unionByName(new)
+        done = gathered(done, new, turn)
     raise RuntimeError("more levels than allowed")

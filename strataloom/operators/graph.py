@@ -142,16 +142,20 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     raise AssertionError
 
 
-def levels(edges: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
-    """Topological levels of a graph without cycles: the longest path from a node without incoming edges."""
-    level = written(nodes.select("node").distinct().withColumn("level", F.lit(0)), "levels")
-    for _ in range(most):
-        best = edges.join(level, edges["src"] == level["node"]).groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("next"))
-        new = written(level.join(best, "node", "left").select("node", F.greatest("level", F.coalesce("next", F.lit(0))).alias("level"), (F.coalesce("next", F.lit(0)) > F.col("level")).alias("moved")), "levels")
-        level = new.select("node", "level")
-        if new.filter("moved").isEmpty():
-            return level
-    raise RuntimeError("the graph has a cycle, or more levels than allowed")
+def levels(edges: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Topological levels: the longest path from a node without incoming edges. Level by level those nodes are
+    taken out together with their edges. A cycle is an error; so are more levels than most, if that is given."""
+    waiting, left, placed = written(nodes.select("node").distinct(), "waiting"), written(edges.select("src", "dst").distinct(), "left"), None
+    for level in range(RUNAWAY if most is None else most):
+        heads = written(waiting.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "levels")
+        if heads.isEmpty():
+            break
+        placed = heads if placed is None else gathered(placed, heads, level)
+        waiting = written(waiting.join(heads.select("node"), "node", "left_anti"), "waiting")
+        left = written(left.join(heads.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "left")
+    if not waiting.isEmpty():
+        raise RuntimeError("the graph has a cycle, or more levels than allowed")
+    return nodes.select("node").distinct().withColumn("level", F.lit(0)) if placed is None else placed
 
 
 def disposition(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -47,12 +47,8 @@ def typed_orders(s, d):
 
 query("v04_validate_ontology", lambda s, d: validate.endpoint_issues(*typed_orders(s, d)), "select 'o' || o_orderkey as src, case when o_orderkey % 97 = 0 then 'c-missing' else 'c' || o_custkey end as dst, case when o_orderstatus = 'P' then 'ships' else 'places' end as relation, case when o_orderkey % 97 = 0 then 'missing_target' when o_custkey not in (select c_custkey from customer) then 'missing_target' else 'endpoint_mismatch' end as issue from orders where o_orderkey % 97 = 0 or o_orderstatus = 'P' or o_custkey not in (select c_custkey from customer)")
 query("v06_snapshot_integrity", lambda s, d: (lambda e, n: e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("src"), F.lit("duplicate").alias("issue")).unionByName(e.join(n.select(F.col("node_id").alias("dst")), "dst", "left_anti").select("src", F.lit("dangling").alias("issue"))))(edges(s, d).withColumn("dst", F.col("dst") + F.when(F.col("src") % 23 == 0, 10**9).otherwise(0)), nodes(s, d)), sql("with e as (select src, dst + case when src % 23 = 0 then 1000000000 else 0 end as dst from edges) select src, 'duplicate' as issue from e group by src, dst having count(*) > 1 union all select src, 'dangling' from e where dst not in (select node_id from nodes)", "nodes", "edges"))
-query("v08_inventory_binding", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").alias("last")).filter("n <> last").select(F.col("l_orderkey").alias("order_id"), "n"), "select l_orderkey as order_id, count(*) as n from lineitem group by l_orderkey having count(*) <> max(l_linenumber)")
-query("v12_extraction_batches", lambda s, d: validate.batches(ordered_regions(s, d), "source_id", "ordinal", 32).select("region_id", F.col("batch").cast("long").alias("batch")), sql("select region_id, ((row_number() over (partition by source_id order by ordinal) - 1) // 32)::bigint as batch from regions", "regions"))
-query("v14_vocabulary_findings", lambda s, d: table(s, d, "lineitem").select(F.col("l_partkey").alias("term")).distinct().join(table(s, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("term")), "term", "left_anti"), "select distinct l_partkey as term from lineitem where l_partkey not in (select p_partkey from part where p_size > 25)")
 query("j08_interval_overlap", lambda s, d: (lambda r: validate.overlaps(r.select(F.col("source_id").alias("group"), F.col("region_id").alias("l_id"), (F.col("ordinal") * 700).alias("l_begin"), (F.col("ordinal") * 700 + F.col("end")).alias("l_end")), r.select(F.col("source_id").alias("group"), F.col("region_id").alias("r_id"), (F.col("ordinal") * 700 + 350).alias("r_begin"), (F.col("ordinal") * 700 + 450).alias("r_end")), 1000).select("l_id", "r_id"))(ordered_regions(s, d)), sql('select a.region_id as l_id, b.region_id as r_id from regions a join regions b on a.source_id = b.source_id and a.ordinal * 700 < b.ordinal * 700 + 450 and b.ordinal * 700 + 350 < a.ordinal * 700 + a."end" where a."end" > 0', "regions"))
 query("j15_referential_block", lambda s, d: (lambda e: e.filter("event_type <> 'error'").select("event_id", F.explode(F.regexp_extract_all("props", F.lit(r"\d+"), F.lit(0))).alias("m")).join(e.filter("event_type = 'error' and user_id < 50").select(F.col("user_id").cast("string").alias("m")).distinct(), "m", "left_semi").select("event_id").distinct())(table(s, d, "events")), r"select distinct event_id from (select event_id, unnest(regexp_extract_all(props, '\d+')) as m from events where event_type <> 'error') where m in (select user_id::varchar from events where event_type = 'error' and user_id < 50)")
-query("u02_merge_nodes", lambda s, d: (lambda n: n.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members")).select("id", "members"))(regions(s, d).select(F.col("region_id").alias("id"), fn.normal_statement(F.col("text")).alias("key"))), sql(r"select min(region_id) as id, count(*) as members from regions group by trim(regexp_replace(lower(text), '\s+', ' ', 'g'))", "regions"))
 
 
 def canonical(s, d):
@@ -80,7 +76,6 @@ EU = "eu as (select action, (sum(num * utility) - max(cost) * max(den))::bigint
 query("a09_expected_utility", lambda s, d: decide.expected_utility(outcomes(s, d)), f"with {OUT}, {EU} select * from eu")
 query("a12_brier", lambda s, d: decide.brier(outcomes(s, d), F.col("outcome") == 1), f"with {OUT} select action, sum((num - case when outcome = 1 then den else 0 end) * (num - case when outcome = 1 then den else 0 end))::bigint as score_num, max(den)::bigint as den from o group by action")
 query("k06_eu_winners", lambda s, d: decide.winners(decide.expected_utility(outcomes(s, d))), f"with {OUT}, {EU} select action, eu_num, den from eu qualify rank() over (order by eu_num::decimal(38,12) / den desc) = 1")
-query("a10_information_value", lambda s, d: outcomes(s, d).groupBy("outcome").agg(F.max(F.col("num") * F.col("utility")).alias("best"), F.sum("num").alias("weight")), f"with {OUT} select outcome, max(num * utility)::bigint as best, sum(num)::bigint as weight from o group by outcome")
 query("a11_scenario_bounds", lambda s, d: decide.expected_utility(outcomes(s, d)).select("action", F.least(F.col("eu_num") - F.col("den"), F.col("eu_num"), F.col("eu_num") + 2 * F.col("den")).alias("lower"), F.greatest(F.col("eu_num") - F.col("den"), F.col("eu_num"), F.col("eu_num") + 2 * F.col("den")).alias("upper")), f"with {OUT}, {EU} select action, eu_num - den as lower, eu_num + 2 * den as upper from eu")
 query("q10_evaluate", lambda s, d: decide.expected_utility(outcomes(s, d)).select("action", F.round(F.col("eu_num") / F.col("den"), 6).alias("eu")), f"with {OUT}, {EU} select action, round(eu_num::double / den, 6) as eu from eu")
 
@@ -94,6 +89,4 @@ query("j14_cross_product_search", lambda s, d: decide.violations(decide.box(s, [
 query("q11_search_counterexamples", lambda s, d: decide.first_witness(decide.violations(decide.box(s, ["x", "y", "z"], -6, 6), add(mul(X, X), mul(Y, Y), mul(Z, Z)), "le", const(100)), ["x", "y", "z"], 13**3, 3000), "select x.range::bigint as x, y.range::bigint as y, z.range::bigint as z, (x.range + 6) * 169 + (y.range + 6) * 13 + z.range + 7 as evaluations, 'witness' as \"end\" from range(-6, 7) x, range(-6, 7) y, range(-6, 7) z where x.range * x.range + y.range * y.range + z.range * z.range > 100 order by 4 limit 1")
 query("c16_boundary_sampling", lambda s, d: (lambda v: v.select(F.explode(F.array(*[F.lit(n).cast("long") for n in (-10, 10, -9)])).alias("x")).crossJoin(v.select(F.explode(F.array(*[F.lit(n).cast("long") for n in (-10, 10, 0)])).alias("y"))).select("x", "y", F.expr("try_divide(x, y)").isNull().alias("skipped"), F.coalesce(F.expr("x * y > 90"), F.lit(False)).alias("failed")))(s.range(1)), "select x::bigint as x, y::bigint as y, y = 0 as skipped, x * y > 90 as failed from (select unnest([-10, 10, -9]) as x), (select unnest([-10, 10, 0]) as y)")
 query("c30_exact_value_parse", lambda s, d: table(s, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat("p_size", F.lit("/"), F.col("p_partkey") % 9).alias("v")).select("id", F.when(F.col("v").rlike(r"^-?\d+/[1-9]\d*$"), F.split("v", "/")[0].cast("long")).alias("num"), F.when(F.col("v").rlike(r"^-?\d+/[1-9]\d*$"), F.split("v", "/")[1].cast("long")).alias("den")), "select p_partkey::bigint as id, case when p_partkey % 9 > 0 then p_size::bigint end as num, case when p_partkey % 9 > 0 then (p_partkey % 9)::bigint end as den from part")
-query("q12_pair_inventory", lambda s, d: (lambda r: r.alias("a").join(r.alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).filter("a.n_name < b.n_name").select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), F.size(F.array_intersect("a.l", "b.l")).cast("long").alias("shared")))(table(s, d, "nation").withColumn("l", F.array_distinct(F.split("n_name", "")))), "with r as (select *, list_distinct(string_split(n_name, '')) as l from nation) select a.n_name as a, b.n_name as b, len(list_intersect(a.l, b.l))::bigint as shared from r a join r b on a.n_regionkey = b.n_regionkey and a.n_name < b.n_name")
 query("q13_substantiate_grounding", lambda s, d: validate.evidence_issues(references(s, d), graded_regions(s, d), "p1").join(regions(s, d).select(F.col("region_id").alias("ref_id"), "source_id"), "ref_id").groupBy("source_id", "code").agg(F.count(F.lit(1)).alias("n")), sql(f"with {REFS}, c as ({CODES}) select s.source_id, code, count(*) as n from c join regions s on s.region_id = ref_id group by all", "regions"))
-query("q17_regional_coverage", lambda s, d: table(s, d, "nation").join(table(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_anti").select("n_name"), "select n_name from nation where n_nationkey not in (select s_nationkey from supplier)")

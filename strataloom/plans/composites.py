@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import documents, graph, logic, retrieve, store, validate
+from ..operators import cycles, documents, graph, logic, retrieve, store, validate
 from ..operators.logic import Atom, Rule
+from ..sources.shared import written
 from ..sources.tables import edges, graded_regions, history, nodes, ordered_regions, records, regions, sql, table, vectors
 from .checks import CODES, REFS, references
 from .graph import DAG, DISPOSED, order_dag, recorded, root
@@ -33,8 +34,27 @@ def weak(s, d):
     return edges(s, d).filter("status <> 'supported'").select("src", "dst")
 
 
-query("g15_circular_support", lambda s, d: graph.closure(graph.on_cycles(weak(s, d))).filter("src = dst").select("src"), sql(f"with {WEAK} select src from cl where src = dst", "edges", recursive=True))
-query("g16_open_roots", lambda s, d: graph.closure(weak(s, d), nodes(s, d).filter("role = 'obligation'").select(F.col("node_id").alias("node"))).groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("roots")), sql(f"with {WEAK} select src, string_agg(dst::varchar, ',' order by dst) as roots from cl where dst in (select node_id from nodes where role = 'obligation') group by src", "nodes", "edges", recursive=True))
+query("g15_circular_support", lambda s, d: cycles.strong_components(weak(s, d)).select(F.col("node").alias("src")), sql(f"with {WEAK} select src from cl where src = dst", "edges", recursive=True))
+
+
+def open_roots(s, d):
+    """The obligations that each node's weak edges lead to: worked out for components, then handed to their nodes."""
+    e = weak(s, d)
+    strong = written(cycles.strong_components(e), "strong")
+    placed = nodes(s, d).join(strong, F.col("node_id") == F.col("node"), "left").select("node_id", "role", F.coalesce("scc", "node_id").alias("part"), F.col("scc").isNotNull().alias("cyclic"))
+    placed = written(placed, "placed")
+    wanted = placed.filter("role = 'obligation'")
+    ahead = graph.closure(cycles.condensed(e, strong), wanted.select(F.col("part").alias("node")))
+    reached = ahead.select(F.col("src").alias("from"), F.col("dst").alias("part")).unionByName(placed.filter("cyclic").select(F.col("part").alias("from"), "part").distinct())
+    roots = reached.join(wanted.select("part", F.col("node_id").alias("open")), "part").groupBy("from").agg(F.array_join(F.array_sort(F.collect_set("open")), ",").alias("roots"))
+    return placed.join(roots, F.col("part") == F.col("from")).select(F.col("node_id").alias("src"), "roots")
+
+
+query(
+    "g16_open_roots",
+    open_roots,
+    sql(f"with {WEAK} select src, string_agg(dst::varchar, ',' order by dst) as roots from cl where dst in (select node_id from nodes where role = 'obligation') group by src", "nodes", "edges", recursive=True),
+)
 #: What is open, blocked and evidenced follows along dependencies; both sides of a conflict are blocked.
 ATTEMPT = [
     Rule("unresolved", Atom("Open", ("X",)), (Atom("Depends", ("X", "Y")), Atom("Open", ("Y",)))),
@@ -63,8 +83,6 @@ query(
 query("l11_facet_preservation", lambda s, d: (lambda n: edges(s, d).select("src", "dst").join(n.select(F.col("node_id").alias("src"), F.col("facet").alias("l")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("facet").alias("r")), "dst").filter("l is null or r is null or not (l <=> r)").select("src", "dst"))(nodes(s, d).withColumn("facet", F.when(F.col("status") != "proposed", F.col("role")))), sql("with n as (select node_id, case when status <> 'proposed' then role end as facet from nodes) select src, dst from edges join n a on a.node_id = src join n b on b.node_id = dst where a.facet is null or b.facet is null or a.facet <> b.facet", "nodes", "edges"))
 query("v05_structural_contract", lambda s, d: (lambda n, e: n.filter("role = 'obligation'").join(e.select(F.col("src").alias("node_id")), "node_id", "left_anti").select("node_id", F.lit("no_dependency").alias("issue")).unionByName(n.filter("status = 'contradicted'").join(e.select(F.col("dst").alias("node_id")), "node_id", "left_semi").select("node_id", F.lit("used_though_contradicted").alias("issue"))))(nodes(s, d), edges(s, d)), sql("select node_id, 'no_dependency' as issue from nodes where role = 'obligation' and node_id not in (select src from edges) union all select node_id, 'used_though_contradicted' from nodes where status = 'contradicted' and node_id in (select dst from edges)", "nodes", "edges"))
 query("v07_delta_integrity", lambda s, d: (lambda up, rm: up.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("repeated").alias("issue")).unionByName(up.join(rm, "id", "left_semi").distinct().select("id", F.lit("upserted_and_removed").alias("issue"))))(records(s, d).filter("kind = 'view'").select(k().alias("id")), records(s, d).filter("kind = 'error' and id % 40 = 0").select(k().alias("id")).distinct()), sql(f"with up as (select {K_SQL} as id from records where kind = 'view'), rm as (select distinct {K_SQL} as id from records where kind = 'error' and id % 40 = 0) select id, 'repeated' as issue from up group by id having count(*) > 1 union all select distinct id, 'upserted_and_removed' from up where id in (select id from rm)", "records"))
-query("v10_relation_citation_binding", lambda s, d: regions(s, d).select("region_id", F.when(~F.contains("text", F.lit("the")), "unbound").when(F.locate("the", F.col("text")) < F.locate("and", F.col("text")), "forward").otherwise("backward").alias("direction")), sql("select region_id, case when not contains(text, 'the') then 'unbound' when instr(text, 'the') < instr(text, 'and') then 'forward' else 'backward' end as direction from regions", "regions"))
-query("v11_artifact_cross_check", lambda s, d: (lambda r: r.join(r.groupBy("sha").agg(F.min("region_id").alias("owner")), "sha").filter("owner <> region_id").select("region_id", "owner"))(regions(s, d).select("region_id", F.sha2("text", 256).alias("sha"))), sql("select region_id, owner from (select region_id, min(region_id) over (partition by sha256(text)) as owner from regions) where owner <> region_id", "regions"))
 NORMAL = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 ALIASES = f"al as (select * from (select region_id as u, unnest(list_distinct([{NORMAL.format('text')}, {NORMAL.format('string_split(text, chr(10))[1]')}, {NORMAL.format('string_split(text, chr(10))[-1]')}])) as alias from regions) where len(string_split(alias, ' ')) >= 4), ln as (select distinct a.u, b.m as v from al a join (select alias, min(u) as m from al group by alias) b using (alias) where a.u <> b.m), bi as (select u, v from ln union select v, u from ln), cc as (select region_id as node, region_id as root from regions union select v, root from cc join bi on u = node)"
 
@@ -106,7 +124,6 @@ def consolidation(s, d):
 query("q05_consolidation_plan", consolidation, sql("with m as (select node_id, min(node_id) over (partition by role, status) as c from nodes) select e.status as relation, a.c as src, b.c as dst, count(*) as merged from edges e join m a on a.node_id = src join m b on b.node_id = dst group by 1, 2, 3", "nodes", "edges"))
 query("q07_prepare_sources", lambda s, d: documents.chunks(regions(s, d).select("region_id", "text")).groupBy("region_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(fn.token_estimate(F.col("text"))).alias("tokens"), F.sum(F.length("text")).alias("chars")))
 query("q09_pack_chat_context", lambda s, d: retrieve.first_fit(retrieve.newest_within(history(s, d), 1000, 100).withColumn("item", F.col("turn")), "conv_id", "size", 500, [-F.col("turn")]).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max("used").alias("used")))
-query("q14_submit_answer", lambda s, d: records(s, d).groupBy("corpus_id").agg(F.max_by(k(), "seq").alias("answer"), F.count_if((F.col("kind") == "error") & (k() > 90)).alias("unresolved")).withColumn("accepted", F.col("unresolved") == 0), sql(f"select corpus_id, arg_max({K_SQL}, seq) as answer, count(*) filter (kind = 'error' and {K_SQL} > 90) as unresolved, count(*) filter (kind = 'error' and {K_SQL} > 90) = 0 as accepted from records group by corpus_id", "records"))
 query("q15_scoped_profiles", lambda s, d: (lambda r: r.withColumn("rn", F.row_number().over(Window.partitionBy("kind", "name").orderBy(F.col("project_id").isNull(), F.desc("seq")))).filter("rn = 1").select("kind", "name", "id"))(records(s, d).filter(store.visible("p3")).withColumn("name", k() % 10)), sql(f"select kind, name, id from (select *, {K_SQL} % 10 as name, row_number() over (partition by kind, {K_SQL} % 10 order by project_id is null, seq desc) as rn from records where project_id is null or project_id = 'p3') where rn = 1", "records"))
 query(
     "q16_literature_merge_rank",
@@ -115,8 +132,6 @@ query(
         from g join regions on region_id = node group by root having count(*) > 1)
       select root, members, sources, row_number() over (order by members desc, sources desc, root) as place from m qualify place <= 50""", "regions", recursive=True),
 )
-query("q19_reference_adapter", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts")).select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.explode("parts").alias("part")).select("src", F.concat(F.lit("p"), "part").alias("dst")), "select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem")
-query("q20_extraction_delta", lambda s, d: regions(s, d).select("region_id", F.explode(F.array_distinct(fn.plain_words(F.col("text"), 12))).alias("concept")).groupBy("concept").agg(F.min("region_id").alias("first"), F.count(F.lit(1)).alias("regions")), sql("select concept, min(region_id) as first, count(*) as regions from (select region_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{12,}'))) as concept from regions) group by concept", "regions"))
 
 
 def commit_outcomes(s, d):

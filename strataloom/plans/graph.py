@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import cycles
 from ..operators import graph as op
 from ..sources.tables import edges, nodes, sql, table
 
@@ -28,7 +29,6 @@ def recorded(s, d):
 
 
 DISPOSED = "disposed as (select src, dst, case when e.status in ('refuted', 'failed', 'contradicted') then 'excluded' when e.status <> 'proposed' and a.status <> 'proposed' and b.status <> 'proposed' then 'recorded' else 'proposed' end as disposition from edges e join nodes a on a.node_id = src join nodes b on b.node_id = dst)"
-REACH = "r as (select {seed} as node, 0 as depth union select dst, depth + 1 from r join {edges} on src = node where depth < {most})"
 
 
 def reach_sql(seed: str, relation: str, most: int = DEPTH) -> str:
@@ -39,7 +39,18 @@ query("f04_dependency_disposition", lambda s, d: op.disposition(edges(s, d), nod
 query("j02_neighbors_undirected", lambda s, d: op.neighbours(edges(s, d), ROOT, 20), sql(f"select distinct node, status from (select dst as node, status from edges where src = {ROOT} union all select src, status from edges where dst = {ROOT}) order by status, node limit 20", "edges"))
 query("j04_edge_endpoint_join", lambda s, d: (lambda n: edges(s, d).join(n.select(F.col("node_id").alias("src"), F.col("role").alias("src_role")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("role").alias("dst_role")), "dst").groupBy("src_role", "dst_role", "status").agg(F.count(F.lit(1)).alias("n")))(nodes(s, d)), sql("select a.role as src_role, b.role as dst_role, e.status, count(*) as n from edges e join nodes a on a.node_id = src join nodes b on b.node_id = dst group by all", "nodes", "edges"))
 query("j05_dangling_edges", lambda s, d: edges(s, d).withColumn("dst", F.col("dst") + F.when(F.col("src") % 11 == 0, 10**9).otherwise(0)).join(nodes(s, d).select(F.col("node_id").alias("dst")), "dst", "left_anti").select("src", "dst"), sql("with e as (select src, dst + case when src % 11 = 0 then 1000000000 else 0 end as dst from edges) select src, dst from e where dst not in (select node_id from nodes)", "nodes", "edges"))
-query("w08_per_hop_neighbor_cap", lambda s, d: edges(s, d).withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("src", "status"))).filter("place <= 2").select("src", "dst"), sql("select src, dst from edges qualify row_number() over (partition by dst order by src, status) <= 2", "edges"))
+
+
+def first_neighbours(s, d, cap: int = 2):
+    """Each node's first neighbours in either direction, by (neighbour, direction)."""
+    e = edges(s, d)
+    both = e.select(F.col("src").alias("node"), F.col("dst").alias("near"), F.lit(0).alias("way")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("near"), F.lit(1).alias("way")))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("near", "way"))
+    return both.withColumn("place", place).filter(F.col("place") <= cap).select("node", "near", "way")
+
+
+BOTH_WAYS = "select src as node, dst as near, 0 as way from edges union all select dst, src, 1 from edges"
+query("w08_per_hop_neighbor_cap", first_neighbours, sql(f"select * from ({BOTH_WAYS}) qualify row_number() over (partition by node order by near, way) <= 2", "edges"))
 query("g01_bounded_bfs", lambda s, d: op.reach(edges(s, d), s.range(2, 8).withColumnRenamed("id", "node"), 3), sql(f"with {reach_sql('select range::bigint as node, 0 as depth from range(2, 8)', 'edges', 3)} select node, depth from least", "edges", recursive=True))
 query("g03_dependency_reach", lambda s, d: op.reach(recorded(s, d), root(s), DEPTH), sql(f"with {DISPOSED}, e as (select * from disposed where disposition = 'recorded'), {reach_sql(f'select {ROOT}::bigint as node, 0 as depth', 'e')} select node, depth from least", "nodes", "edges", recursive=True))
 PATHS = """p as (select {root}::bigint as root, [{root}::bigint] as path, cast(null as varchar) as fin, 0 as n
@@ -50,7 +61,8 @@ query("g04_dependency_paths", lambda s, d: op.paths(edges(s, d), root(s), 7).sel
 
 
 def short_cycles(s, d):
-    return op.cycle_witness(op.paths(edges(s, d), nodes(s, d).select(F.col("node_id").alias("node")), 6)).select(F.array_join("cycle", ">").alias("cycle"))
+    e = edges(s, d)
+    return cycles.short_cycles(e, cycles.strong_components(e), 6).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 query("g05_cycle_witness", short_cycles, sql("""with p as (select node_id as root, [node_id] as path, false as again, 0 as n from nodes union all select root, list_append(path, dst), list_contains(path, dst), n + 1 from p join edges on src = path[-1] where not again and n < 6),
@@ -94,7 +106,24 @@ def order_dag(s, d):
 
 
 DAG = "dag as (select 'o' || o_orderkey as src, 'c' || o_custkey as dst from orders union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)"
-query("g11_dag_check", lambda s, d: op.on_cycles(order_dag(s, d)), f"with {DAG} select src, dst from dag where 1 = 0")
-query("g11_part_cycles", lambda s, d: op.on_cycles(edges(s, d)), None)
+#: Edges that lead from a cycle to a cycle, by the pairs that a path joins.
+CYCLIC = """cl as (select src, dst from {e} union select cl.src, e.dst from cl join {e} e on cl.dst = e.src), cyc as (select src as node from cl where src = dst),
+  later as (select node from cyc union select dst from cl where src in (select node from cyc)), sooner as (select node from cyc union select src from cl where dst in (select node from cyc))"""
+BETWEEN = "select distinct src, dst from {e} where src in (select node from later) and dst in (select node from sooner)"
+query("g11_dag_check", lambda s, d: op.on_cycles(order_dag(s, d)), f"with recursive {DAG}, {CYCLIC.format(e='dag')} {BETWEEN.format(e='dag')}")
+query("g11_part_cycles", lambda s, d: op.on_cycles(edges(s, d)), sql(f"with {CYCLIC.format(e='edges')} {BETWEEN.format(e='edges')}", "edges", recursive=True))
+#: A component's name is the least node that each of its nodes reaches and that reaches it.
+STRONG = "cl as (select src, dst from {e} union select cl.src, e.dst from cl join {e} e on cl.dst = e.src), strong as (select a.src as node, min(a.dst) as scc from cl a join cl b on a.src = b.dst and a.dst = b.src group by 1)"
+query("g05_strong_components", lambda s, d: cycles.strong_components(edges(s, d)), sql(f"with {STRONG.format(e='edges')} select * from strong", "edges", recursive=True))
+
+
+def shortest_cycles(s, d):
+    e = edges(s, d)
+    return cycles.witnesses(e, cycles.strong_components(e)).groupBy("scc").agg(F.count(F.lit(1)).alias("length"))
+
+
+SHORTEST = """b as (select distinct scc, scc as node, 0 as n from strong union select b.scc, e.dst, n + 1 from b join edges e on e.src = b.node join strong t on t.node = e.dst and t.scc = b.scc where n < {most} and (e.dst <> b.scc or n > -1))
+  select scc, min(n)::bigint as length from b where node = scc and n > 0 group by scc"""
+query("g05_shortest_witness", shortest_cycles, sql(f"with {STRONG.format(e='edges')}, {SHORTEST.format(most=80)}", "edges", recursive=True))
 query("g12_topological_levels", lambda s, d: (lambda g: op.levels(g, g.select(F.col("src").alias("node")).unionByName(g.select(F.col("dst").alias("node")))))(order_dag(s, d)), f"with recursive {DAG}, l as (select distinct src as node, 0 as level from dag union select dst, level + 1 from l join dag on src = node) select node, max(level) as level from l group by node")
 query("j09_pairwise_objects", lambda s, d: (lambda r: r.alias("a").join(r.alias("b"), F.col("a.r_regionkey") < F.col("b.r_regionkey")).select(F.col("a.r_name").alias("a"), F.col("b.r_name").alias("b"), F.size(F.array_intersect("a.letters", "b.letters")).cast("long").alias("shared"), F.size(F.array_except("a.letters", "b.letters")).cast("long").alias("left_only")))(table(s, d, "region").withColumn("letters", F.array_distinct(F.split("r_name", "")))), "with r as (select *, list_distinct(string_split(r_name, '')) as letters from region) select a.r_name as a, b.r_name as b, len(list_intersect(a.letters, b.letters))::bigint as shared, (len(a.letters) - len(list_intersect(a.letters, b.letters)))::bigint as left_only from r a join r b on a.r_regionkey < b.r_regionkey")

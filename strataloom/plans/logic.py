@@ -80,6 +80,5 @@ query("l07_unmatched_rules", lambda s, d: s.createDataFrame([(r.name,) for r in
 query("l08_hypothesis_dependencies", lambda s, d: (lambda sup: sup.select("a", F.explode("premises").alias("premise")).filter("premise like 'Open(%'").withColumn("proposed", F.regexp_extract("premise", r"\((\d+)", 1).cast("long") % 2 == 0).groupBy("a").agg(F.bool_or("proposed").alias("conditional")))(op.supports(facts(s, d), OPEN[:1])), sql(f"with {FACTS} select dep.a, bool_or(dep.b::bigint % 2 = 0) as conditional from dep join facts f on f.pred = 'Open' and f.a = dep.b group by dep.a", "nodes", "edges"))
 query("l12_assess_claim", lambda s, d: (lambda x: x.groupBy("src").agg(F.bool_or(F.col("status").isin("refuted", "failed")).alias("r"), F.bool_and(F.col("status").isin("verified", "supported")).alias("v"), F.bool_or(F.col("status") == "unresolved").alias("u")).select("src", F.when(F.col("r"), "refuted").when(F.col("v"), "verified").when(F.col("u"), "not_established").otherwise("conditional").alias("assessment")))(edges(s, d).select("src", "dst").join(nodes(s, d), F.col("dst") == F.col("node_id"))), sql("select src, case when bool_or(n.status in ('refuted', 'failed')) then 'refuted' when bool_and(n.status in ('verified', 'supported')) then 'verified' when bool_or(n.status = 'unresolved') then 'not_established' else 'conditional' end as assessment from edges e join nodes n on dst = node_id group by src", "nodes", "edges"))
 query("l13_obligation_status_rules", lambda s, d: op.derive(Rule("open", Atom("NotEstablished", ("X",)), (Atom("Depends", ("X", "Y")), Atom("Open", ("Y",)))), facts(s, d)).select("a").distinct(), sql(f"with {FACTS} select distinct dep.a from dep join facts f on f.pred = 'Open' and f.a = dep.b", "nodes", "edges"))
-query("l14_finalization_gates", lambda s, d: (lambda n, e: n.filter("role = 'obligation'").join(e.select(F.col("dst").alias("node_id")), "node_id", "left_anti").select("node_id"))(nodes(s, d), edges(s, d)), sql("select node_id from nodes where role = 'obligation' and node_id not in (select dst from edges)", "nodes", "edges"))
 query("f09_strict_graph", lambda s, d: edges(s, d).withColumn("origin", F.when(F.col("status") == "proposed", "proposed").otherwise("assumed")).select("src", "dst", "origin", F.sha2(F.concat_ws("|", "src", "dst", F.lit("assumed")), 256).alias("hypothesis_id")), sql("select src, dst, case when status = 'proposed' then 'proposed' else 'assumed' end as origin, sha256(src || '|' || dst || '|assumed') as hypothesis_id from edges", "edges"))
 query("q03_analyze_graph", lambda s, d: closed(s, d, OPEN + PROBLEM).groupBy("pred").agg(F.count(F.lit(1)).alias("n")), sql(f"with {FACTS}, {HAS_OPEN}, {HAS_PROBLEM}, u as (select pred from facts union all select 'HasOpen' from has_open union all select 'HasProblem' from has_problem) select pred, count(*) as n from u group by pred", "nodes", "edges", recursive=True))

@@ -54,7 +54,6 @@ query("k05_vocabulary_relevance", lambda s, d: table(s, d, "part").select(F.col(
 query("k07_region_evidence_rank", lambda s, d: regions(s, d).select("region_id", "source_id", op.substring_score(F.lower("text"), WORDS).alias("score")).withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "region_id"))).filter("place <= 3").select("region_id", "source_id", "score", F.col("place").cast("long").alias("place")), sql(f"with c as (select region_id, source_id, lower(text) as t from regions) select region_id, source_id, ({COUNT})::bigint as score, row_number() over (partition by source_id order by ({COUNT}) desc, region_id) as place from c qualify place <= 3", "regions"))
 query("w04_bounded_history", lambda s, d: op.newest_within(history(s, d), 400, 100).select("conv_id", "turn", F.col("used").cast("long").alias("used")), sql("select conv_id, turn, sum(size) over (partition by conv_id order by turn desc rows unbounded preceding)::bigint as used from history qualify used <= 400 and row_number() over (partition by conv_id order by turn desc) <= 100", "history"))
 query("w05_first_fit_budget", lambda s, d: op.first_fit(history(s, d).withColumn("item", F.col("turn")), "conv_id", "size", 300, [F.col("turn")]))
-query("w06_per_anchor_continuation", lambda s, d: (lambda r: r.withColumn("island", F.col("ordinal") - F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal"))).groupBy("source_id", "island").agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("length")).drop("island"))(ordered_regions(s, d).filter("ordinal % 5 <> 3")), sql('select source_id, min(ordinal) as first, count(*) as length from (select source_id, ordinal, ordinal - row_number() over (partition by source_id order by ordinal) as island from regions where ordinal % 5 <> 3) group by source_id, island', "regions"))
 query("c26_evidence_cards", lambda s, d: history(s, d).select("conv_id", "turn", F.concat(F.lit("S"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).alias("card")), sql("select conv_id, turn, 'S' || row_number() over (partition by conv_id order by turn) as card from history", "history"))
 query("c27_citations", lambda s, d: history(s, d).select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" [S1] [G"), "turn", F.lit("] [X2]")).alias("t")).select("conv_id", "turn", F.array_join(F.regexp_extract_all("t", F.lit(r"\[([SG]\d+)\]"), F.lit(1)), ",").alias("cited"), F.array_join(F.array_except(F.regexp_extract_all("t", F.lit(r"\[([SG]\d+)\]"), F.lit(1)), F.array(F.lit("S1"), F.lit("G0"))), ",").alias("unknown")), sql("select conv_id, turn, 'S1,G' || turn as cited, case when turn = 0 then '' else 'G' || turn end as unknown from history", "history"))
 query("c11_token_estimate", lambda s, d: regions(s, d).select("region_id", fn.token_estimate(F.col("text")).alias("tokens")), sql("select region_id, ceil(octet_length(encode(text)) / 2)::bigint as tokens from regions", "regions"))
