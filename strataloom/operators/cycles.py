@@ -1,6 +1,7 @@
 """Strongly connected components by trimming, contraction and colouring, and what follows from them.
 
-1. Trimming: nodes without incoming or outgoing edges lie on no cycle.
+1. Trimming: nodes without incoming or outgoing edges lie on no cycle. A few rounds are enough, as dead ends
+   are contracted too.
 2. Contraction: a node with one outgoing edge lies on no other cycles than the node it leads to. Chains of
    such nodes are followed by pointer doubling, in as many rounds as a chain's length has bits, either to
    the node in which they end or around a ring, which is a component. Edges into a chain then lead to its
@@ -24,7 +25,9 @@ from ..sources.shared import written
 from .graph import gathered, on_cycles, turns
 
 #: Contraction goes on while it takes at least this share of the edges away; what is left is coloured.
-WORTH = 0.05
+WORTH = 0.25
+#: Rounds of trimming before each contraction.
+TRIM = 2
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,7 @@ class _Jumps:
     """Steps of 1, 2, 4, ... along single outgoing edges: for each power a table of node, to."""
 
     steps: list[DataFrame]
-    ends: DataFrame  # node, end: the first node with several outgoing edges; null on the way into a ring
+    ends: DataFrame  # node, end: the first node that hasn't one outgoing edge; null on the way into a ring
     rings: DataFrame  # node, scc
 
 
@@ -41,7 +44,7 @@ def _pairs(edges: DataFrame) -> DataFrame:
 
 
 def _chains(edges: DataFrame) -> _Jumps:
-    """Follows the nodes with one outgoing edge. edges: distinct, without loops, each node with an outgoing edge."""
+    """Follows the nodes with one outgoing edge. edges: distinct, without loops."""
     single = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to")).filter("n = 1").select(F.col("src").alias("node"), "to")
     # low: the least node met; on a ring, after enough steps, the ring's least node.
     now = written(single.join(single.select(F.col("node").alias("to"), F.lit(True).alias("on")), "to", "left").select("node", "to", F.coalesce("on", F.lit(False)).alias("on"), F.least("node", "to").alias("low")), "chain")
@@ -114,11 +117,11 @@ def _coloured(edges: DataFrame) -> DataFrame:
 
 def _components(edges: DataFrame, before: tuple[int, ...] = ()) -> DataFrame:
     """node, scc (some name of it) for nodes on cycles of more than one node. before: edges at the levels above."""
-    trimmed = on_cycles(edges)
+    trimmed = on_cycles(edges, TRIM)
     count = trimmed.count()
     # One level follows single outgoing edges, the next one single incoming ones.
     if not count or (len(before) > 1 and count > (1 - WORTH) * before[-2]):
-        return _coloured(trimmed)
+        return _coloured(on_cycles(trimmed))
     chains = _chains(trimmed)
     ends = written(chains.ends, "ends")
     short = trimmed.join(ends.select(F.col("node").alias("src")), "src", "left_anti").join(ends.select(F.col("node").alias("dst"), F.lit(True).alias("in"), "end"), "dst", "left")

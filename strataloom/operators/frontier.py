@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .graph import gathered
+from .graph import counted, gathered
 
 FREE = 9
 PLACES = 256
@@ -70,6 +70,7 @@ def search(links: DataFrame, nodes: DataFrame, seeds: DataFrame, budget: Budget)
     cap, most = (NO_LIMIT if x is None else x for x in (budget.neighbours, budget.edges))
     most_nodes, most_results = (NO_LIMIT if x is None else x for x in (budget.nodes, budget.results))
     kind = links.schema["source"].dataType.simpleString()
+    links, nodes = written(links, "links"), written(nodes, "nodes")
     first = seeds.join(nodes, "node").select("node", "result", F.lit(0).alias("depth"), F.col("place").cast("long").alias("place"), F.lit(None).cast(kind).alias("parent"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("int").alias("direction"), F.array("node").alias("path"))
     seen = frontier = written(first, "search")
     figures = frontier.agg(F.count(F.lit(1)), F.count_if("result")).first()
@@ -88,12 +89,11 @@ def search(links: DataFrame, nodes: DataFrame, seeds: DataFrame, budget: Budget)
         over = ~F.col("free") & (F.col("rank") > cap)
         near = written(near.select("node", "place", "path", "target", "link", "way", "free", "rank", over.alias("over")), "near")
         limited = limited or not near.filter("over").isEmpty()
-        edges = written(running(near.filter("not over"), "place", ["free", "rank"], {"number": F.lit(1)}), "edges")
-        total = edges.count()
+        edges, total = counted(running(near.filter("not over"), "place", ["free", "rank"], {"number": F.lit(1)}), "edges")
         ready = edges.filter(F.col("number") <= most - examined)
         new = ready.groupBy("target").agg(F.min(F.struct("place", "number", "node", "link", "way", "path")).alias("by"))
         new = new.join(seen.select(F.col("node").alias("target")), "target", "left_anti").join(nodes.withColumnRenamed("node", "target"), "target").select("target", "result", "by.*")
-        new = written(running(new, "place", ["number"], {"held": F.col("result").cast("long"), "found": F.lit(1)}), "new")
+        new, offered = counted(running(new, "place", ["number"], {"held": F.col("result").cast("long"), "found": F.lit(1)}), "new")
         if budget.stop:
             kept = new.filter((F.col("found") <= most_nodes - visited) & (F.col("held") - F.col("result").cast("long") < most_results - results))
         else:
@@ -107,7 +107,7 @@ def search(links: DataFrame, nodes: DataFrame, seeds: DataFrame, budget: Budget)
         full = budget.stop and (visited >= most_nodes or results >= most_results)
         # With stop nothing is looked at after the edge that used up a budget; else all edges are, whether they lead on or not.
         looked = figures[2] if full else min(total, most - examined)
-        limited = limited or looked < total or (not budget.stop and new.count() > figures[0])
+        limited = limited or looked < total or (not budget.stop and offered > figures[0])
         examined, offset = examined + looked, offset + figures[0]
         if budget.stop and (full or examined >= most) and not limited:
             last = edges.filter(F.col("number") == looked).agg(F.max("place")).first()[0]
