@@ -6,8 +6,13 @@ is only tried where one of its own first words stands. Detections are intervals
 priority: inside another one of no worse priority a detection is suppressed, and of two that overlap
 otherwise the one of worse priority.
 
-Everything is per row: no shuffle, no Python. Defined results: a null or empty text has 0 words, no
-label and score 0; repeated rows give repeated results; other columns don't matter.
+An SPDX expression labels each of its licenses and exceptions: the first one's detection begins at "SPDX",
+those of later ones, after AND, OR or WITH, at themselves. Versioned identifiers count alone too, last.
+
+Everything is per row: no shuffle, no Python. What rules see of a text is held for CHUNK places at a time
+and at most REACH words each, so a long text takes memory in proportion to its words. Defined results: a
+null or empty text has 0 words, no label and score 0; repeated rows give repeated results; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -23,10 +28,12 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between words before lower-casing.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: No rule spans as many words as this; a rule sees so many parts of the text from its start.
+#: No rule spans as many words as this; a rule sees so many words of the text from its start.
 REACH = 64
 #: Word counts are summed in spans of so many parts, so that running sums stay linear in a long text.
 SPAN = 256
+#: Places that are looked at together: what their rules see of the text is held for so many at a time.
+CHUNK = 1024
 
 #: The phrases that every scan labels, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -91,6 +98,12 @@ FORMS = [
     ("licen[sc]e (?:type )?(?:the )?", 3, 0.8),
     ("", 4, 0.7),
 ]
+#: Exceptions that an SPDX expression may add to a license: label, regex of the identifier's words.
+EXCEPTIONS = [("gpl-classpath-exception", "classpath exception 2 0"), ("gcc-exception", "gcc exception [23] [01]"), ("llvm-exception", "llvm exception")]
+#: What may stand between "identifier" and a later license of the same SPDX expression.
+BEFORE = "((?:(?:[a-z0-9]+ ){1,6}(?:and|or|with) ){1,6})"
+#: Identifiers that stand for their license without any other word.
+BARE = ["gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "mpl-2.0", "cc0-1.0"]
 #: Sentences of license texts and notices: label, regex, confidence.
 TEXTS = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", 1.0),
@@ -223,7 +236,7 @@ TEXTS = [
     ("proprietary", "all rights reserved", 0.5),
 ]
 #: A text without any of these can't match a rule. They are tried on the text as it is, so each lies within one word; "cc by" has a regex.
-KEYWORDS = ["licen", "permission", "permitted", "redistributions", "contributors", "advertising", "spdx", "creative", "cc0", "domain", "rights", "encumbered", "altered", "wtfpl", "gnu", "attribution", "compile", "whatever", "mozilla", "claimed", "confidential", "ruby", "typefaces", "intent", "endorse", "warrant", "cryptographic", "php", "apache", "openssl", "california", "unauthorized", "perl", "eclipse", "fuck"]
+KEYWORDS = ["licen", "permission", "permitted", "redistributions", "contributors", "advertising", "spdx", "creative", "cc0", "domain", "rights", "encumbered", "altered", "wtfpl", "gnu", "attribution", "compile", "whatever", "mozilla", "claimed", "confidential", "ruby", "typefaces", "intent", "endorse", "warrant", "cryptographic", "php", "apache", "openssl", "california", "unauthorized", "perl", "eclipse", "fuck", "gpl", "clause", "mpl"]
 CC_BY = rf"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])cc{SEPARATORS}by"
 
 
@@ -265,8 +278,10 @@ def first_words(pattern: str) -> list[str]:
 def rules() -> list[tuple[str, str, int, float]]:
     """All rules in order: label, regex, priority, confidence."""
     out = [(label, rf"spdx license identifier (?:{spdx})", 0, 1.0) for label, _, spdx in NAMES]
+    out += [(label, rf"spdx license identifier {BEFORE}(?:{spdx})", 0, 1.0) for label, spdx in [*((n, x) for n, _, x in NAMES), *EXCEPTIONS]]
     out += [(label, regex, 1, confidence) for label, regex, confidence in TEXTS]
     out += [(label, f"{prefix}(?:{name})", priority, confidence) for prefix, priority, confidence in FORMS for label, name, _ in NAMES]
+    out += [(label, spdx, 5, 0.6) for label, _, spdx in NAMES if label in BARE]
     return out
 
 
@@ -282,7 +297,8 @@ def rule_table() -> Column:
     rows: dict[str, list] = {}
     for n, (label, r, p, c) in enumerate(rules()):
         for h in sorted(set(first_words(r))):
-            rows.setdefault(h[:2], []).append({"head": h, "regex": f"^(?:{r}) ", "priority": p, "n": n, "label": label, "confidence": c})
+            # Group 1 is what comes before a later license of an expression; the license begins after it.
+            rows.setdefault(h[:2], []).append({"head": h, "regex": f"^(?:{r}) " + ("" if BEFORE in r else "()"), "priority": p, "n": n, "label": label, "confidence": c})
     return F.from_json(F.lit(json.dumps(rows)), f"map<string,{ARRAY}>")
 
 
@@ -335,20 +351,32 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     begun = lambda i: F.when(F.size("spans") > i, F.get("spans", i))
     begins = F.transform("counts", lambda n, i: begun(F.floor(i / SPAN).cast("int")) + total(F.slice("counts", F.floor(i / SPAN).cast("int") * SPAN + 1, i % SPAN)))
     df = df.withColumn("begins", begins)
-    rests = F.transform("parts", lambda p, i: F.array_join(F.slice("parts", i + 1, F.lit(REACH)), ""))
-    places = F.zip_with("begins", rests, lambda at, rest: F.struct(at.alias("at"), rest.alias("rest")))
-    df = df.withColumn("places", places)
+    # A rule sees REACH words: those of its own part and, if these are fewer, of the next parts.
+    df = df.withColumn("heads", F.transform("parts", lambda p: F.substring_index(p, " ", REACH + 1)))
     phrases = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"{phrase} ").alias("phrase")) for phrase, label in BASE.items()])
-    base = F.flatten(F.transform("places", lambda p: F.transform(F.filter(phrases, lambda b: F.startswith(p["rest"], b["phrase"])), lambda b: F.struct(p["at"].alias("at"), b["label"].alias("label")))))
     table = rule_table()
 
-    def detected(p: Column) -> Column:
-        asked = F.coalesce(F.try_element_at(table, F.substring(p["rest"], 1, 2)), F.array().cast(ARRAY))
-        tried = F.filter(asked, lambda r: F.startswith(p["rest"], r["head"]) & F.call_function("rlike", p["rest"], r["regex"]))
-        length = lambda r: word_count(F.call_function("regexp_extract", p["rest"], r["regex"], F.lit(0)))
-        return F.transform(tried, lambda r: F.struct(p["at"].alias("start"), (-(p["at"] + length(r))).alias("minus_end"), r["priority"], r["n"], r["label"], r["confidence"]))
-
-    df = df.withColumns({"base": base, "found": F.transform("places", detected)}).withColumn("found", F.filter("found", lambda p: F.size(p) > 0)).withColumn("detections", F.array_sort(suppressed(F.col("found"))))
+    def looked(at: Column, rest: Column) -> Column:
+        """What begins at a place: base labels, and the rules that match, as intervals of words."""
+        base = F.transform(F.filter(phrases, lambda b: F.startswith(rest, b["phrase"])), lambda b: F.struct(at.alias("at"), b["label"].alias("label")))
+        asked = F.coalesce(F.try_element_at(table, F.substring(rest, 1, 2)), F.array().cast(ARRAY))
+        tried = F.filter(asked, lambda r: F.startswith(rest, r["head"]) & F.call_function("rlike", rest, r["regex"]))
+        words = lambda r, group: word_count(F.call_function("regexp_extract", rest, r["regex"], F.lit(group)))
+        begin = lambda r: F.when(words(r, 1) > 0, at + 3 + words(r, 1)).otherwise(at)
+        found = F.transform(tried, lambda r: F.struct(begin(r).alias("start"), (-(at + words(r, 0))).alias("minus_end"), r["priority"], r["n"], r["label"], r["confidence"]))
+        return F.struct(base.alias("base"), found.alias("found"))
+
+    def chunk(k: Column) -> Column:
+        """Places CHUNK * k to CHUNK * (k + 1) - 1 at which anything begins."""
+        rests = F.transform(F.slice("heads", k * CHUNK + 1, F.lit(CHUNK)), lambda _, i: F.substring_index(F.array_join(F.slice("heads", k * CHUNK + i + 1, F.lit(REACH)), ""), " ", REACH))
+        rests = F.transform(rests, lambda r: F.concat(r, F.lit(" ")))
+        begins = F.when(F.size("begins") > k * CHUNK, F.slice("begins", k * CHUNK + 1, F.lit(CHUNK))).otherwise(F.array().cast("array<bigint>"))
+        seen = F.zip_with(begins, rests, looked)
+        return F.filter(seen, lambda p: (F.size(p["base"]) > 0) | (F.size(p["found"]) > 0))
+
+    df = df.withColumn("seen", F.flatten(F.transform(F.sequence(F.lit(0), F.expr(f"size(heads) div {CHUNK}")), chunk)))
+    found = F.filter(F.transform("seen", lambda p: p["found"]), lambda p: F.size(p) > 0)
+    df = df.withColumns({"base": F.flatten(F.transform("seen", lambda p: p["base"])), "found": found}).withColumn("detections", F.array_sort(suppressed(F.col("found"))))
     base_labels, at = F.transform("base", lambda b: b["label"]), F.transform("base", lambda b: b["at"])
     labels = F.concat(base_labels, F.transform("detections", lambda d: d["label"]))
     return df.select(

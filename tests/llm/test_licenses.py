@@ -96,5 +96,53 @@ def test_wrapped_public_domain(table):
     assert got == {1: ("public-domain", 0.8), 2: ("public-domain", 0.8), 3: ("public-domain", 0.8), 4: ("", 0.0)}
 
 
+def test_spdx_expressions(table):
+    rows = [
+        (1, "SPDX-License-Identifier: MIT OR Apache-2.0"),
+        (2, "SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)"),
+        (3, "SPDX-License-Identifier: GPL-2.0+ AND LGPL-2.1-or-later"),
+        (4, "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0"),
+        (5, "SPDX-License-Identifier: MIT-0 AND (ISC OR (Zlib AND Apache-2.0 WITH LLVM-exception))"),
+        (6, "files under Apache-2.0 apply"),
+        (7, "SPDX-License-Identifier: MIT"),
+        (8, "BSD-3-Clause"),
+        (9, "a mit of an isc, with bsd and x11"),
+    ]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(table(rows)).collect()}
+    assert got == {1: "apache-2.0,mit", 2: "bsd-3-clause,gpl-2.0", 3: "gpl-2.0,lgpl-2.1", 4: "gpl-2.0,gpl-classpath-exception", 5: "apache-2.0,isc,llvm-exception,mit-0,zlib", 6: "apache-2.0", 7: "mit", 8: "bsd-3-clause", 9: ""}
+
+
+def test_suppression_like_pairs(table):
+    """Detections that stay, against all detections compared in pairs."""
+    texts = ["SPDX-License-Identifier: MIT OR GPL-2.0-only license type the Apache License version 2.0", "dual licensed under the mit license or the bsd license", "released under the terms of the gnu lesser general public license version 2.1 or later", "cc by nc sa 4.0 creative commons attribution share alike"]
+    starts = [(label, re.compile(r + " "), p, n) for n, (label, r, p, _) in enumerate(licenses.rules())]
+    for r in licenses.scan_licenses(table(list(enumerate(texts)))).collect():
+        words = re.findall("[a-z0-9]+", texts[r.doc_id].lower())
+        found = []
+        for i in range(len(words)):
+            rest = " ".join(words[i:]) + " "
+            for label, regex, p, n in starts:
+                if m := regex.match(rest):
+                    skip = 3 + m.group(1).count(" ") if m.re.groups and m.group(1) else 0
+                    found.append((i + skip, i + m.group().count(" "), p, n, label))
+
+        def beaten(d, e):
+            if d[1] <= e[0] or e[1] <= d[0]:
+                return False
+            if d[:2] == e[:2]:
+                return e[2:4] < d[2:4]
+            return e[2] <= d[2] if e[0] <= d[0] and d[1] <= e[1] else e[2] < d[2]
+
+        stay = sorted({(d[0], d[1], d[4]) for d in found if not any(beaten(d, e) for e in found)})
+        assert sorted({(d.start, d.end, d.label) for d in r.detections}) == stay
+
+
+def test_very_long_text(table):
+    """A part of 40 kB between places, and many places: memory in proportion to the words."""
+    block = "mit license " + "lorem ipsum " * 3400
+    (row,) = licenses.scan_licenses(table([(1, block * 100 + "apache license")])).collect()
+    assert (row.n_words, row.n_base, row.labels) == (6802 * 100 + 2, 101, "apache,mit")
+
+
 def test_empty_table(table):
     assert licenses.scan_licenses(table([])).count() == 0
