@@ -176,6 +176,51 @@ def cursor_pages(rows: DataFrame, key: str, value: str, budget: int) -> DataFram
     return rows.withColumn("block", block).withColumn("used", used).withColumn("page", page).withColumn("cursor", F.base64(F.encode(F.concat("page", F.lit("@"), key), "UTF-8")))
 
 
+#: Keys of a range in which rows are numbered, and rows that are looked at together for page breaks.
+RANGE, TOGETHER = 4096, 1024
+
+
+def dense(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """rows with n, their number in the group in order of a unique whole key, from 0: in ranges of keys first, then the ranges' sums."""
+    ranged = rows.withColumn("range", F.expr(f"{key} div {RANGE}"))
+    before = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = ranged.groupBy(F.col(group).alias("of"), F.col("range").alias("at")).agg(F.count(F.lit(1)).alias("count"))
+    starts = counts.select("of", "at", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(group, "range").orderBy(key)) - 1
+    return ranged.withColumn("inside", inside).join(starts, F.col(group).eqNullSafe(F.col("of")) & (F.col("range") == F.col("at"))).withColumn("n", F.col("start") + F.col("inside")).drop("range", "of", "at", "start", "inside")
+
+
+def budget_pages(rows: DataFrame, session: str, key: str, size: str, budget: int, limit: int, revision: int) -> DataFrame:
+    """Pages of a session's rows in order: as many as fit the budget, at most limit, at least one: session, key, page, offset, cursor.
+
+    Where a page ends depends on where it begins, so breaks are sequential. But each row knows where a page
+    would end that begins with it, from the next few rows alone, and these pointers are followed by
+    doubling: one more round where there are twice as many pages. cursor leads to the next page of this
+    session and revision; the last page has none.
+    """
+    numbered = written(dense(rows.select(session, key, F.col(size).cast("long").alias("size")), session, key), "numbered")
+    # Blocks of rows, each with the first rows of the next one.
+    own = F.expr(f"n div {TOGETHER}")
+    blocks = numbered.withColumn("block", F.explode(F.when((own > 0) & (F.col("n") % TOGETHER < limit), F.array(own, own - 1)).otherwise(F.array(own))))
+    ahead = Window.partitionBy(session, "block").orderBy("n").rowsBetween(Window.currentRow, limit - 1)
+    sums = F.aggregate(F.collect_list("size").over(ahead), F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("fit"), F.lit(True).alias("on")), lambda a, x: F.struct(
+        (a["sum"] + x).alias("sum"), (a["fit"] + (a["on"] & ((a["sum"] + x <= budget) | (a["fit"] == 0))).cast("int")).alias("fit"), (a["on"] & ((a["sum"] + x <= budget) | (a["fit"] == 0))).alias("on")))
+    jump = written(blocks.withColumn("to", F.col("n") + sums["fit"]).filter(F.col("block") == own).select(session, "n", "to", F.lit(1).cast("long").alias("steps")), "jump")
+    ends = jump.select(session, F.col("n").alias("offset"), F.col("to").alias("next"))
+    at = written(numbered.filter("n = 0").select(session, F.col("n").alias("offset"), F.lit(0).cast("long").alias("page")), "at")
+    while not jump.isEmpty():
+        on = at.join(jump, (at[session].eqNullSafe(jump[session])) & (at["offset"] == jump["n"])).select(at[session], F.col("to").alias("offset"), (F.col("page") + F.col("steps")).alias("page"))
+        at = written(at.unionByName(on), "at")
+        second = jump.select(F.col(session).alias("of"), F.col("n").alias("mid"), F.col("to").alias("last"), F.col("steps").alias("more"))
+        jump = written(jump.join(second, F.col(session).eqNullSafe(F.col("of")) & (F.col("to") == F.col("mid"))).select(session, "n", F.col("last").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "jump")
+    whole = at.join(ends.withColumnRenamed(session, "of"), F.col(session).eqNullSafe(F.col("of")) & at["offset"].eqNullSafe(ends["offset"])).select(session, "page", at["offset"], "next")
+    last = numbered.groupBy(F.col(session).alias("of")).agg((F.max("n") + 1).alias("total"))
+    token = F.to_json(F.struct(F.col("next").alias("offset"), F.lit(revision).cast("long").alias("revision"), F.col(session).alias("session_id")))
+    whole = whole.join(last, F.col(session).eqNullSafe(F.col("of"))).withColumn("cursor", F.when(F.col("next") < F.col("total"), F.base64(F.encode(token, "UTF-8"))))
+    members = whole.select(F.col(session).alias("of"), "page", "offset", "cursor", F.explode(F.sequence("offset", F.col("next") - 1)).alias("at"))
+    return numbered.join(members, F.col(session).eqNullSafe(F.col("of")) & (F.col("n") == F.col("at"))).select(session, key, "page", "offset", "cursor")
+
+
 LINKS = 1000
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .graph import turns
+from .graph import gathered, turns
 
 
 @dataclass(frozen=True)
@@ -77,16 +77,15 @@ def closure(facts: DataFrame, rules: Sequence[Rule], most: int | None = None) ->
 
     Only a given number of rounds at most can end it before the fixed point.
     """
-    rounds = [written(facts.select(*FACT).distinct().withColumn("round", F.lit(0)), "facts")]
+    seen = new = written(facts.select(*FACT).distinct().withColumn("round", F.lit(0)), "facts")
     for turn in turns(most):
-        seen = reduce(DataFrame.unionByName, rounds)
-        found = reduce(DataFrame.unionByName, [derive(r, seen, rounds[-1] if turn > 1 else None).select(*FACT) for r in rules]).distinct()
+        found = reduce(DataFrame.unionByName, [derive(r, seen, new if turn > 1 else None).select(*FACT) for r in rules]).distinct()
         fresh = found.alias("f").join(seen.alias("s"), (F.col("f.pred") == F.col("s.pred")) & (F.col("f.neg") == F.col("s.neg")) & (F.col("f.a") == F.col("s.a")) & F.col("f.b").eqNullSafe(F.col("s.b")), "left_anti")
         new = written(fresh.withColumn("round", F.lit(turn)), "facts")
         if new.isEmpty():
             return seen, True
-        rounds.append(new)
-    return reduce(DataFrame.unionByName, rounds), False
+        seen = gathered(seen, new, turn)
+    return seen, False
 
 
 def supports(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -104,13 +103,12 @@ def clean(seeds: DataFrame, blocked: DataFrame, supported: DataFrame) -> DataFra
     """Fact identities that rest on clean premises: seeds that aren't blocked, and conclusions of which
     some support has only clean premises. Columns: fact."""
     bad = blocked.select(key().alias("fact"))
-    rounds = [written(seeds.select(key().alias("fact")).distinct().join(bad, "fact", "left_anti"), "clean")]
+    known = written(seeds.select(key().alias("fact")).distinct().join(bad, "fact", "left_anti"), "clean")
     each = supported.withColumn("fact", key()).join(bad, "fact", "left_anti").withColumn("id", F.xxhash64("fact", "rule", "premises")).select("fact", "id", F.explode("premises").alias("premise"), F.size("premises").alias("n"))
-    for _ in turns(None):
-        known = reduce(DataFrame.unionByName, rounds)
+    for turn in turns(None):
         met = each.join(known.withColumnRenamed("fact", "premise"), "premise", "left_semi").groupBy("fact", "id").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).filter("held = n").select("fact").distinct()
         new = written(met.join(known, "fact", "left_anti"), "clean")
         if new.isEmpty():
             return known
-        rounds.append(new)
+        known = gathered(known, new, turn)
     raise AssertionError

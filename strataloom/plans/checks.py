@@ -48,7 +48,7 @@ def typed_orders(s, d):
 query("v04_validate_ontology", lambda s, d: validate.endpoint_issues(*typed_orders(s, d)), "select 'o' || o_orderkey as src, case when o_orderkey % 97 = 0 then 'c-missing' else 'c' || o_custkey end as dst, case when o_orderstatus = 'P' then 'ships' else 'places' end as relation, case when o_orderkey % 97 = 0 then 'missing_target' when o_custkey not in (select c_custkey from customer) then 'missing_target' else 'endpoint_mismatch' end as issue from orders where o_orderkey % 97 = 0 or o_orderstatus = 'P' or o_custkey not in (select c_custkey from customer)")
 query("v06_snapshot_integrity", lambda s, d: (lambda e, n: e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("src"), F.lit("duplicate").alias("issue")).unionByName(e.join(n.select(F.col("node_id").alias("dst")), "dst", "left_anti").select("src", F.lit("dangling").alias("issue"))))(edges(s, d).withColumn("dst", F.col("dst") + F.when(F.col("src") % 23 == 0, 10**9).otherwise(0)), nodes(s, d)), sql("with e as (select src, dst + case when src % 23 = 0 then 1000000000 else 0 end as dst from edges) select src, 'duplicate' as issue from e group by src, dst having count(*) > 1 union all select src, 'dangling' from e where dst not in (select node_id from nodes)", "nodes", "edges"))
 query("j08_interval_overlap", lambda s, d: (lambda r: validate.overlaps(r.select(F.col("source_id").alias("group"), F.col("region_id").alias("l_id"), (F.col("ordinal") * 700).alias("l_begin"), (F.col("ordinal") * 700 + F.col("end")).alias("l_end")), r.select(F.col("source_id").alias("group"), F.col("region_id").alias("r_id"), (F.col("ordinal") * 700 + 350).alias("r_begin"), (F.col("ordinal") * 700 + 450).alias("r_end")), 1000).select("l_id", "r_id"))(ordered_regions(s, d)), sql('select a.region_id as l_id, b.region_id as r_id from regions a join regions b on a.source_id = b.source_id and a.ordinal * 700 < b.ordinal * 700 + 450 and b.ordinal * 700 + 350 < a.ordinal * 700 + a."end" where a."end" > 0', "regions"))
-query("j15_referential_block", lambda s, d: (lambda e: e.filter("event_type <> 'error'").select("event_id", F.explode(F.regexp_extract_all("props", F.lit(r"\d+"), F.lit(0))).alias("m")).join(e.filter("event_type = 'error' and user_id < 50").select(F.col("user_id").cast("string").alias("m")).distinct(), "m", "left_semi").select("event_id").distinct())(table(s, d, "events")), r"select distinct event_id from (select event_id, unnest(regexp_extract_all(props, '\d+')) as m from events where event_type <> 'error') where m in (select user_id::varchar from events where event_type = 'error' and user_id < 50)")
+query("j15_referential_block", lambda s, d: (lambda e: e.filter("event_type <> 'error'").select("event_id", F.explode(F.regexp_extract_all("props", F.lit(r"\d+"), F.lit(0))).alias("m")).join(e.filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("m")).distinct(), "m", "left_semi").select("event_id").distinct())(table(s, d, "events")), r"select distinct event_id from (select event_id, unnest(regexp_extract_all(props, '\d+')) as m from events where event_type <> 'error') where m in (select user_id::varchar from events where event_type = 'error')")
 
 
 def canonical(s, d):

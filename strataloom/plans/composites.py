@@ -14,7 +14,7 @@ from .checks import CODES, REFS, references
 from .graph import DAG, DISPOSED, order_dag, recorded, root
 from .logic import FACTS, facts
 from .retrieval import VEC, first_vector
-from .store import K_SQL, k
+from .store import K_SQL, half, k
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -99,7 +99,11 @@ def alias_classes(s, d):
 
 
 query("j10_alias_overlap", lambda s, d: alias_classes(s, d).select("region_id", "root"), sql(f"with {ALIASES} select node as region_id, min(root) as root from cc group by node", "regions", recursive=True))
-query("k08_projection_pick", lambda s, d: records(s, d).filter("kind = 'view' and seq > 1000").groupBy("corpus_id").agg(F.min("id").alias("projection")), sql("select corpus_id, min(id) as projection from records where kind = 'view' and seq > 1000 group by corpus_id", "records"))
+query(
+    "k08_projection_pick",
+    lambda s, d: records(s, d).filter((F.col("kind") == "view") & (F.col("seq") > half(s, d))).groupBy("corpus_id").agg(F.min("id").alias("projection")),
+    sql("select corpus_id, min(id) as projection from records where kind = 'view' and seq > (select max(seq) // 2 from records) group by corpus_id", "records"),
+)
 query("f07_validate_manifest", lambda s, d: records(s, d).select("id", F.regexp_replace("payload", "k", F.element_at(F.array(F.lit("k"), F.lit("api_key"), F.lit("x_token"), F.lit("n")), (F.col("id") % 4 + 1).cast("int"))).alias("m")).select("id", F.col("m").rlike(r'(?i)"[^"]*(password|secret|token|api_?key)[^"]*"\s*:').alias("rejected")), sql("select id, id % 4 in (1, 2) as rejected from records", "records"))
 query("c01_canonical_json", lambda s, d: table(s, d, "nation").select(F.to_json(F.struct("n_name", "n_nationkey", F.lit(None).cast("string").alias("note"), "n_regionkey"), {"ignoreNullFields": "false"}).alias("json")), "select '{\"n_name\":' || to_json(n_name) || ',\"n_nationkey\":' || n_nationkey || ',\"note\":null,\"n_regionkey\":' || n_regionkey || '}' as json from nation")
 query("c02_identity", lambda s, d: table(s, d, "nation").select("n_nationkey", F.sha2(F.to_json(F.struct("n_name", "n_regionkey")), 256).alias("id")), "select n_nationkey, sha256('{\"n_name\":' || to_json(n_name) || ',\"n_regionkey\":' || n_regionkey || '}') as id from nation")

@@ -9,6 +9,7 @@ from ..operators import documents as op
 from ..sources import bundle
 from ..sources.shared import shared_dir
 from ..sources.tables import edges, nodes, records, regions, sql, table
+from .store import half
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,6 +26,20 @@ def pages(s, d):
 
 
 query("s13_cursor_page", lambda s, d: op.cursor_pages(records(s, d), "id", "payload", 4096).select("id", "page", "cursor"))
+
+
+def budgeted(s, d):
+    r = records(s, d).select("corpus_id", "id", F.octet_length("payload").alias("size"))
+    return op.budget_pages(r, "corpus_id", "id", "size", 300, 25, half(s, d)).select("corpus_id", "id", "page", "offset", "cursor")
+
+
+query("s13_budget_pages", budgeted, sql("""with r as (select corpus_id, id, octet_length(encode(payload)) as size, row_number() over (partition by corpus_id order by id) - 1 as n from records),
+    p as (select *, sum(size) over (partition by corpus_id order by n) as upto from r), t as (select corpus_id, count(*) as total from r group by 1),
+    jump as (select a.corpus_id, a.n, a.n + max(case when b.n = a.n or b.upto - a.upto + a.size <= 300 then b.n - a.n + 1 end) as nx from p a join p b on a.corpus_id = b.corpus_id and b.n between a.n and a.n + 24 group by 1, 2),
+    pages as (select corpus_id, 0 as page, 0::bigint as n from t union all select pages.corpus_id, page + 1, nx from pages join jump using (corpus_id, n)),
+    w as (select pages.corpus_id, page, pages.n as "offset", nx, total from pages join jump using (corpus_id, n) join t on t.corpus_id = pages.corpus_id)
+    select r.corpus_id, r.id, w.page::bigint as page, w."offset", case when nx < total then base64(encode('{"offset":' || nx || ',"revision":' || (select max(seq) // 2 from records) || ',"session_id":"' || r.corpus_id || '"}')) end as cursor
+    from r join w on r.corpus_id = w.corpus_id and r.n >= w."offset" and r.n < w.nx""", "records", recursive=True))
 query("s15_formula_spans", lambda s, d: op.formula_spans(table(s, d, "documents").select(F.col("doc_id").cast("long").alias("region_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" $x^2$ and $$y$$ and \\[z\\] end")).alias("text"))).select("region_id", "begin", "end", "kind"))
 query("s16_html_normalize", lambda s, d: op.html_text(pages(s, d), markdown=True))
 query("s17_html_visible_text", lambda s, d: op.html_text(pages(s, d), markdown=False))
@@ -74,5 +89,9 @@ query(
       select role, concepts, (select count(*) from l where l.role = c.role) as links,
         (select count(*) from l where l.role = c.role and dst not in (select node_id from x)) as broken from c""", "nodes", "edges"),
 )
-query("s14_corpus_snapshot_read", lambda s, d: records(s, d).filter("seq <= 5000").groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("revision")), sql("select corpus_id, count(*) as n, max(seq) as revision from records where seq <= 5000 group by corpus_id", "records"))
+query(
+    "s14_corpus_snapshot_read",
+    lambda s, d: records(s, d).filter(F.col("seq") <= half(s, d)).groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("revision")),
+    sql("select corpus_id, count(*) as n, max(seq) as revision from records where seq <= (select max(seq) // 2 from records) group by corpus_id", "records"),
+)
 query("t08_receipt_replay", lambda s, d: (lambda r: r.withColumn("first", F.first("hash").over(Window.partitionBy("receipt").orderBy("seq"))).select("id", F.when(F.col("hash") == F.col("first"), "replayed").otherwise("conflict").alias("outcome")))(records(s, d).select("id", "seq", (F.col("id") % 900).alias("receipt"), F.sha2("kind", 256).alias("hash"))), sql("select id, case when kind = first_value(kind) over (partition by id % 900 order by seq) then 'replayed' else 'conflict' end as outcome from records", "records"))

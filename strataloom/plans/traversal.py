@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import retrieve
+from ..operators.coverage import covering_order
 from ..operators.frontier import FREE, Budget, Found, record, scored, search
 from ..operators.store import visible
+from ..sources.shared import written
 from ..sources.tables import edges, ordered_regions, sql, table, vectors
 from .retrieval import TOKENS, first_vector
 
@@ -239,3 +241,36 @@ def selection(s, d):
 
 
 query("q02_selection_record", selection, vector_first_sql(PATHS, RECORD.format(indexed="ix", sample=20)))
+
+
+# ---- the order of passages for an answer
+
+
+TOPICS = ["der", "eaux", "ción", "steel"]
+
+
+def passages(s, d, words: list[str], most: int) -> DataFrame:
+    """The best regions for the words, with a score of their own lines: lines of four words or more that several of them share don't count."""
+    r = ordered_regions(s, d)
+    ranked = retrieve.lexical_rank(r, words).orderBy(F.desc("matched"), "region_id").limit(most).collect()
+    places = s.createDataFrame([(x["region_id"], i) for i, x in enumerate(ranked)], "region_id long, rank long")
+    kept = written(r.join(places, "region_id").select(F.col("region_id").alias("item"), F.concat_ws("|", "source_id", F.coalesce("project_id", F.lit(""))).alias("source_id"), "ordinal", "rank", "text"), "packet")
+    letters = F.transform(F.regexp_extract_all(F.lower("line"), F.lit(r"\p{L}+"), F.lit(0)), fn.singular)
+    lines = kept.select("item", F.explode(F.split("text", r"\R")).alias("line")).select("item", letters.alias("words")).withColumn("signature", F.array_join("words", " "))
+    shared = lines.filter(F.size("words") >= 4).groupBy("signature").count().filter("count > 1").select("signature")
+    body = lines.join(shared, "signature", "left_anti").select("item", F.explode("words").alias("word")).filter(F.col("word").isin(*words)).groupBy("item", "word").agg(F.count(F.lit(1)).alias("tf"))
+    df = body.groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # a row for each word asked
+    weight = F.log(1 + F.lit(len(ranked)) / (1 + F.col("df"))) * F.least(F.lit(3), F.col("tf"))
+    scores = body.join(F.broadcast(df), "word").groupBy("item").agg(F.round(F.sum(weight), 9).alias("score"), F.collect_set("word").alias("topics"))
+    return kept.join(scores, "item", "left").select("item", "source_id", "ordinal", F.coalesce("score", F.lit(0.0)).alias("score"), "rank", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
+
+
+def shown(s, d):
+    """Passages in the order in which they are shown, within a budget of half their bytes as tokens."""
+    order = covering_order(passages(s, d, TOPICS, 120), TOPICS, 2)
+    sized = order.join(ordered_regions(s, d).select(F.col("region_id").alias("item"), fn.token_estimate(F.col("text")).alias("size")), "item")
+    fit = retrieve.first_fit(sized.withColumn("packet", F.lit(0)), "packet", "size", 20_000, [F.col("turn"), F.col("step")]).select("item", F.lit(True).alias("fit"))
+    return sized.join(fit, "item", "left").select("item", "anchor", "turn", F.col("step").cast("long").alias("step"), "size", F.coalesce("fit", F.lit(False)).alias("fits"))
+
+
+query("k09_topic_order", shown)
