@@ -106,9 +106,9 @@ def revisions(s, d):
     return reduce(DataFrame.unionByName, each)
 
 
-OBJECTS = """o as (select 'node' as kind, 'n' || node_id as id, node_id as number, role as type, case when node_id % 10 in (7, 8) then 'n' || (node_id - 1) end as source, null as target,
+OBJECTS = """o as (select 'node' as kind, 'n' || node_id as id, node_id as number, role as type, case when node_id % 10 in (7, 8) then 'n' || (node_id - 1) end as source, null::varchar as target,
     (node_id % (select count(*) from documents))::varchar as evidence, 'first' as text from nodes
-  union all select 'edge', 'e-' || src || '-' || dst, src, 'requires', 'n' || src, 'n' || dst, null, status from edges)"""
+  union all select 'edge', 'e-' || src || '-' || dst, src, 'requires', 'n' || src, 'n' || dst, null::varchar, status from edges)"""
 FALL = """fall as (select kind, id from o where kind = 'node' and number % 97 = 6 union select o.kind, o.id from o join fall f on f.kind = 'node' and (o.source = f.id or o.target = f.id))"""
 query("t03_atomic_commits", revisions, sql(f"""with {OBJECTS}, {FALL}, second as (select kind, id, type, case when kind = 'node' and number % 17 = 0 then 'second' else text end as text from o where kind = 'node' or number % 29 <> 0),
     each as (select 1::bigint as revision, kind, id, type, text from o union all select 2, kind, id, type, text from second union all select 3, kind, id, type, text from second where (kind, id) not in (select kind, id from fall))
@@ -145,5 +145,5 @@ def deleted(s, d):
 
 
 query("t09_delete_cascade", deleted, sql(f"""with {OBJECTS}, {FALL}, g as (select id from o where kind = 'node' and number % 97 = 6)
-    select 'falls' as what, kind, id, null as by from fall
+    select 'falls' as what, kind, id, null::varchar as by from fall
     union select 'blocks', o.kind, o.id, g.id from o join g on o.source = g.id or o.target = g.id where o.kind = 'edge' or o.id not in (select id from g)""", "nodes", "edges", recursive=True))
