@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as op
+from ..operators import references
 from ..sources import bundle
 from ..sources.shared import shared_dir
-from ..sources.tables import edges, nodes, records, regions, sql, table
+from ..sources.tables import edges, nodes, ordered_regions, records, regions, sql, table
 from .store import half
 
 QUERIES: dict = {}
@@ -95,3 +96,37 @@ query(
     sql("select corpus_id, count(*) as n, max(seq) as revision from records where seq <= (select max(seq) // 2 from records) group by corpus_id", "records"),
 )
 query("t08_receipt_replay", lambda s, d: (lambda r: r.withColumn("first", F.first("hash").over(Window.partitionBy("receipt").orderBy("seq"))).select("id", F.when(F.col("hash") == F.col("first"), "replayed").otherwise("conflict").alias("outcome")))(records(s, d).select("id", "seq", (F.col("id") % 900).alias("receipt"), F.sha2("kind", 256).alias("hash"))), sql("select id, case when kind = first_value(kind) over (partition by id % 900 order by seq) then 'replayed' else 'conflict' end as outcome from records", "records"))
+
+
+# ---- labels and references within a document
+
+
+def labelled(s, d):
+    """Regions with planted TeX: every third has a label of its own, every 25th one that others have too, every 40th a definition."""
+    o = F.col("ordinal")
+    tex = F.concat(
+        F.lit("\n% \\ref{none}\nsee \\eqref{L"), o * 2 + 3, F.lit(", L"), o + 1, F.lit("}"), F.when(o % 10 == 1, "\\cref{D}").otherwise(""),
+        F.when(o % 3 == 0, F.concat(F.lit("\\label{L"), o, F.lit("}"))).otherwise(""), F.when(o % 25 == 0, "\\label{D}").otherwise(""), F.when(o % 40 == 7, "\\begin{definition}").otherwise(""),
+    )
+    return ordered_regions(s, d).select("region_id", F.col("source_id").alias("document"), "ordinal", F.concat(F.coalesce("text", F.lit("")), tex).alias("text"))
+
+
+def expanded(s, d, **budget):
+    r = labelled(s, d)
+    seeds = r.filter("ordinal % 50 = 1").select("region_id", F.col("region_id").alias("place"))
+    return references.expand(r, seeds, **budget)
+
+
+LABELS = """r as (select region_id, source_id as document, ordinal as o from regions), sel as (select * from r where o % 50 = 1), docs as (select distinct document from sel),
+  many as (select document from r where o % 25 = 0 group by 1 having count(*) > 1),
+  refs as (select region_id, document, 'L' || (o * 2 + 3) as label, o * 2 + 3 as target, (o * 2 + 3) % 3 = 0 and exists (select 1 from r b where b.document = r.document and b.o = r.o * 2 + 3) as found, false as twice from r
+    union all select region_id, document, 'L' || (o + 1), o + 1, (o + 1) % 3 = 0 and exists (select 1 from r b where b.document = r.document and b.o = r.o + 1), false from r
+    union all select region_id, document, 'D', 0, document not in (select document from many), document in (select document from many) from r where o % 10 = 1),
+  i0 as (select distinct b.region_id, 0 as hop from r a join r b on a.document = b.document and abs(a.o - b.o) <= 1 where a.o % 40 = 7 and a.document in (select document from docs) and b.region_id not in (select region_id from sel)),
+  f0 as (select region_id from sel union select region_id from i0), s0 as (select * from f0)"""
+HOP = """i{h} as (select distinct b.region_id, {h} as hop from f{p} f join refs on refs.region_id = f.region_id and found join r b on b.document = refs.document and abs(b.o - refs.target) <= 1 where b.region_id not in (select region_id from s{p})),
+  f{h} as (select region_id from i{h}), s{h} as (select * from s{p} union all select * from f{h})"""
+HOPS = ", ".join(HOP.format(h=h, p=h - 1) for h in (1, 2, 3))
+query("g17_label_expansion", lambda s, d: expanded(s, d, most=None, chars=None).included.select("region_id", F.col("hop").cast("long").alias("hop")), sql(f"with {LABELS}, {HOPS} select region_id, hop::bigint as hop from (select * from i0 union all select * from i1 union all select * from i2 union all select * from i3)", "regions"))
+query("g17_unresolved_labels", lambda s, d: expanded(s, d, most=None, chars=None).unresolved, sql(f"with {LABELS}, {HOPS} select distinct refs.region_id as source, label, case when twice then 'ambiguous' else 'missing' end as reason from refs where not found and region_id in (select * from f0 union all select * from f1 union all select * from f2)", "regions"))
+query("g17_budget_expansion", lambda s, d: expanded(s, d).included.select("region_id", "place", F.col("hop").cast("long").alias("hop"), "source", "label", "target"))
