@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions import text as fn
 from ..operators import cycles, documents, graph, logic, retrieve, store, validate
 from ..operators.logic import Atom, Rule
@@ -107,6 +108,28 @@ query(
 query("f07_validate_manifest", lambda s, d: records(s, d).select("id", F.regexp_replace("payload", "k", F.element_at(F.array(F.lit("k"), F.lit("api_key"), F.lit("x_token"), F.lit("n")), (F.col("id") % 4 + 1).cast("int"))).alias("m")).select("id", F.col("m").rlike(r'(?i)"[^"]*(password|secret|token|api_?key)[^"]*"\s*:').alias("rejected")), sql("select id, id % 4 in (1, 2) as rejected from records", "records"))
 query("c01_canonical_json", lambda s, d: table(s, d, "nation").select(F.to_json(F.struct("n_name", "n_nationkey", F.lit(None).cast("string").alias("note"), "n_regionkey"), {"ignoreNullFields": "false"}).alias("json")), "select '{\"n_name\":' || to_json(n_name) || ',\"n_nationkey\":' || n_nationkey || ',\"note\":null,\"n_regionkey\":' || n_regionkey || '}' as json from nation")
 query("c02_identity", lambda s, d: table(s, d, "nation").select("n_nationkey", F.sha2(F.to_json(F.struct("n_name", "n_regionkey")), 256).alias("id")), "select n_nationkey, sha256('{\"n_name\":' || to_json(n_name) || ',\"n_regionkey\":' || n_regionkey || '}') as id from nation")
+
+
+def exact_values(s, d):
+    """Six forms of expressions over each part's size and number, some of them outside their domain."""
+    size, number = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    form = F.col("p_partkey") % 6
+    by_form = [F.concat_ws(" ", *x) for x in (
+        (size, F.lit("7 mul 3 sub"), (F.col("p_partkey") % 5).cast("string"), F.lit("div")), (size, size, F.lit("mul 4 mul 9 div sqrt")), (size, F.lit("sqrt")),
+        (size, F.lit("3 choose"), number, F.lit("1 add div")), (F.lit("0"), size, F.lit("sub 7 div floor")), (F.lit("0"), size, F.lit("sub sqrt")),
+    )]
+    expression = F.coalesce(*[F.when(form == i, e) for i, e in enumerate(by_form)])
+    return exact.evaluated(table(s, d, "part").select(F.col("p_partkey").cast("long").alias("id"), expression.alias("expression")))
+
+
+query(
+    "c15_exact_rationals",
+    exact_values,
+    """with p as (select p_partkey::bigint as id, p_size::bigint as n from part), f as (select id, n, case id % 6 when 0 then n * 7 - 3 when 1 then 2 * n when 3 then n * (n - 1) * (n - 2) // 6 end as a, case id % 6 when 0 then id % 5 when 1 then 3 when 3 then id + 1 end as b from p),
+      g as (select *, case when b > 0 then a // gcd(a, b) end as top, case when b > 0 then b // gcd(a, b) end as below from f)
+    select id, case id % 6 when 2 then case when floor(sqrt(n))::bigint ** 2 = n then floor(sqrt(n))::bigint::varchar end when 4 then floor(-n / 7)::bigint::varchar when 5 then null else top || case when below > 1 then '/' || below else '' end end as value,
+      case id % 6 when 0 then case when b = 0 then 'zero denominator' end when 2 then case when floor(sqrt(n))::bigint ** 2 <> n then 'irrational root' end when 5 then 'negative radicand' end as error from g""",
+)
 query("c15_scalar_evaluator", lambda s, d: table(s, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.expr("floor(try_divide(p_size * 7 - 3, p_partkey % 5))").cast("long").alias("value")), "select p_partkey::bigint as id, case when p_partkey % 5 > 0 then floor((p_size * 7 - 3)::double / (p_partkey % 5))::bigint end as value from part")
 
 query(

@@ -76,7 +76,17 @@ def incomplete(s, d):
 
 
 query("l06_incomplete_blocks_all", incomplete, sql(f"with {FACTS}, h as (select dep.a, 1 as n from dep join facts f on f.pred = 'Open' and f.a = dep.b union select dep.a, n + 1 from dep join h on h.a = dep.b where n < 3) select distinct a, true as blocked from h", "nodes", "edges", recursive=True))
-query("l07_unmatched_rules", lambda s, d: s.createDataFrame([(r.name,) for r in OPEN + PROBLEM + [Rule("never", Atom("N", ("X",)), (Atom("Missing", ("X",)),))]], "rule string").join(op.supports(closed(s, d, OPEN), OPEN + PROBLEM).select("rule").distinct(), "rule", "left_anti"), sql("select unnest(['problem-up', 'never']) as rule", "nodes"))
+
+
+def unmatched(s, d):
+    rules = OPEN + PROBLEM + [Rule("never", Atom("N", ("X",)), (Atom("Missing", ("X",)),))]
+    fired = op.supports(closed(s, d, OPEN), rules).select("rule").distinct()
+    return s.createDataFrame([(r.name,) for r in rules], "rule string").join(fired, "rule", "left_anti")
+
+
+FIRED = """fired as (select 'open' as rule from dep join facts f on f.pred = 'Open' and f.a = dep.b union select 'open-up' from dep join has_open h on h.a = dep.b
+  union select 'problem' from dep join facts f on f.pred = 'Problem' and f.a = dep.b union select 'problem-up' from dep join facts f on f.pred = 'HasProblem' and f.a = dep.b union select 'never' from facts where pred = 'Missing')"""
+query("l07_unmatched_rules", unmatched, sql(f"with {FACTS}, {HAS_OPEN}, {FIRED} select rule from (select unnest(['open', 'open-up', 'problem', 'problem-up', 'never']) as rule) where rule not in (select rule from fired)", "nodes", "edges", recursive=True))
 query("l08_hypothesis_dependencies", lambda s, d: (lambda sup: sup.select("a", F.explode("premises").alias("premise")).filter("premise like 'Open(%'").withColumn("proposed", F.regexp_extract("premise", r"\((\d+)", 1).cast("long") % 2 == 0).groupBy("a").agg(F.bool_or("proposed").alias("conditional")))(op.supports(facts(s, d), OPEN[:1])), sql(f"with {FACTS} select dep.a, bool_or(dep.b::bigint % 2 = 0) as conditional from dep join facts f on f.pred = 'Open' and f.a = dep.b group by dep.a", "nodes", "edges"))
 query("l12_assess_claim", lambda s, d: (lambda x: x.groupBy("src").agg(F.bool_or(F.col("status").isin("refuted", "failed")).alias("r"), F.bool_and(F.col("status").isin("verified", "supported")).alias("v"), F.bool_or(F.col("status") == "unresolved").alias("u")).select("src", F.when(F.col("r"), "refuted").when(F.col("v"), "verified").when(F.col("u"), "not_established").otherwise("conditional").alias("assessment")))(edges(s, d).select("src", "dst").join(nodes(s, d), F.col("dst") == F.col("node_id"))), sql("select src, case when bool_or(n.status in ('refuted', 'failed')) then 'refuted' when bool_and(n.status in ('verified', 'supported')) then 'verified' when bool_or(n.status = 'unresolved') then 'not_established' else 'conditional' end as assessment from edges e join nodes n on dst = node_id group by src", "nodes", "edges"))
 query("l13_obligation_status_rules", lambda s, d: op.derive(Rule("open", Atom("NotEstablished", ("X",)), (Atom("Depends", ("X", "Y")), Atom("Open", ("Y",)))), facts(s, d)).select("a").distinct(), sql(f"with {FACTS} select distinct dep.a from dep join facts f on f.pred = 'Open' and f.a = dep.b", "nodes", "edges"))

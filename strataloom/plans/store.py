@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import documents
 from ..operators import store as op
+from ..sources.shared import written
 from ..sources.tables import graded_regions, ordered_regions, records, regions, sql, table, versions
 
 REC = ["id", "seq", "kind", "corpus_id", "project_id", "payload"]
@@ -116,7 +118,17 @@ query("a07_coverage", lambda s, d: s.range(0, 100).withColumnRenamed("id", "requ
 query("a08_union_evidence", lambda s, d: records(s, d).groupBy("corpus_id", "kind").agg(F.array_join(F.array_sort(F.collect_set(k())), ",").alias("evidence")), sql(f"select corpus_id, kind, list_aggregate(list_sort(list(distinct {K_SQL})), 'string_agg', ',') as evidence from records group by corpus_id, kind", "records"))
 query("a14_source_inventory", lambda s, d: graded_regions(s, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == "full").alias("full"), F.count_if(F.col("quality") == "fast_provisional").alias("provisional"), F.sum("end").alias("chars")), sql("select source_id, count(*) as n, count(*) filter (quality = 'full') as full, count(*) filter (quality = 'fast_provisional') as provisional, sum(\"end\")::bigint as chars from regions group by source_id", "regions"))
 query("a15_distinct_evidence_ids", lambda s, d: records(s, d).filter("kind = 'purchase'").select(F.explode(F.array(k(), k() * 2, k() + 1)).alias("region_id")).distinct(), sql(f"select distinct unnest([{K_SQL}, {K_SQL} * 2, {K_SQL} + 1]) as region_id from records where kind = 'purchase'", "records"))
-query("w03_adjacent_ordinal", lambda s, d: ordered_regions(s, d).select("region_id", F.lead("ordinal").over(Window.partitionBy("source_id", "project_id").orderBy("ordinal", "region_id")).alias("next_ordinal")), sql("select region_id, lead(ordinal) over (partition by source_id, project_id order by ordinal, region_id) as next_ordinal from regions", "regions"))
+
+
+def next_ordinals(s, d):
+    """The ordinal that follows in a source and project: rows are numbered in ranges, then each meets the next number."""
+    r = ordered_regions(s, d).select("region_id", F.to_json(F.struct("source_id", "project_id")).alias("group"), "ordinal")
+    n = written(documents.dense(r, "group", "ordinal").select("region_id", "group", "ordinal", "n"), "dense")
+    after = n.select("group", (F.col("n") - 1).alias("n"), F.col("ordinal").alias("next_ordinal"))
+    return n.join(after, ["group", "n"], "left").select("region_id", "next_ordinal")
+
+
+query("w03_adjacent_ordinal", next_ordinals, sql("select region_id, lead(ordinal) over (partition by source_id, project_id order by ordinal, region_id) as next_ordinal from regions", "regions"))
 query("w07_chain_sequence_check", lambda s, d: (lambda v: v.select("object_id", "version", (F.col("seq") - F.lag("seq").over(Window.partitionBy("object_id").orderBy("version")) != 1).alias("broken")).filter("broken").drop("broken"))(versions(s, d).withColumn("seq", F.expr("version div 100"))), sql("select object_id, version from (select *, version // 100 - lag(version // 100) over (partition by object_id order by version) <> 1 as broken from versions) where broken", "versions"))
 query("t06_registry_resolve", lambda s, d: (lambda r: r.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.col("project_id").isNull(), "seq"))).filter("rn = 1").select("key", "id", "project_id"))(records(s, d).filter(op.visible("p1")).withColumn("key", k())), sql(f"select key, id, project_id from (select *, {K_SQL} as key, row_number() over (partition by {K_SQL} order by project_id is null, seq) as rn from records where project_id is null or project_id = 'p1') where rn = 1", "records"))
 MOVES = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "purchase"), ("purchase", "view"), ("error", "view")]

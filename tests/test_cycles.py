@@ -39,7 +39,7 @@ def found(frame):
     return dict(rows)
 
 
-@pytest.mark.parametrize("seed,nodes,edges", [(1, 12, 14), (2, 40, 55), (4, 60, 70)])
+@pytest.mark.parametrize("seed,nodes,edges", [(2, 40, 55), (4, 60, 70)])
 def test_like_searches(spark, seed, nodes, edges):
     r = random.Random(seed)
     pairs = [(r.randrange(nodes), r.randrange(nodes)) for _ in range(edges)]

@@ -65,7 +65,7 @@ def check(spark, links, known, seeds, b):
     assert (got, found.examined, found.limited, found.hop_limited, found.nodes) == (rows, examined, limited, ahead, len(rows)), b
 
 
-BUDGETS = [Budget(3), Budget(2, neighbours=2), Budget(4, 3, 25, 18, 7), Budget(4, 3, 25, 18, 7, stop=True), Budget(3, 2, 9, None, None, stop=True), Budget(3, None, None, 11, None), Budget(3, None, None, None, 4, stop=True), Budget(2, 1, 0), Budget(5, 2, 40, 200, 3), Budget(3, None, None, 4, None, stop=True)]
+BUDGETS = [Budget(3), Budget(4, 3, 25, 18, 7), Budget(4, 3, 25, 18, 7, stop=True), Budget(3, 2, 9, None, None, stop=True), Budget(3, None, None, 11, None), Budget(5, 2, 40, 200, 3), Budget(3, None, None, 4, None, stop=True)]
 
 
 @pytest.mark.parametrize("b", BUDGETS, ids=str)
