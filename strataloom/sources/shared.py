@@ -22,10 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders of the tables that this process has written, in order.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession, folders: list[str], still_read: DataFrame) -> list[str]:
+    """Removes tables that nothing reads any more; returns those that stay, as the given DataFrame reads them."""
+    files = still_read.inputFiles()
+    kept = []
+    for folder in folders:
+        name = folder.rsplit("/", 1)[1]
+        if any(f"/{name}/" in f for f in files):
+            kept.append(folder)
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return kept
