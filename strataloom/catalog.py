@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a QUERIES table and an SQL table.
-MODULES: list[str] = ["store", "retrieval", "graph", "logic", "checks", "documents", "composites", "contracts", "traversal", "commits", "horn"]
+MODULES: list[str] = ["store", "retrieval", "graph", "logic", "checks", "documents", "composites", "contracts", "traversal", "commits", "horn", "literature"]
 
 
 def gathered(kind: str) -> dict:

@@ -33,6 +33,22 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 2).cast("long")
 
 
+#: Prefixes of DOIs and of arXiv addresses, and the two shapes of arXiv identifiers.
+ARXIV_PREFIX, ARXIV_ID = r"^https?://(www\.)?arxiv\.org/(abs|pdf)/", r"^(\d{4}\.\d{4,5}|[a-z-]+(\.[A-Z]{2})?/\d{7})$"
+
+
+def arxiv(value: Column) -> Column:
+    """An arXiv identifier without its address, file ending and version; null if it isn't one."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, ARXIV_PREFIX, ""), r"\.pdf$", ""), r"v\d+$", "")
+    return F.when(bare.rlike(ARXIV_ID), bare)
+
+
+def addresses(values: Column, most: int = 8, longest: int = 8192) -> Column:
+    """The first distinct http(s) addresses of an array that have a host, no credentials and no white space."""
+    good = r"^(?i)https?://(:?@)?(\[[0-9a-f:.]+\]|[^/?#@:\s\[\]]+)(:\d*)?([/?#]\S*)?$"
+    return F.slice(F.array_distinct(F.filter(values, lambda u: F.coalesce(u.rlike(good) & (F.length(u) <= longest), F.lit(False)))), 1, most)
+
+
 def doi(value: Column) -> Column:
     """A DOI without its address or prefix, lower case; null if it isn't one."""
     bare = F.lower(F.regexp_replace(F.trim(value), r"^(?i)(https?://(dx\.)?doi\.org/|doi:\s*)", ""))
