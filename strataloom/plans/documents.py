@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as op
-from ..operators import references
+from ..operators import markup, references
 from ..sources import bundle
 from ..sources.shared import shared_dir
 from ..sources.tables import edges, nodes, ordered_regions, records, regions, sql, table
@@ -130,3 +130,35 @@ HOPS = ", ".join(HOP.format(h=h, p=h - 1) for h in (1, 2, 3))
 query("g17_label_expansion", lambda s, d: expanded(s, d, most=None, chars=None).included.select("region_id", F.col("hop").cast("long").alias("hop")), sql(f"with {LABELS}, {HOPS} select region_id, hop::bigint as hop from (select * from i0 union all select * from i1 union all select * from i2 union all select * from i3)", "regions"))
 query("g17_unresolved_labels", lambda s, d: expanded(s, d, most=None, chars=None).unresolved, sql(f"with {LABELS}, {HOPS} select distinct refs.region_id as source, label, case when twice then 'ambiguous' else 'missing' end as reason from refs where not found and region_id in (select * from f0 union all select * from f1 union all select * from f2)", "regions"))
 query("g17_budget_expansion", lambda s, d: expanded(s, d).included.select("region_id", "place", F.col("hop").cast("long").alias("hop"), "source", "label", "target"))
+
+
+# ---- pages as texts with TeX
+
+
+def planted_pages(s, d):
+    """Pages with a formula, a link that holds an image, and an image planted where their article begins."""
+    planted = F.concat(
+        F.lit('<article><math alttext="n_'), "page_id", F.lit('"><mi>n</mi></math><a href="/p/'), "page_id", F.lit('">see <b>page</b><img alt="in link"></a>'),
+        F.when(F.col("page_id") % 2 == 0, F.lit('<img alt="plot" src="f.png">')).otherwise(F.lit('<img src="g.png"><math><mi>z</mi></math>')),
+    )
+    return pages(s, d).select("page_id", F.regexp_replace(F.coalesce("html", F.lit("")), F.lit("<article>"), planted).alias("html"))
+
+
+def page_findings(s, d):
+    found = markup.prepared(planted_pages(s, d)).select("page_id", F.explode("found").alias("f"))
+    return found.groupBy("page_id", "f.kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("f.status") == "decoded").alias("decoded"), F.min("f.text").alias("least"), F.min("f.target").alias("target"))
+
+
+query("s16_prepared_html", lambda s, d: markup.prepared(planted_pages(s, d)).select("page_id", "text"))
+SEEN = r"""seen as (select page_id::bigint as page_id, regexp_replace(coalesce(html, ''), '<(script|style|nav|footer)\b[^>]*>.*?</\1>', '', 'gs') as html, len(string_split(coalesce(html, ''), '<article>')) - 1 as articles from pages)"""
+query(
+    "s16_page_findings",
+    page_findings,
+    rf"""with {SEEN.replace(r'</\1>', '</(script|style|nav|footer)>')},
+      f as (select page_id, 'html_equation' as kind, unnest(['decoded', 'unresolved'][:1 + page_id % 2]) as status, unnest(['n_' || page_id, '<math><mi>z</mi></math>'][:1 + page_id % 2]) as text, null::varchar as target from seen where articles > 0
+        union all select page_id, 'html_reference', null, 'see page', '/p/' || page_id from seen where articles > 0
+        union all select page_id, 'html_image', 'unresolved', case page_id % 2 when 0 then 'plot' else '' end, case page_id % 2 when 0 then 'f.png' else 'g.png' end from seen where articles > 0
+        union all select page_id, 'html_heading', null, trim(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), null from (select page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)', 1)) as h from seen)
+        union all select page_id, 'html_reference', null, unnest(regexp_extract_all(html, '<a href="[^"]*"[^>]*>([^<]*)', 1)), unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) from seen)
+      select page_id, kind, count(*) as n, count(*) filter (status = 'decoded') as decoded, min(text) as least, min(target) as target from f group by page_id, kind""",
+)
