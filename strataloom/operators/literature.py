@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..sources.shared import written
 from .graph import components
 from .validate import first_failure
 
@@ -145,22 +146,24 @@ def _query_words(query: str) -> list[str]:
     return re.findall(rf"[a-z0-9]{{{LEAST_WORD},}}", query.casefold())
 
 
-def named(hits: DataFrame) -> DataFrame:
-    """hit_id and each name that identifies its paper: provider's id, DOI, arXiv id. Titles identify nothing."""
+def named(hits: DataFrame, *more: str) -> DataFrame:
+    """hit_id, more of its columns, and each name that identifies its paper: provider's id, DOI, arXiv id. Titles identify nothing."""
     names = F.array(F.concat_ws(":", "provider", "provider_id"), F.concat(F.lit("doi:"), fn.doi(F.col("doi"))), F.concat(F.lit("arxiv:"), fn.arxiv(F.col("arxiv_id"))))
-    return hits.select("hit_id", F.explode(F.array_compact(F.array_distinct(names))).alias("alias"))
+    return hits.select("hit_id", *more, F.explode(F.array_compact(F.array_distinct(names))).alias("alias"))
 
 
 def merged(hits: DataFrame) -> DataFrame:
     """Each hit with the least hit of its candidate (root): hits that share a name, directly or through others, are one paper.
 
-    A name links its hits to its least one, so a name that many hits share makes no pairs.
+    A name links its hits to its least one, so a name that many hits share makes no pairs. Hits are written once, so
+    that what they are parsed from is read once, and so are the members, which candidates read for several sums.
     """
+    hits = written(hits, "hits")
     names = named(hits)
     least = names.groupBy("alias").agg(F.min("hit_id").alias("v"))
     links = names.join(least, "alias").filter("hit_id <> v").select(F.col("hit_id").alias("u"), "v").distinct()
     roots = components(links)
-    return hits.join(roots, F.col("hit_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "hit_id")).drop("node")
+    return written(hits.join(roots, F.col("hit_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "hit_id")).drop("node"), "members")
 
 
 def candidates(found: DataFrame, query: str = "") -> DataFrame:
@@ -177,7 +180,7 @@ def candidates(found: DataFrame, query: str = "") -> DataFrame:
         sum((F.max(low.contains(w)).cast("long") for w in words), F.lit(0).cast("long")).alias("overlap"),
     )
     links = found.select("root", F.explode("urls").alias("url")).groupBy("root").agg(F.count_distinct("url").alias("urls"))
-    names = named(found).join(found.select("hit_id", "root"), "hit_id").groupBy("root", "alias").agg((F.min("hit_id") == F.col("root")).alias("own"))
+    names = named(found, "root").groupBy("root", "alias").agg((F.min("hit_id") == F.col("root")).alias("own"))
     kind = lambda p: F.count_if(F.col("alias").startswith(p))
     # own names are at most three
     known = names.groupBy("root").agg(
