@@ -81,3 +81,14 @@ def test_star_has_no_cycle_until_it_comes_back(spark):
     star = [(0, i) for i in range(1, 1100)]
     assert found(cycles.strong_components(table(spark, star))) == {}
     assert found(cycles.strong_components(table(spark, [*star, (700, 0), (3, 0)]))) == {0: 0, 3: 0, 700: 0}
+
+
+def test_witnesses_of_at_most_so_many_edges(spark):
+    """A ring and a ring with a chord, each longer and shorter than the limit."""
+    ring = lambda a, n: [(a + i, a + (i + 1) % n) for i in range(n)]
+    pairs = ring(0, 5) + ring(100, 4) + ring(200, 7) + [(204, 206)] + ring(300, 6) + [(302, 300)]
+    strong = cycles.strong_components(table(spark, pairs))
+    length = lambda most: {r.scc: r["count"] for r in cycles.witnesses(table(spark, pairs), strong, most).groupBy("scc").count().collect()}
+    assert length(4) == {100: 4, 300: 3}
+    assert length(6) == {0: 5, 100: 4, 200: 6, 300: 3}
+    assert length(None) == length(6)
