@@ -224,16 +224,21 @@ def budget_pages(rows: DataFrame, session: str, key: str, size: str, budget: int
 LINKS = 1000
 
 
-def hash_chain(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+def hash_chain(rows: DataFrame, group: str, order: str, value: str, levels: int | None = None) -> DataFrame:
     """Head of each group's hash chain: each link hashes the last one with the row's own hash.
 
     A chain is sequential, so it is folded in blocks of LINKS orders, the blocks' heads in blocks of
-    blocks, and so on to one head a group: no array holds more than LINKS hashes. The order is unique in
-    its group and not negative.
+    blocks, and so on to one head a group: no array holds more than LINKS hashes. With levels, the last of
+    so many folds whatever blocks are left: with two, a group's array holds a hash for each LINKS orders.
+    The order is unique in its group and not negative.
     """
     fold = lambda c: F.aggregate(F.transform(F.array_sort(c), lambda x: x["h"]), F.lit(""), lambda a, x: F.sha2(F.concat(a, x), 256))
     block = lambda df: df.groupBy(group, F.expr(f"o div {LINKS}").alias("o")).agg(fold(F.collect_list(F.struct("o", "h"))).alias("h"))
     heads = block(rows.select(group, F.col(order).alias("o"), F.sha2(value, 256).alias("h")))
+    if levels is not None:
+        for _ in range(2, levels):
+            heads = block(heads)
+        return heads.groupBy(group).agg(fold(F.collect_list(F.struct("o", "h"))).alias("generation"))
     last = (rows.agg(F.max(order)).first()[0] or 0) // LINKS
     while True:
         heads, last = block(heads), last // LINKS

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,12 @@ def test_fingerprints_follow_their_dependencies(spark):
 def test_cursor_pages(spark):
     rows = spark.createDataFrame([(i, json.dumps("x" * 98)) for i in range(100)], "id long, payload string")
     assert documents.cursor_pages(rows, "id", "payload", 1000).select("page").distinct().count() == 11
+
+
+def test_hash_chain_of_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(documents, "LINKS", 4)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    fold = lambda hashes: reduce(lambda a, x: sha(a + x), hashes, "")
+    want = fold([fold([sha(f"v{i}") for i in range(a, min(a + 4, 70))]) for a in range(0, 70, 4)])
+    rows = spark.createDataFrame([("g", i, f"v{i}") for i in range(70)], "g string, o2 long, v string")
+    assert [r.generation for r in documents.hash_chain(rows, "g", "o2", "v", levels=2).collect()] == [want]
