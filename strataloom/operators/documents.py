@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .graph import gathered, turns
+from .graph import counted, gathered, sided, turns
 
 SKIPPED = {"script", "style", "nav", "footer", "head", "noscript"}
 BREAKS = {"p", "div", "li", "tr", "br", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol"}
@@ -254,15 +254,17 @@ def fingerprints(edges: DataFrame, nodes: DataFrame, most: int | None = None) ->
     """
     own = nodes.select("node_id", F.sha2(F.concat_ws("|", "node_id", "role", "status"), 256).alias("own"))
     e = written(edges.select("src", "dst").distinct().join(own.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst"), "edges")
-    new = done = written(own.join(e.select(F.col("src").alias("node_id")), "node_id", "left_anti").select("node_id", F.col("own").alias("print")), "prints")
+    own = written(own, "own")
+    new, count = counted(own.join(sided(e.select(F.col("src").alias("node_id"))), "node_id", "left_anti").select("node_id", F.col("own").alias("print")), "prints")
+    done = new
     unmet = written(e.groupBy("src").agg(F.count(F.lit(1)).alias("unmet")), "unmet")
     for turn in turns(most):
-        met = e.join(new.select(F.col("node_id").alias("dst")), "dst").groupBy("src").agg(F.count(F.lit(1)).alias("met"))
-        unmet = written(unmet.filter("unmet > 0").join(met, "src", "left").select("src", (F.col("unmet") - F.coalesce("met", F.lit(0))).alias("unmet")), "unmet")
-        asked = e.join(unmet.filter("unmet = 0").select("src"), "src", "left_semi")
-        below = asked.join(done, asked["dst"] == done["node_id"]).groupBy("src").agg(F.concat_ws("", F.array_sort(F.collect_list("print"))).alias("below"))
-        new = written(own.join(below, own["node_id"] == below["src"]).select("node_id", F.sha2(F.concat("own", "below"), 256).alias("print")), "prints")
-        if new.isEmpty():
+        met = e.join(sided(new.select(F.col("node_id").alias("dst")), count), "dst").groupBy("src").agg(F.count(F.lit(1)).alias("met"))
+        unmet = written(unmet.filter("unmet > 0").join(sided(met), "src", "left").select("src", (F.col("unmet") - F.coalesce("met", F.lit(0))).alias("unmet")), "unmet")
+        asked = e.join(sided(unmet.filter("unmet = 0").select("src")), "src", "left_semi").select("src", F.col("dst").alias("node_id"))
+        below = asked.join(sided(done), "node_id").groupBy(F.col("src").alias("node_id")).agg(F.concat_ws("", F.array_sort(F.collect_list("print"))).alias("below"))
+        new, count = counted(own.join(sided(below), "node_id").select("node_id", F.sha2(F.concat("own", "below"), 256).alias("print")), "prints")
+        if not count:
             return done
         done = gathered(done, new, turn)
     raise RuntimeError("more levels than allowed")

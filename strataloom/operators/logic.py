@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .graph import gathered, turns
+from .graph import counted, gathered, sided, turns
 
 
 @dataclass(frozen=True)
@@ -53,11 +53,12 @@ def matched(atom: Atom, facts: DataFrame, place: int) -> DataFrame:
     return df.select(*[F.col(c).alias(v) for v, c in columns.items()], key().alias(f"_p{place}"))
 
 
-def derive(rule: Rule, facts: DataFrame, new: DataFrame | None = None) -> DataFrame:
-    """All supports of a rule: conclusion and premises. With new, only those with a premise in new."""
+def derive(rule: Rule, facts: DataFrame, new: DataFrame | None = None, count: int | None = None) -> DataFrame:
+    """All supports of a rule: conclusion and premises. With new (of count facts), only those with a premise in new."""
     bodies = []
     for turn in range(len(rule.body) if new is not None else 1):
         parts = [matched(atom, new if new is not None and i == turn else facts, i) for i, atom in enumerate(rule.body)]
+        parts = [sided(p, count if new is not None and i == turn else None) for i, p in enumerate(parts)]
         joined = parts[0]
         for p in parts[1:]:
             shared = [c for c in p.columns if c in joined.columns]
@@ -77,12 +78,13 @@ def closure(facts: DataFrame, rules: Sequence[Rule], most: int | None = None) ->
 
     Only a given number of rounds at most can end it before the fixed point.
     """
-    seen = new = written(facts.select(*FACT).distinct().withColumn("round", F.lit(0)), "facts")
+    new, count = counted(facts.select(*FACT).distinct().withColumn("round", F.lit(0)), "facts")
+    seen, heads = new, F.col("pred").isin(sorted({r.head.pred for r in rules}))
     for turn in turns(most):
-        found = reduce(DataFrame.unionByName, [derive(r, seen, new if turn > 1 else None).select(*FACT) for r in rules]).distinct()
-        fresh = found.alias("f").join(seen.alias("s"), (F.col("f.pred") == F.col("s.pred")) & (F.col("f.neg") == F.col("s.neg")) & (F.col("f.a") == F.col("s.a")) & F.col("f.b").eqNullSafe(F.col("s.b")), "left_anti")
-        new = written(fresh.withColumn("round", F.lit(turn)), "facts")
-        if new.isEmpty():
+        found = reduce(DataFrame.unionByName, [derive(r, seen, new if turn > 1 else None, count).select(*FACT) for r in rules]).distinct()
+        fresh = found.alias("f").join(sided(seen.filter(heads)).alias("s"), (F.col("f.pred") == F.col("s.pred")) & (F.col("f.neg") == F.col("s.neg")) & (F.col("f.a") == F.col("s.a")) & F.col("f.b").eqNullSafe(F.col("s.b")), "left_anti")
+        new, count = counted(fresh.withColumn("round", F.lit(turn)), "facts")
+        if not count:
             return seen, True
         seen = gathered(seen, new, turn)
     return seen, False
@@ -103,12 +105,13 @@ def clean(seeds: DataFrame, blocked: DataFrame, supported: DataFrame) -> DataFra
     """Fact identities that rest on clean premises: seeds that aren't blocked, and conclusions of which
     some support has only clean premises. Columns: fact."""
     bad = blocked.select(key().alias("fact"))
-    known = written(seeds.select(key().alias("fact")).distinct().join(bad, "fact", "left_anti"), "clean")
-    each = supported.withColumn("fact", key()).join(bad, "fact", "left_anti").withColumn("id", F.xxhash64("fact", "rule", "premises")).select("fact", "id", F.explode("premises").alias("premise"), F.size("premises").alias("n"))
+    known = written(seeds.select(key().alias("fact")).distinct().join(sided(bad), "fact", "left_anti"), "clean")
+    each = supported.withColumn("fact", key()).join(sided(bad), "fact", "left_anti").withColumn("id", F.xxhash64("fact", "rule", "premises")).select("fact", "id", F.explode("premises").alias("premise"), F.size("premises").alias("n"))
+    each = written(each, "supports")
     for turn in turns(None):
-        met = each.join(known.withColumnRenamed("fact", "premise"), "premise", "left_semi").groupBy("fact", "id").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).filter("held = n").select("fact").distinct()
-        new = written(met.join(known, "fact", "left_anti"), "clean")
-        if new.isEmpty():
+        met = each.join(sided(known.withColumnRenamed("fact", "premise")), "premise", "left_semi").groupBy("fact", "id").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).filter("held = n").select("fact").distinct()
+        new, count = counted(met.join(sided(known), "fact", "left_anti"), "clean")
+        if not count:
             return known
         known = gathered(known, new, turn)
     raise AssertionError
