@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,17 @@ STARTS = dict.fromkeys(BREAKS, "\n")
 HEADINGS = {f"h{n}": "\n" + "#" * n + " " for n in range(1, 7)}
 
 
+#: Rows of an Arrow batch that are parsed before their results are handed on.
+SLICE = 128
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that a task holds the Python objects of few rows at a time, however many a batch has."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 class Visible(HTMLParser):
     """The visible text of a page; with markdown, headings as #, links as [text](target) and images as ![alt]."""
 
@@ -69,11 +81,12 @@ def visible_text(html: str | None, markdown: bool) -> str:
 def html_text(pages: DataFrame, markdown: bool) -> DataFrame:
     """page_id and text of each page."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"page_id": f["page_id"], "text": [visible_text(h, markdown) for h in f["html"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            text = pa.array([visible_text(h, markdown) for h in b.column("html").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), text], names=["page_id", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, text string")
 
 
 FORMULA = re.compile(r"(?P<display>\$\$.+?\$\$)|(?P<bracket>\\\[.+?\\\])|(?P<inline>\$[^$\n]+\$)", re.S)
@@ -82,12 +95,14 @@ FORMULA = re.compile(r"(?P<display>\$\$.+?\$\$)|(?P<bracket>\\\[.+?\\\])|(?P<inl
 def formula_spans(regions: DataFrame) -> DataFrame:
     """Offsets of TeX formulas: region_id, begin, end, kind."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(r, m.start(), m.end(), m.lastgroup) for r, t in zip(f["region_id"], f["text"], strict=True) for m in FORMULA.finditer(t or "")]
-            yield pd.DataFrame(rows, columns=["region_id", "begin", "end", "kind"])
+    kinds = pa.schema([("region_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            rows = [(r, m.start(), m.end(), m.lastgroup) for r, t in zip(b.column("region_id").to_pylist(), b.column("text").to_pylist(), strict=True) for m in FORMULA.finditer(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
-    return regions.select("region_id", "text").mapInPandas(run, "region_id long, begin long, end long, kind string")
+    return regions.select(F.col("region_id").cast("long"), "text").mapInArrow(run, "region_id long, begin long, end long, kind string")
 
 
 class Members(list):
