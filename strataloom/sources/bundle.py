@@ -3,12 +3,13 @@
 Writing goes through a data source. Tasks write files into folders of their own under a staging folder and
 report them; the commit deletes folders of attempts that weren't reported, writes an index with the number
 of files, and moves the staging folder to its place, which mustn't exist: a bundle is there whole or not
-at all. Reading is Spark's: whole text files, parsed by expressions; a file that doesn't match its hash,
-or a bundle that isn't complete, is an error.
+at all. Reading lists and reads files in tasks and parses them by expressions; a file that doesn't match
+its hash, or a bundle that isn't complete, is an error.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from .shared import written
+
 INDEX = "index.md"
+#: Most files that a task writes or reads, and texts that it holds at a time.
+FILES, SLICE = 20_000, 128
 
 
 def rendered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -108,19 +113,59 @@ class BundleWriter(DataSourceArrowWriter):
 def export(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     spark = nodes.sparkSession
     spark.dataSource.register(MarkdownBundle)
-    rendered(nodes, edges).write.format("markdown_bundle").mode("append").option("path", path).save()
+    texts = rendered(nodes, edges).repartition(_tasks(spark, nodes.count()), "name")
+    texts.write.format("markdown_bundle").mode("append").option("path", path).save()
+
+
+def _tasks(spark: SparkSession, files: int) -> int:
+    """Tasks for so many files: each takes FILES at most, however few bytes they have."""
+    return max(min(spark.sparkContext.defaultParallelism, files), 1, -(-files // FILES))
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """The bundle's files but for the index: file. The driver lists the folders at the top only."""
+    from pyarrow import fs
+
+    filesystem, root = _filesystem(path)
+    top = [(f.path, f.type == fs.FileType.Directory) for f in filesystem.get_file_info(fs.FileSelector(root))]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, _ = _filesystem(path)
+        for batch in batches:
+            for place, folder in zip(batch.column("place").to_pylist(), batch.column("folder").to_pylist(), strict=True):
+                inside = filesystem.get_file_info(fs.FileSelector(place, recursive=True)) if folder else [filesystem.get_file_info(place)]
+                yield pa.RecordBatch.from_arrays([pa.array([f.path for f in inside if f.type == fs.FileType.File and f.base_name.endswith(".md") and f.base_name != INDEX], pa.string())], names=["file"])
+
+    return spark.createDataFrame(top, "place string, folder boolean").repartition(max(len(top), 1)).mapInArrow(walk, "file string")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of a bundle: node_id, role, status, requires (comma-joined, in order)."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    files = whole.select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"))
-    index = files.filter(F.col("file") == INDEX).select(F.regexp_extract("text", r"\nfiles: (\d+)", 1).cast("long").alias("files"))
-    told, found = index.agg(F.max("files")).first()[0], files.filter(F.col("file") != INDEX).count()
-    if told != found:
-        raise ValueError(f"the bundle's index tells of {told} files, there are {found}")
+    """Nodes of a bundle: node_id, role, status, requires (comma-joined, in order).
+
+    Files are listed and read by tasks, FILES at most in each: Spark's text reader takes every file's name
+    through the driver, and 32 files a task.
+    """
+    filesystem, root = _filesystem(path)
+    with filesystem.open_input_stream(f"{root}/{INDEX}") as index:
+        told = re.search(r"\nfiles: (\d+)", index.read().decode())
+    listed = written(_listed(spark, path), "listed")
+    found = listed.count()
+    if told is None or int(told[1]) != found:
+        raise ValueError(f"the bundle's index tells of {told and told[1]} files, there are {found}")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, _ = _filesystem(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                texts = []
+                for file in batch.column("file")[at : at + SLICE].to_pylist():
+                    with filesystem.open_input_stream(file) as part:
+                        texts.append(part.read().decode())
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+
+    files = listed.repartition(_tasks(spark, found), "file").mapInArrow(read, "text string")
     parts = F.split("text", "\nsha256: ")
-    checked = files.filter(F.col("file") != INDEX).select(F.get(parts, 0).alias("body"), F.get(parts, 1).alias("sha"))
+    checked = files.select(F.get(parts, 0).alias("body"), F.get(parts, 1).alias("sha"))
     body = F.when(F.sha2(F.encode("body", "UTF-8"), 256) == F.col("sha"), F.col("body")).otherwise(F.raise_error(F.lit("an edited bundle file")))
     field = lambda name: F.regexp_extract("body", rf"\n{name}: ([^\n]*)", 1)
     requires = F.array_join(F.regexp_extract_all("body", F.lit(r"- requires: (\d+)"), F.lit(1)), ",").alias("requires")
