@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .graph import sided
 
 
 def first_failure(checks: Sequence[tuple[str, Column]], passed: str = "ok") -> Column:
@@ -46,7 +47,7 @@ def grounding(citations: DataFrame) -> DataFrame:
 def endpoint_issues(edges: DataFrame, types: DataFrame, allowed: DataFrame) -> DataFrame:
     """Edges with missing endpoints or endpoint types that the relation doesn't allow."""
     t = types.select("node", "type")
-    joined = edges.join(t.select(F.col("node").alias("src"), F.col("type").alias("src_type")), "src", "left").join(t.select(F.col("node").alias("dst"), F.col("type").alias("dst_type")), "dst", "left")
+    joined = edges.join(sided(t.select(F.col("node").alias("src"), F.col("type").alias("src_type"))), "src", "left").join(sided(t.select(F.col("node").alias("dst"), F.col("type").alias("dst_type"))), "dst", "left")
     known = joined.join(allowed.withColumn("fine", F.lit(True)), ["relation", "src_type", "dst_type"], "left")
     checks = [("missing_source", F.col("src_type").isNull()), ("missing_target", F.col("dst_type").isNull()), ("endpoint_mismatch", F.col("fine").isNull())]
     return known.select("src", "dst", "relation", first_failure(checks).alias("issue")).filter("issue <> 'ok'")
@@ -245,9 +246,15 @@ def extraction_delta(raw: DataFrame, relations: DataFrame) -> DataFrame:
     """
     schema = "components array<string>, obligations array<string>, relations array<struct<subject_id string, predicate string, object_id string>>"
     x = raw.select(F.from_json("json", schema).alias("x")).select("x.*")
-    of = lambda field, kind: x.select(F.explode(field).alias("node"), F.lit(kind).alias("type"))
-    types = of("components", "component").unionByName(of("obligations", "obligation")).distinct()
-    links = x.select(F.explode("relations").alias("r")).select(F.col("r.subject_id").alias("src"), F.col("r.predicate").alias("relation"), F.col("r.object_id").alias("dst")).distinct()
+    row = lambda id, type, target: F.struct(id.alias("id"), type.alias("type"), target.alias("target"))
+    of = lambda field, kind: F.transform(F.coalesce(field, F.array().cast("array<string>")), lambda i: row(i, F.lit(kind), F.lit(None).cast("string")))
+    between = F.transform(F.coalesce("relations", F.array().cast("array<struct<subject_id string, predicate string, object_id string>>")), lambda r: row(r["subject_id"], r["predicate"], r["object_id"]))
+    tagged = lambda rows, edge: F.transform(rows, lambda r: F.struct(F.lit(edge).alias("edge"), r["id"].alias("id"), r["type"].alias("type"), r["target"].alias("target")))
+    # The documents are parsed once; what they hold is written, each row once.
+    every = F.concat(tagged(of("components", "component"), False), tagged(of("obligations", "obligation"), False), tagged(between, True))
+    found = written(x.select(F.explode(F.array_distinct(every)).alias("r")).select("r.*").distinct(), "extracted")
+    types = found.filter("not edge").select(F.col("id").alias("node"), "type")
+    links = found.filter("edge").select(F.col("id").alias("src"), F.col("type").alias("relation"), F.col("target").alias("dst"))
     issues = links.join(endpoint_issues(links, types, relations), ["src", "dst", "relation"], "left")
     edges = issues.select(F.lit("add_edge").alias("action"), F.col("src").alias("id"), F.col("relation").alias("type"), F.col("dst").alias("target"), F.coalesce("issue", F.lit("ok")).alias("issue"))
     return types.select(F.lit("upsert_node").alias("action"), F.col("node").alias("id"), "type", F.lit(None).cast("string").alias("target"), F.lit("ok").alias("issue")).unionByName(edges)
