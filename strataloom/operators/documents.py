@@ -209,31 +209,77 @@ def budget_pages(rows: DataFrame, session: str, key: str, size: str, budget: int
     """Pages of a session's rows in order: as many as fit the budget, at most limit, at least one: session, key, page, offset, cursor.
 
     Where a page ends depends on where it begins, so breaks are sequential. But each row knows where a page
-    would end that begins with it, from the next few rows alone, and these pointers are followed by
-    doubling: one more round where there are twice as many pages. cursor leads to the next page of this
-    session and revision; the last page has none.
+    would end that begins with it, from the next few rows alone. A block of rows is entered at one of its
+    first limit rows; where it is left from each of these is found in the block, and only those pointers are
+    followed by doubling: one more round where there are twice as many blocks. cursor leads to the next page
+    of this session and revision; the last page has none.
     """
-    numbered = written(dense(rows.select(session, key, F.col(size).cast("long").alias("size")), session, key), "numbered")
+    block = max(TOGETHER, limit)
+    numbered = dense(rows.select(session, key, F.col(size).cast("long").alias("size")), session, key)
     # Blocks of rows, each with the first rows of the next one.
-    own = F.expr(f"n div {TOGETHER}")
-    blocks = numbered.withColumn("block", F.explode(F.when((own > 0) & (F.col("n") % TOGETHER < limit), F.array(own, own - 1)).otherwise(F.array(own))))
+    own = F.expr(f"n div {block}")
+    spread = numbered.withColumn("block", F.explode(F.when((own > 0) & (F.col("n") % block < limit), F.array(own, own - 1)).otherwise(F.array(own))))
     ahead = Window.partitionBy(session, "block").orderBy("n").rowsBetween(Window.currentRow, limit - 1)
     sums = F.aggregate(F.collect_list("size").over(ahead), F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("fit"), F.lit(True).alias("on")), lambda a, x: F.struct(
         (a["sum"] + x).alias("sum"), (a["fit"] + (a["on"] & ((a["sum"] + x <= budget) | (a["fit"] == 0))).cast("int")).alias("fit"), (a["on"] & ((a["sum"] + x <= budget) | (a["fit"] == 0))).alias("on")))
-    jump = written(blocks.withColumn("to", F.col("n") + sums["fit"]).filter(F.col("block") == own).select(session, "n", "to", F.lit(1).cast("long").alias("steps")), "jump")
-    ends = jump.select(session, F.col("n").alias("offset"), F.col("to").alias("next"))
-    at = written(numbered.filter("n = 0").select(session, F.col("n").alias("offset"), F.lit(0).cast("long").alias("page")), "at")
+    pointed = spread.withColumn("to", F.col("n") + sums["fit"]).filter(F.col("block") == own)
+    held = F.array_sort(F.collect_list(F.struct("n", F.col(key).alias("key"), "to")))
+    blocks = pointed.groupBy(session, "block").agg(held.alias("held"))
+    blocks = written(blocks.select(F.col(session).alias("of"), "block", (F.col("block") * block).alias("start"), F.col("held.key").alias("keys"), F.col("held.to").alias("to")), "blocks")
+    kind, keys = (rows.schema[c].dataType.simpleString() for c in (session, key))
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            out = [(at, *x) for at, start, to in zip(range(b.num_rows), b.column("start").to_pylist(), b.column("to").to_pylist(), strict=True) for x in passed(start, to, limit)]
+            columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([b.column("of").take(columns[0]), *columns[1:]], names=["of", "n", "to", "steps", "last"])
+
+    first = jump = written(blocks.select("of", "start", "to").mapInArrow(through, f"of {kind}, n long, to long, steps long, last long"), "jump")
+    at = written(blocks.filter("block = 0").select("of", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("page")), "at")
+    jump = jump.drop("last")
     while not jump.isEmpty():
-        on = at.join(jump, (at[session].eqNullSafe(jump[session])) & (at["offset"] == jump["n"])).select(at[session], F.col("to").alias("offset"), (F.col("page") + F.col("steps")).alias("page"))
+        ahead = jump.select(F.col("of").alias("same"), F.col("n").alias("mid"), F.col("to").alias("further"), F.col("steps").alias("more"))
+        on = at.join(sided(ahead), F.col("of").eqNullSafe(F.col("same")) & (F.col("n") == F.col("mid"))).select("of", F.col("further").alias("n"), (F.col("page") + F.col("more")).alias("page"))
         at = written(at.unionByName(on), "at")
-        second = jump.select(F.col(session).alias("of"), F.col("n").alias("mid"), F.col("to").alias("last"), F.col("steps").alias("more"))
-        jump = written(jump.join(second, F.col(session).eqNullSafe(F.col("of")) & (F.col("to") == F.col("mid"))).select(session, "n", F.col("last").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "jump")
-    whole = at.join(ends.withColumnRenamed(session, "of"), F.col(session).eqNullSafe(F.col("of")) & at["offset"].eqNullSafe(ends["offset"])).select(session, "page", at["offset"], "next")
-    last = numbered.groupBy(F.col(session).alias("of")).agg((F.max("n") + 1).alias("total"))
-    token = F.to_json(F.struct(F.col("next").alias("offset"), F.lit(revision).cast("long").alias("revision"), F.col(session).alias("session_id")))
-    whole = whole.join(last, F.col(session).eqNullSafe(F.col("of"))).withColumn("cursor", F.when(F.col("next") < F.col("total"), F.base64(F.encode(token, "UTF-8"))))
-    members = whole.select(F.col(session).alias("of"), "page", "offset", "cursor", F.explode(F.sequence("offset", F.col("next") - 1)).alias("at"))
-    return numbered.join(members, F.col(session).eqNullSafe(F.col("of")) & (F.col("n") == F.col("at"))).select(session, key, "page", "offset", "cursor")
+        jump = written(jump.join(sided(ahead), F.col("of").eqNullSafe(F.col("same")) & (F.col("to") == F.col("mid"))).select("of", "n", F.col("further").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "jump")
+    # Where a block is entered, the page that begins there, and where the page before it began.
+    left = first.select(F.col("of").alias("same"), F.col("n").alias("mid"), F.col("to").alias("entry"), "last")
+    before = at.join(sided(left), F.col("of").eqNullSafe(F.col("same")) & (F.col("n") == F.col("mid"))).select(F.col("of").alias("same"), "entry", "last")
+    entered = at.join(sided(before), F.col("of").eqNullSafe(F.col("same")) & (F.col("n") == F.col("entry")), "left").select(F.col("of").alias("same"), F.struct(F.col("n").alias("entry"), "page", "last").alias("way"))
+    entered = entered.groupBy("same", F.expr(f"way.entry div {block}").alias("at")).agg(F.min("way").alias("way")).select("same", "at", "way.*")  # the group's end may lie there too
+    total = blocks.groupBy(F.col("of").alias("all")).agg(F.sum(F.size("keys")).alias("total"))
+    whole = blocks.join(sided(entered), F.col("of").eqNullSafe(F.col("same")) & (F.col("block") == F.col("at"))).select("of", "start", "keys", "to", "entry", "page", "last")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            columns = [b.column(c).to_pylist() for c in ("start", "to", "entry", "page", "last")]
+            out = [(at, *x) for at, *row in zip(range(b.num_rows), *columns, strict=True) for x in paged(*row)]
+            places = [pa.array([r[i] for r in out], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column("of").take(places[0]), b.column("keys").flatten(), *places[1:]], names=["of", "key", "page", "offset", "next"])
+
+    rows = whole.mapInArrow(opened, f"of {kind}, key {keys}, page long, offset long, next long").join(sided(total), F.col("of").eqNullSafe(F.col("all")))
+    token = F.to_json(F.struct(F.col("next").alias("offset"), F.lit(revision).cast("long").alias("revision"), F.col("of").alias("session_id")))
+    return rows.select(F.col("of").alias(session), F.col("key").alias(key), "page", "offset", F.when(F.col("next") < F.col("total"), F.base64(F.encode(token, "UTF-8"))).alias("cursor"))
+
+
+def passed(start: int, to: list[int], limit: int) -> list[tuple[int, int, int, int]]:
+    """For each row of a block in which a page of the block before may end: the row, the first page start after the
+    block, the pages that begin in the block on the way there, and the start of the last of them."""
+    end, ways = start + len(to), [(0, 0, 0)] * len(to)
+    for i in range(len(to) - 1, -1, -1):
+        out, pages, last = ways[to[i] - start] if to[i] < end else (to[i], 0, start + i)
+        ways[i] = (out, pages + 1, last)
+    return [(start + i, *ways[i]) for i in range(min(limit, len(to)) if start else 1)]
+
+
+def paged(start: int, to: list[int], entry: int, page: int, last: int | None) -> list[tuple[int, int, int]]:
+    """Page, offset and next page's offset of each row of a block that page enters at entry; last began the page before."""
+    out, offset, after, page = [], last, entry, page - 1
+    for n in range(start, start + len(to)):
+        if n == after:
+            offset, after, page = n, to[n - start], page + 1
+        out.append((page, offset, after))
+    return out
 
 
 LINKS = 1000
