@@ -192,7 +192,7 @@ def gates(nodes: DataFrame, reached: DataFrame) -> DataFrame:
 
     nodes: node_id, role, status; reached: node, what the target rests on, itself with depth 0.
     """
-    n = nodes.join(reached.select(F.col("node").alias("node_id"), "depth"), "node_id", "left")
+    n = nodes.join(sided(reached.select(F.col("node").alias("node_id"), "depth")), "node_id", "left")
     due, target = F.col("role") == "obligation", F.col("depth") == 0
     blocking = {
         "target_is_claim": F.when(F.count_if(target & ~due) == 1, 0).otherwise(1),
